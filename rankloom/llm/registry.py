@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, pii, quality_rules, simhash, url_filter, warc
+from . import byte_bpe, decontaminate, language_id, phrase_dedup, pii, quality_rules, simhash, suffix_dedup, url_filter, warc
 from .common import table, written
 
 
@@ -51,11 +51,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_pii, op6_warc, op7_quality_rules, op9_simhash)}
+def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_pii, op6_warc, op7_quality_rules, op8_suffix_dedup, op9_simhash, op10_phrase_dedup)}
 
 ORACLE_SQL = {
     "op6_warc": """

@@ -31,27 +31,34 @@ def sliding(op, a: np.ndarray, width: int) -> np.ndarray:
     return op(done[: len(done) - (width - have)], done[width - have :]) if have < width else done
 
 
-def anchors(h: np.ndarray, width: int, starts: np.ndarray, lengths: np.ndarray, gram: int) -> np.ndarray:
-    """Positions p (sorted) of minimal gram hashes.
+def anchors(h: np.ndarray, gram: int, window: int, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors (position, first and last start of the windows they serve) of items laid end to end in a buffer.
 
-    h: a hash for each gram position of a buffer of items laid end to end (starts, lengths in units); every run of
-    ``width`` gram positions inside an item holds one of the positions returned. Grams that cross items are not used.
+    h: a hash for each gram position; starts, lengths: of the items, in units. A window of ``window`` units is served by
+    the positions of the least hash among its grams; each window that lies in one item is served.
     """
-    n = len(h)
+    n, width, most = len(h), window - gram + 1, np.iinfo(np.int32).max
+    none = np.zeros(0, np.int64)
+    if n < width:
+        return none, none, none
     low = (h >> np.uint64(33)).astype(np.int32)  # 31 bits order the grams
-    cross = np.zeros(n + 1, np.int8)
+    item = np.repeat(np.arange(len(starts)), lengths)[:n]
     ends = starts + lengths
-    a, b = np.clip(np.maximum(ends - gram + 1, starts), 0, n), np.clip(ends, 0, n)
-    np.add.at(cross, a, 1)
-    np.add.at(cross, b, -1)
-    bad = np.cumsum(cross[:-1]) > 0
-    low[bad] = np.iinfo(np.int32).max
-    if n == 0:
-        return np.zeros(0, np.int64)
-    pad = np.full(width - 1, np.iinfo(np.int32).max, np.int32)
-    least = sliding(np.minimum, np.concatenate([pad, low, pad]), width)  # windows that hang over the ends only add anchors
-    most = sliding(np.maximum, least, width)
-    return np.flatnonzero((most == low) & ~bad)
+    bad = np.arange(n) + gram > ends[item]  # crosses into the next item
+    low[bad] = most
+    pad = np.full(width - 1, most, np.int32)
+    least = sliding(np.minimum, np.concatenate([pad, low, pad]), width)  # least[i]: of the window that starts at i - width + 1
+    p = np.flatnonzero((sliding(np.maximum, least, width) == low) & ~bad)
+    lo, hi = np.empty(len(p), np.int64), np.empty(len(p), np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(least, width)
+    for i in range(0, len(p), 65536):
+        q = p[i : i + 65536]
+        own = view[q] == low[q, None]  # a run: windows between two that p serves are served by p too
+        lo[i : i + 65536] = q - width + 1 + own.argmax(1)
+        hi[i : i + 65536] = q - own[:, ::-1].argmax(1)
+    lo, hi = np.maximum(lo, starts[item[p]]), np.minimum(hi, ends[item[p]] - window)
+    ok = lo <= hi
+    return p[ok], lo[ok], hi[ok]
 
 
 def byte_gram_hash(buf: np.ndarray, gram: int = 16) -> np.ndarray:
