@@ -76,16 +76,17 @@ def _block(raw: list[list[bytes]], windows: np.ndarray, first: np.ndarray) -> np
 def first_documents(pieces: Distinct) -> np.ndarray:
     """The finder: smallest document for each window of each piece."""
     out, i = [], 0
-    raw = [r.split(b" ") for r in pieces.raw]
-    ends = np.cumsum([len(r) for r in raw])
+    raw = pieces.raw
+    words = np.array([r.count(b" ") + 1 for r in raw], np.int64)
+    ends = np.cumsum(words)
     begins = np.flatnonzero(np.concatenate([[True], np.diff(pieces.anchor) != 0])) if raw else np.zeros(0, np.int64)
     while i < len(raw):
-        limit = np.searchsorted(ends, ends[i] - len(raw[i]) + AUTOMATON_WORDS)
+        limit = np.searchsorted(ends, ends[i] - words[i] + AUTOMATON_WORDS)
         j = len(raw) if limit >= len(raw) else int(begins[np.searchsorted(begins, limit, "right") - 1])
         if j <= i:
             k = np.searchsorted(begins, i, "right")
             j = int(begins[k]) if k < len(begins) else len(raw)
-        out.append(_block(raw[i:j], pieces.windows[i:j], pieces.first[i:j]))
+        out.append(_block([r.split(b" ") for r in raw[i:j]], pieces.windows[i:j], pieces.first[i:j]))
         i = j
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 

@@ -35,7 +35,7 @@ from .common import bounded_batches
 WINDOW = 50
 #: Anchors of a prefix, bytes of text of a shard, anchors and bytes that a task packs at a time, bits of the table.
 PREFIX_ANCHORS, SHARD_BYTES, FLUSH_ANCHORS, FLUSH_BYTES, LEAST_BITS, MOST_BITS = 2_000_000, 6_000_000, 1_000_000, 24_000_000, 20, 31
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 _word_hash: dict[bytes, int] = {}
 
 
