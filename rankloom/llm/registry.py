@@ -65,7 +65,36 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_pii, op6_warc, op7_quality_rules, op8_suffix_dedup, op9_simhash, op10_phrase_dedup)}
 
+#: After the words u of every document: the windows of 50 that a smaller document has too, and what they leave.
+REPEATED = """
+        , g AS (SELECT doc_id, u, list_transform(range(1, len(u) + 1), lambda i: CASE WHEN i + 49 <= len(u) THEN md5({window}) END) AS ws FROM t),
+        h AS (SELECT doc_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS x, unnest(ws) AS w FROM g),
+        f AS (SELECT doc_id, i, x, w IS NOT NULL AND min(doc_id) OVER (PARTITION BY w) < doc_id AS starts FROM h),
+        k AS (SELECT doc_id, i, x, max(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+        r AS (SELECT *, CASE WHEN gone = 1 AND lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) = 0 THEN 1 ELSE 0 END AS opens FROM k)"""
+
 ORACLE_SQL = {
+    "op1_url_filters": """
+        WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
+        j AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                             WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
+                     string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM p),
+        o AS (SELECT doc_id AS page_id, count(*) AS n, sum((quality = 0 OR toxic = 1)::INT) AS k FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+        h AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, CASE WHEN host = '' THEN 0 ELSE coalesce(sum(n), 0) END AS n, CASE WHEN host = '' THEN 0 ELSE coalesce(sum(k), 0) END AS k FROM j LEFT JOIN o USING (page_id) GROUP BY host),
+        s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1e0) / (sum(n) + 2) FROM h) AS m FROM h GROUP BY suffix), s1 AS (SELECT suffix, (s * m + k) / (s + n) AS rate FROM s0, (SELECT STRENGTH FROM s0)),
+        d0 AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(rate) AS m FROM h JOIN s1 USING (suffix) GROUP BY domain), d1 AS (SELECT domain, (s * m + k) / (s + n) AS rate FROM d0, (SELECT STRENGTH FROM d0)),
+        h0 AS (SELECT host, n, k, rate AS m FROM h JOIN d1 USING (domain)), h1 AS (SELECT host, s * m + k AS a, s * (1 - m) + n - k AS b FROM h0, (SELECT STRENGTH FROM h0))
+        SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow'
+               ELSE CASE WHEN a / (a + b) - 1.645e0 * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END END AS verdict FROM j JOIN h1 USING (host)""".replace(
+        "STRENGTH",
+        """coalesce(least(greatest(CASE WHEN r > 0 THEN (1 - r) / r END, 1e0), 1e3), 1e3) AS s FROM (SELECT CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN sum((k - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) END AS r""",
+    ).replace("AS r FROM s0)", "AS r FROM s0 WHERE n > 1))").replace("AS r FROM d0)", "AS r FROM d0 WHERE n > 1))").replace("AS r FROM h0)", "AS r FROM h0 WHERE n > 1))"),
+    "op10_phrase_dedup": """
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS u FROM documents)"""
+    + REPEATED.format(window="array_to_string(u[i:i + 49], ' ')")
+    + """, z AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN z USING (doc_id)""",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
