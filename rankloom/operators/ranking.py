@@ -91,7 +91,11 @@ def ranked(df: DataFrame, by: list[Column], k: int) -> DataFrame:
 def bm25(docs: DataFrame, terms: list[str], id_col: str, tokens: str, k1: float = 1.2, b: float = 0.75, must_not: list[str] | None = None) -> DataFrame:
     """(id, score) of documents that hold a term. One pass for the statistics, one for the scores; no token is exploded:
     counts per query term are columns."""
-    counted = docs.select(id_col, F.size(tokens).alias("_len"), *(F.size(F.filter(tokens, lambda x, t=t: x == t)).alias(f"_tf{i}") for i, t in enumerate(terms)), *(F.array_contains(tokens, t).alias(f"_no{i}") for i, t in enumerate(must_not or [])))
+
+    def times(term: str) -> Column:
+        return F.size(F.filter(tokens, lambda x: x == term))
+
+    counted = docs.select(id_col, F.size(tokens).alias("_len"), *(times(t).alias(f"_tf{i}") for i, t in enumerate(terms)), *(F.array_contains(tokens, t).alias(f"_no{i}") for i, t in enumerate(must_not or [])))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"), *(F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
     if not stats["n"]:
         return counted.select(id_col, F.lit(0.0).alias("score"))
