@@ -12,6 +12,7 @@ repeated ids don't count as smaller; an empty table gives an empty result; other
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -23,7 +24,9 @@ from .common import arrow_map, written
 from .recurrence import WINDOW, WORDS, Distinct, kept_parts, repeated_spans, with_spans
 
 #: Words of the pieces that one automaton is compiled from and streams (an anchor's pieces stay together).
-AUTOMATON_WORDS = 400_000
+AUTOMATON_WORDS = 120_000
+#: Occurrences that vote at a time.
+OCCURRENCES = 32_768
 #: Code points that stand for words: above the surrogates.
 FIRST_CODE, CODES = 0xE000, 0x110000 - 0xE000
 
@@ -60,16 +63,21 @@ def _block(raw: list[list[bytes]], windows: np.ndarray, first: np.ndarray) -> np
             automaton.add_word(phrase, len(size))
             size.append(n)
     automaton.make_automaton()
-    found = [(k, p, end) for p, t in enumerate(text) for end, k in automaton.iter(t)]
-    key, piece, end = np.array(found, np.int64).reshape(-1, 3).T
+    found = array("q")
+    for p, t in enumerate(text):
+        for end, k in automaton.iter(t):
+            found.extend((k, p, end))
+    key, piece, end = np.frombuffer(found, np.int64).reshape(-1, 3).T
     owner = np.full(len(size), np.iinfo(np.int64).max)
     np.minimum.at(owner, key, first[piece])
     base = np.cumsum(windows) - windows
     n = np.array(size, np.int64)[key]
     begin = base[piece] + end + 1 - (n + WINDOW - 1)  # first window of the occurrence
     out = np.full(int(windows.sum()), np.iinfo(np.int64).max)
-    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    np.minimum.at(out, np.repeat(begin, n) + nth, np.repeat(owner[key], n))
+    for i in range(0, len(key), OCCURRENCES):
+        m, b, o = n[i : i + OCCURRENCES], begin[i : i + OCCURRENCES], owner[key[i : i + OCCURRENCES]]
+        nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        np.minimum.at(out, np.repeat(b, m) + nth, np.repeat(o, m))
     return out
 
 

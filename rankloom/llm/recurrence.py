@@ -34,8 +34,10 @@ from .common import bounded_batches
 
 WINDOW = 50
 #: Anchors of a prefix, bytes of text of a shard, anchors and bytes that a task packs at a time, bits of the table.
-PREFIX_ANCHORS, SHARD_BYTES, FLUSH_ANCHORS, FLUSH_BYTES, LEAST_BITS, MOST_BITS = 2_000_000, 6_000_000, 1_000_000, 24_000_000, 20, 31
-KEPT_WORDS = 300_000
+PREFIX_ANCHORS, SHARD_BYTES, FLUSH_ANCHORS, FLUSH_BYTES, LEAST_BITS, MOST_BITS = 2_000_000, 4_000_000, 1_000_000, 12_000_000, 20, 31
+KEPT_WORDS = 200_000
+#: Places of a shard whose windows are laid out at a time.
+PLACES = 16_384
 _word_hash: dict[bytes, int] = {}
 
 
@@ -231,7 +233,9 @@ def _first_ids(blobs: list, finder: Finder) -> tuple[np.ndarray, ...]:
     """(id, text hash, start, end) of the runs of windows that a smaller document has too."""
     index: dict[tuple[int, bytes], int] = {}
     cols: list[list[np.ndarray]] = []
-    for blob in blobs:
+    blobs.reverse()
+    while blobs:  # each is let go once it is read
+        blob = blobs.pop()
         h, doc_id, doc_hash, start, windows, size, raw = _unpacked(blob, "<u8", "<i8", "<i8", "<u4", "<u2", "<u4", "u1")
         text, ends = raw.tobytes(), np.cumsum(size.astype(np.int64))
         which = [index.setdefault(k, len(index)) for k in zip(h.tolist(), (text[a:b] for a, b in zip((ends - size).tolist(), ends.tolist())))]
@@ -255,8 +259,8 @@ def _first_ids(blobs: list, finder: Finder) -> tuple[np.ndarray, ...]:
     at[keep] = np.cumsum(n_windows[keep]) - n_windows[keep]
     out = []
     rows = np.flatnonzero((at[which] >= 0) & (doc_id > low[np.searchsorted(anchor[order][cuts], h)]))
-    for i in range(0, len(rows), 100_000):
-        r = rows[i : i + 100_000]
+    for i in range(0, len(rows), PLACES):
+        r = rows[i : i + PLACES]
         n = windows[r].astype(np.int64)
         total = np.cumsum(n)
         nth = np.arange(total[-1]) - np.repeat(total - n, n)
