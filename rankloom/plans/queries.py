@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
@@ -12,21 +10,9 @@ from rankloom.functions import vectors as V
 from rankloom.operators import dedupe, evaluation, quality, ranking
 from rankloom.streaming import events as stream
 
+from . import retrieval  # noqa: F401  (enters its queries)
 from .catalogue import CATALOGUE, CRITERIA, SIGNALS, catalogue, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 # ---- ranking
 
