@@ -64,8 +64,8 @@ def _shrunk(level: DataFrame, mean: str) -> DataFrame:
     spare = F.sum(F.when(F.col("n") > 1, (F.col("k") - F.col("n") * m) ** 2 - F.col("n") * m * (1 - m)))
     scale = F.sum(F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1) * m * (1 - m)))
     rho = spare / F.when(scale > 0, scale)
-    fit = level.agg(F.coalesce(F.least(F.greatest((1 - rho) / F.when(rho > 0, rho), F.lit(LEAST_PRIOR)), F.lit(MOST_PRIOR)), F.lit(MOST_PRIOR)).alias("s"))
-    out = level.crossJoin(F.broadcast(fit))  # one row
+    strength = level.agg(F.coalesce(F.least(F.greatest((1 - rho) / F.when(rho > 0, rho), F.lit(LEAST_PRIOR)), F.lit(MOST_PRIOR)), F.lit(MOST_PRIOR)).alias("s"))
+    out = level.withColumn("s", strength.scalar())
     a, b = F.col("s") * m + F.col("k"), F.col("s") * (1 - m) + F.col("n") - F.col("k")
     return out.withColumn("a", a).withColumn("b", b).withColumn("rate", F.col("a") / (F.col("a") + F.col("b"))).drop("s")
 
@@ -78,7 +78,7 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     suffixes = domains.groupBy("suffix").agg(*sums)
     # with a pseudo-outcome of each kind, so that no rate is 0 or 1
     corpus = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("root"))
-    by_suffix = _shrunk(suffixes.crossJoin(F.broadcast(corpus)), "root").select("suffix", F.col("rate").alias("suffix_rate"))
+    by_suffix = _shrunk(suffixes.withColumn("root", corpus.scalar()), "root").select("suffix", F.col("rate").alias("suffix_rate"))
     by_domain = _shrunk(domains.join(by_suffix, "suffix"), "suffix_rate").select("domain", F.col("rate").alias("domain_rate"))
     a, b = F.col("a"), F.col("b")
     return _shrunk(named.join(by_domain, "domain"), "domain_rate").select("host", "n", "k", F.col("rate").alias("mean"), (F.col("rate") - Z * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))).alias("lower"))

@@ -1,6 +1,6 @@
 """Operator 6, a WARC writer with dictionary compression, and its reader.
 
-Each Spark partition writes its records as .warc.zst archives into the shared folder, a new one at ARCHIVE_BYTES. An
+Each Spark partition writes its records as .warc.zst archives into the shared folder, a new one at ARCHIVE_BYTES of records. An
 archive begins with a skippable frame that embeds a Zstandard dictionary built from the archive's first records
 (SAMPLE_BYTES of them); then every record is a frame of its own, compressed with that dictionary. Where there are too
 few records to build one, the archive has no leading frame and its records stand alone.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_folder, written
 
-LEAST_BYTES, ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 32 << 20, 1 << 20, 64 << 10, 3
+LEAST_BYTES, ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 128 << 20, 1 << 20, 64 << 10, 3
 #: Magic number of the skippable frame that holds a dictionary, and the date of the records (a parameter, for equal runs).
 SKIPPABLE, DATE = b"\x5d\x2a\x4d\x18", "2024-01-01T00:00:00Z"
 RESULT = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -88,8 +88,8 @@ def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
 class Archive:
     """One .warc.zst file: the first records wait until the dictionary can be built from them."""
 
-    def __init__(self, path: str) -> None:
-        self.path, self.waiting, self.held, self.records, self.written = path, [], 0, 0, 0
+    def __init__(self, path: str, sample_bytes: int = SAMPLE_BYTES) -> None:
+        self.path, self.sample_bytes, self.waiting, self.held, self.records, self.written = path, sample_bytes, [], 0, 0, 0
         self.file, self.compress = None, None
 
     def _begin(self) -> None:
@@ -111,11 +111,11 @@ class Archive:
 
     def add(self, raw: bytes) -> None:
         self.records += 1
+        self.held += len(raw)
         if self.compress is not None:
             return self._put(self.compress(raw))
         self.waiting.append(raw)
-        self.held += len(raw)
-        if self.held >= SAMPLE_BYTES:
+        if self.held >= self.sample_bytes:
             self._begin()
 
     def close(self) -> tuple[str, int, int]:
@@ -152,6 +152,8 @@ def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     sized = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_same", F.when(F.octet_length("html") >= least_bytes, F.sha2("html", 256)))
     last = sized.filter("_same is not null").groupBy("_same").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("_last")), F.col("_last"))
+    # small payloads meet nothing; a key of their own deals them out evenly
+    sized = sized.withColumn("_same", F.coalesce("_same", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
     return sized.join(last, "_same", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
@@ -165,9 +167,9 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_
         for batch in batches:
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if archive is None:
-                    archive, n = Archive(f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{n:03d}.warc.zst"), n + 1
+                    archive, n = Archive(f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{n:03d}.warc.zst", min(SAMPLE_BYTES, archive_bytes)), n + 1
                 archive.add(record(page_id, url, html.encode(), refers_to))
-                if archive.written >= archive_bytes:
+                if archive.held >= archive_bytes:
                     done.append(archive.close())
                     archive = None
         if archive is not None:
