@@ -34,8 +34,10 @@ from .common import bounded_batches
 
 WINDOW = 50
 #: Anchors of a prefix, bytes of text of a shard, anchors and bytes that a task packs at a time, bits of the table.
-PREFIX_ANCHORS, SHARD_BYTES, FLUSH_ANCHORS, FLUSH_BYTES, LEAST_BITS, MOST_BITS = 2_000_000, 4_000_000, 1_000_000, 12_000_000, 20, 31
+PREFIX_ANCHORS, SHARD_BYTES, FLUSH_ANCHORS, FLUSH_BYTES, LEAST_BITS, MOST_BITS = 2_000_000, 4_000_000, 1_000_000, 16_000_000, 20, 31
 KEPT_WORDS = 200_000
+#: The bits of a text's hash that tell rows of one id apart.
+TEXT_HASH = 0xFFFFFFFF
 #: Places of a shard whose windows are laid out at a time.
 PLACES = 16_384
 _word_hash: dict[bytes, int] = {}
@@ -77,7 +79,12 @@ def _log2(x: float) -> int:
 def _packed(**arrays: np.ndarray) -> bytes:
     """Arrays as one compressed blob: a head of sizes and their bytes."""
     raw = [np.ascontiguousarray(a).tobytes() for a in arrays.values()]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(r) for r in raw], "<i8").tobytes() + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(r) for r in raw], "<i8").tobytes() + b"".join(raw))
+
+
+def _steps(ordered: np.ndarray) -> np.ndarray:
+    """Differences of rising numbers, which take fewer bytes once they are compressed; cumsum gives the numbers back."""
+    return np.diff(ordered, prepend=np.uint32(0))
 
 
 def _unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
@@ -134,7 +141,7 @@ def shared_bits(docs: DataFrame, units: Units, prefix: int, bits: int) -> bytes:
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])[: len(h)]
             h, n = np.unique(h[new], return_counts=True)
             low = (h << np.uint64(prefix) >> np.uint64(32)).astype("<u4")
-            rows = [(k, _packed(one=low[i][n[i] == 1], more=low[i][n[i] > 1])) for k, i in _by_key((h >> np.uint64(64 - prefix)).astype(np.int64))]
+            rows = [(k, _packed(one=_steps(low[i][n[i] == 1]), more=_steps(low[i][n[i] > 1]))) for k, i in _by_key((h >> np.uint64(64 - prefix)).astype(np.int64))]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "blob"])
 
         seen = 0
@@ -153,7 +160,7 @@ def shared_bits(docs: DataFrame, units: Units, prefix: int, bits: int) -> bytes:
             yield flush()
 
     def slices(key: int, blobs: list) -> Iterator[pa.RecordBatch]:
-        one, more = zip(*(_unpacked(b, "<u4", "<u4") for b in blobs))
+        one, more = zip(*((np.cumsum(x, dtype=np.uint32) for x in _unpacked(b, "<u4", "<u4")) for b in blobs))
         low, n = np.unique(np.concatenate(one), return_counts=True)
         shared = np.concatenate([low[n > 1], *more])
         table = np.zeros(1 << bits - prefix, bool)
@@ -183,7 +190,8 @@ def pieces(docs: DataFrame, units: Units, table: bytes, bits: int, shards: int)
             rows = []
             for k, i in _by_key((h & np.uint64(shards - 1)).astype(np.int64)):
                 parts = [raw[j] for j in i.tolist()]
-                rows.append((k, _packed(h=h[i], id=doc_id[i], th=doc_hash[i], start=start[i], windows=windows[i], size=np.array([len(r) for r in parts], "<u4"), raw=np.frombuffer(b"".join(parts), np.uint8))))
+                # half a hash will do: anchors that meet by chance cost comparisons, never a result
+                rows.append((k, _packed(h=(h[i] >> np.uint64(32)).astype("<u4"), id=doc_id[i], th=doc_hash[i], start=start[i], windows=windows[i], size=np.array([len(r) for r in parts], "<u4"), raw=np.frombuffer(b"".join(parts), np.uint8))))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "blob"])
 
         for batch in batches:
@@ -199,7 +207,7 @@ def pieces(docs: DataFrame, units: Units, table: bytes, bits: int, shards: int)
                 continue
             doc = np.searchsorted(starts, p, "right") - 1
             # an empty text begins where the next one does; searchsorted gives the last of them, which has the units
-            own = np.array([xxhash.xxh64_intdigest(texts[d], 42) for d in np.unique(doc)], np.uint64).view(np.int64)
+            own = np.array([xxhash.xxh64_intdigest(texts[d], 42) & TEXT_HASH for d in np.unique(doc)], "<u4")
             doc_hash = own[np.searchsorted(np.unique(doc), doc)]
             start = lo - starts[doc]
             raw = [units.piece(cut[d], a, b) for d, a, b in zip(doc.tolist(), start.tolist(), (hi - starts[doc] + WINDOW).tolist())]
@@ -236,7 +244,7 @@ def _first_ids(blobs: list, finder: Finder) -> tuple[np.ndarray, ...]:
     blobs.reverse()
     while blobs:  # each is let go once it is read
         blob = blobs.pop()
-        h, doc_id, doc_hash, start, windows, size, raw = _unpacked(blob, "<u8", "<i8", "<i8", "<u4", "<u2", "<u4", "u1")
+        h, doc_id, doc_hash, start, windows, size, raw = _unpacked(blob, "<u4", "<i8", "<u4", "<u4", "<u2", "<u4", "u1")
         text, ends = raw.tobytes(), np.cumsum(size.astype(np.int64))
         which = [index.setdefault(k, len(index)) for k in zip(h.tolist(), (text[a:b] for a, b in zip((ends - size).tolist(), ends.tolist())))]
         cols.append([np.array(which, np.int64), h, doc_id, doc_hash, start, windows])
@@ -246,7 +254,7 @@ def _first_ids(blobs: list, finder: Finder) -> tuple[np.ndarray, ...]:
     first, last = np.full(len(index), most), np.full(len(index), -most)
     np.minimum.at(first, which, doc_id)
     np.maximum.at(last, which, doc_id)
-    anchor, n_windows = np.empty(len(index), np.uint64), np.empty(len(index), np.int64)
+    anchor, n_windows = np.empty(len(index), np.uint32), np.empty(len(index), np.int64)
     anchor[which], n_windows[which] = h, windows
     order = np.argsort(anchor, kind="stable")
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(anchor[order])) + 1]).astype(np.int64)
@@ -271,7 +279,7 @@ def _first_ids(blobs: list, finder: Finder) -> tuple[np.ndarray, ...]:
         new = np.concatenate([[True], (np.diff(gone) > 1) | (np.diff(owner) != 0)])
         end = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(gone) - 1]])
         o, s, e = owner[new], nth[gone[new]], nth[gone[end]]
-        out.append((doc_id[o], doc_hash[o], start[o].astype(np.int64) + s, start[o].astype(np.int64) + e + WINDOW))
+        out.append((doc_id[o], doc_hash[o].astype(np.int64), start[o].astype(np.int64) + s, start[o].astype(np.int64) + e + WINDOW))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
 
 
@@ -324,9 +332,10 @@ def repeated_spans(docs: DataFrame, units: Units, finder: Finder, id_col: str =
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, spans) of every document: each row is joined to its own spans, null if there are none."""
-    texts = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    return texts.join(spans.withColumnRenamed("id", "_id"), (F.col(id_col) == F.col("_id")) & (texts["th"] == spans["th"]), "left").select(id_col, "text", "spans")
+    """(id, text, spans) of every document: each row is joined to its own spans, null if there are none. Spans grow with the
+    documents, so the join is a merge join at every size."""
+    texts = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).withColumn("th", F.xxhash64("text").bitwiseAND(F.lit(TEXT_HASH)))
+    return texts.join(spans.withColumnRenamed("id", "_id").hint("merge"), (F.col(id_col) == F.col("_id")) & (texts["th"] == spans["th"]), "left").select(id_col, "text", "spans")
 
 
 def kept_parts(units, spans: bytes | None) -> list:
