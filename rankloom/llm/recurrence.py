@@ -14,7 +14,7 @@ so that the shuffles carry few, large rows. No group is expanded into pairs. A p
 costs its shard 16 bytes a document beside its one copy.
 
 Ids are integers. A row without an id takes no part: nothing is removed from it or because of it. Rows that repeat an
-id are told apart by their texts' hash.
+id are told apart by 32 bits of their texts' hash: of two different texts of one id, one pair in 2^32 would share spans.
 """
 
 from __future__ import annotations
