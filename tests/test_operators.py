@@ -103,3 +103,50 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted(map(str, df.collect()))
     assert key(spark.table("tumbled")) == key(events.tumbling(spark.read.parquet(str(tmp_path / "e")), "1 day"))
+
+
+def test_quotas():
+    from rankloom.operators.sampling import quotas
+
+    got = quotas({"a": 1000, "b": 50, "c": 3}, 100, 10)
+    assert sum(got.values()) == 100 and got["c"] == 3 and got["b"] >= 10 and got["a"] > got["b"]
+    assert quotas({"a": 2, "b": 1}, 10, 5) == {"a": 2, "b": 1} and quotas({}, 10, 5) == {}
+
+
+def test_one_to_one_alignment_against_loop(spark):
+    from rankloom.operators.alignment import aligned
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    def like(a, b):
+        if min(len(a), len(b)) >= 3 and (a in b or b in a):
+            return 1.0
+        return 1 - distance(a, b) / max(len(a), len(b), 1)
+
+    def loop(p, t):
+        left = sorted((-like(x, y), i, j) for i, x in enumerate(p) for j, y in enumerate(t) if like(x, y) >= 0.5)
+        out = []
+        for _, i, j in left:
+            if all(i != a and j != b for a, b in out):
+                out.append((i, j))
+        return out
+
+    cases = [(["cat", "bat", "rat"], ["rat", "cats", "hat"]), ([], ["x"]), (["x"], []), (["same", "same"], ["same"]), (["speed", "speech", "spree"], ["spec", "seed", "tree", "spree"]), (["", "a"], ["", "a"])]
+    rows = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(cases)], "k int, p array<string>, t array<string>").select("k", aligned("p", "t").alias("got")).collect()
+    for r in rows:
+        assert [tuple(x) for x in r.got] == loop(*cases[r.k])
+
+
+def test_one_edit_apart_against_loop(spark):
+    from rankloom.operators.alignment import one_edit_apart
+
+    a, b = ["abc", "abcd", "xyz", "", "aab"], ["abd", "abc", "bcd", "ab", "yz", "aaab"]
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "v string")
+    got = {tuple(r) for r in one_edit_apart(frame(a), frame(b)).collect()}
+    assert got == {("abc", "abd"), ("abc", "abc"), ("abc", "ab"), ("abcd", "abd"), ("abcd", "abc"), ("abcd", "bcd"), ("xyz", "yz"), ("aab", "ab"), ("aab", "aaab")}
