@@ -27,6 +27,8 @@ from .common import arrow_map, bounded_batches, texts_of, written
 from .components import components
 
 RADIUS, BITS = 3, 64
+#: For texts of this similarity or more: differing bits up to which they are compared, and parts of the bits that are masked apart.
+SIMILARITY, WIDE_RADIUS, WIDE_PARTS = 0.8, 7, 2
 #: Distinct fingerprints of a bucket that one task compares as they stand.
 BUCKET_ROWS = 2000
 
@@ -66,11 +68,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(docs.select(id_col, text_col), make, f"id {kind}, fp bigint")
 
 
-def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """One mask for each nonzero v of radius + 1 bits."""
-    n = 1 << (radius + 1)
-    phi = [i % (n - 1) + 1 for i in range(bits)]
-    return [sum(1 << i for i in range(bits) if (phi[i] & v).bit_count() & 1) for v in range(1, n)]
+def covering_masks(radius: int = RADIUS, bits: int = BITS, parts: int = 1) -> list[int]:
+    """One mask for each part of the bits and each nonzero v of radius // parts + 1 bits: of the bits in which a pair
+    differs, one of the parts holds no more than radius // parts. One part has the longest keys, more have fewer masks."""
+    n, out = 1 << (radius // parts + 1), []
+    for part in range(parts):
+        phi = {i: k % (n - 1) + 1 for k, i in enumerate(range(part, bits, parts))}
+        out += [sum(1 << i for i in phi if (phi[i] & v).bit_count() & 1) for v in range(1, n)]
+    return out
 
 
 def finer_masks(mask: int, radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -83,21 +88,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _spanning(fp: np.ndarray, ids: list, radius: int) -> Iterator[tuple]:
-    """Edges of a spanning forest of the pairs within the radius, each node expanded once."""
+def _spanning(fp: np.ndarray, ids: list, radius: int, direct: bool = False) -> Iterator[tuple]:
+    """Edges of a spanning forest of the pairs within the radius, each node expanded once. An edge goes to its tree's
+    first node; if direct, to the node that reached it, so that it is itself within the radius."""
     left = np.arange(len(fp))
     while len(left):
         first, left = left[0], left[1:]
         todo = [first]
         while todo and len(left):
-            near = np.bitwise_count(fp[left] ^ fp[todo.pop()]) <= radius
+            now = todo.pop()
+            near = np.bitwise_count(fp[left] ^ fp[now]) <= radius
             for j in left[near]:
-                yield ids[first], ids[j]
+                yield ids[now if direct else first], ids[j]
                 todo.append(j)
             left = left[~near]
 
 
-def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
+def bucket_links(rows: DataFrame, radius: int, direct: bool = False) -> DataFrame:
     """rows (mask, key, fp, id) -> links (a, b), from rows dealt and sorted by (mask, key)."""
     kind = rows.schema["id"].dataType.simpleString()
     bounded_batches(rows.sparkSession)
@@ -108,7 +115,7 @@ def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
         def flush() -> pa.RecordBatch | None:
             if sum(len(x[0]) for x in kept) < 2:
                 return None
-            edges = list(_spanning(np.concatenate([x[0] for x in kept]), [i for x in kept for i in x[1]], radius))
+            edges = list(_spanning(np.concatenate([x[0] for x in kept]), [i for x in kept for i in x[1]], radius, direct))
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], id_type) for k in (0, 1)], names=["a", "b"]) if edges else None
 
         for batch in batches:
@@ -130,18 +137,18 @@ def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
     return rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, levels: int = 3) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, levels: int = 3, parts: int = 1, direct: bool = False) -> DataFrame:
     """nodes (fp, id), fp distinct -> links that connect whatever is connected within the radius."""
-    masks = [_signed(m) for m in covering_masks(radius)]
+    masks = [_signed(m) for m in covering_masks(radius, parts=parts)]
     rows = nodes.select(F.explode(F.array(*(F.lit(m) for m in masks))).alias("mask"), "fp", "id")
     found = None
-    known = set(covering_masks(radius))
+    known = set(covering_masks(radius, parts=parts))
     for level in range(levels):
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         met = written(rows.join(sizes, ["mask", "key"]), "buckets")
         last = level == levels - 1
-        here = bucket_links(met.filter(F.lit(True) if last else F.col("n") <= bucket_rows).drop("n"), radius)
+        here = bucket_links(met.filter(F.lit(True) if last else F.col("n") <= bucket_rows).drop("n"), radius, direct)
         found = here if found is None else found.union(here)
         hot = met.filter(F.col("n") > bucket_rows)
         if last or hot.isEmpty():
@@ -158,7 +165,42 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     links = written(near_links(nodes.filter("id is not null"), radius, bucket_rows).filter("a <> b"), "links")
+    return _named(fps, nodes, links, id_col)
+
+
+def _named(fps: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     roots = components(links)
     named = nodes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pairs (a, b) of ids whose whole texts' sets of shingles have this Jaccard similarity or more. Where several
+    rows have an id, one of them is enough."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi"), "linked")
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        left, right = texts_of(batch, "text_a"), texts_of(batch, "text_b")
+        sets = {t: np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in {*left, *right}}
+        keep = []
+        for x, y in zip(map(sets.__getitem__, left), map(sets.__getitem__, right)):
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(shared >= similarity * (len(x) + len(y) - shared))
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return arrow_map(both, make, f"a {kind}, b {kind}")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, parts: int = WIDE_PARTS, shingle: int = 5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(id, fingerprint, component_id) as near_components, but a wider radius only proposes links: they count where the
+    whole texts are similar. Equal fingerprints are one node, unverified."""
+    fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    pairs = near_links(nodes.filter("id is not null"), radius, bucket_rows, parts=parts, direct=True).filter("a <> b")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = written(verified(pairs, docs, similarity, shingle, id_col, text_col), "links")
+    return _named(fps, nodes, links, id_col)

@@ -133,14 +133,59 @@ def test_simhash_components(spark, odd, bucket_rows):
     assert sorted(map(tuple, simhash.near_components(docs, bucket_rows=bucket_rows).collect()), key=str) == want
 
 
-def test_covering_masks_cover():
-    masks = simhash.covering_masks()
+@pytest.mark.parametrize("radius,parts", [(3, 1), (simhash.WIDE_RADIUS, simhash.WIDE_PARTS), (5, 3)])
+def test_covering_masks_cover(radius, parts):
+    masks = simhash.covering_masks(radius, parts=parts)
     rng = random.Random(3)
-    for r in (1, 2, 3):
-        for _ in range(2000):
+    for r in range(1, radius + 1):
+        for _ in range(1000):
             d = sum(1 << b for b in rng.sample(range(64), r))
             meet = [m for m in masks if not m & d]
-            assert meet and any(not f & d for f in simhash.finer_masks(meet[0]))
+            assert meet and any(not f & d for f in simhash.finer_masks(meet[0], radius))
+
+
+@pytest.mark.parametrize("bucket_rows", [2, 2000])
+def test_similar_components(spark, bucket_rows):
+    """Texts within the wide radius are one group if, and only if, a chain of pairs of 0.8 or more joins them."""
+    rng, rows = random.Random(8), []
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(300)]
+        for k, edits in enumerate((0, 1, 2, 4, 8, 16)):
+            w = list(base)
+            for at in rng.sample(range(300), edits):
+                w[at] = f"x{rng.random()}"
+            rows.append((10 * group + k, " ".join(w)))
+    rows += [(1000, None), (1001, ""), (1002, "few words"), (None, rows[0][1]), rows[3]]
+    sets = [set(simhash.shingle_hashes(t or "", 5)) for _, t in rows]
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t or "", 5)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i, j in combinations(range(len(rows)), 2):
+        if fps[i] == fps[j] or (fps[i] ^ fps[j]).bit_count() <= simhash.WIDE_RADIUS and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root[find(i)] = find(j)
+            linked += fps[i] != fps[j]
+    name = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            name[find(k)] = min(name.get(find(k), i), i)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, id string")
+    got = simhash.similar_components(docs, bucket_rows=bucket_rows).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(((i, name[find(k)]) for k, (i, _) in enumerate(rows)), key=str)
+    assert linked > 24
+
+
+def test_verified_pairs(spark):
+    """8 of 10 shingles in common are enough, 7 of 9 are not."""
+    w = [f"w{i}" for i in range(14)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:12])), (3, " ".join(w[:13])), (4, " ".join(w[:11])), (5, None), (6, "")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (5, 6), (1, 5)], "a long, b long")
+    assert sorted(map(tuple, simhash.verified(pairs, docs, 0.8, 5).collect())) == [(1, 2), (5, 6)]
 
 
 def test_components(spark):
@@ -256,7 +301,7 @@ def test_pipeline(spark):
     ids = {r["doc_id"] for r in out}
     stats = quality_rules.judged(s := quality_rules.text_statistics(docs), quality_rules.fit_rules(s, spark.read.parquet(f"{SF}/labels.parquet")))
     kept = docs.join(stats.filter("kept").select("doc_id"), "doc_id")
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_components(kept, shingle=5).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(kept).collect()}
     leaks = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert ids == {i for i, g in groups.items() if i == g and i not in leaks}
     assert len(corpus_pipeline.STAGES) == 5
