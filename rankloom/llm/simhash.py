@@ -27,8 +27,9 @@ from .common import arrow_map, bounded_batches, texts_of, written
 from .components import components
 
 RADIUS, BITS = 3, 64
-#: For texts of this similarity or more: differing bits up to which they are compared, and parts of the bits that are masked apart.
-SIMILARITY, WIDE_RADIUS, WIDE_PARTS = 0.8, 7, 2
+#: For texts of this similarity or more: differing bits up to which they are compared, and parts of the bits that are masked
+#: apart. In one part keys have about 32 bits, so chance meetings stay rare however many texts there are.
+SIMILARITY, WIDE_RADIUS, WIDE_PARTS = 0.8, 5, 1
 #: Distinct fingerprints of a bucket that one task compares as they stand.
 BUCKET_ROWS = 2000
 
