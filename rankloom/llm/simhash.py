@@ -27,9 +27,13 @@ from .common import arrow_map, bounded_batches, texts_of, written
 from .components import components
 
 RADIUS, BITS = 3, 64
-#: For texts of this similarity or more: differing bits up to which they are compared, and parts of the bits that are masked
-#: apart. In one part keys have about 32 bits, so chance meetings stay rare however many texts there are.
-SIMILARITY, WIDE_RADIUS, WIDE_PARTS = 0.8, 5, 1
+#: For texts of this similarity or more. SimHash does not bring them together: at 0.8, 64-bit fingerprints differ in about 10
+#: bits, beyond any radius that masks can cover. So bits don't limit them (all 64 may differ; masks would take 32 parts), and
+#: MinHash proposes the pairs: BANDS keys of BAND_ROWS minima each, of which a pair at 0.8 shares one with a chance of 0.99993.
+SIMILARITY, WIDE_RADIUS, WIDE_PARTS = 0.8, 64, 32
+BANDS, BAND_ROWS = 24, 5
+#: Untested pairs of a bucket for each of its texts up to which they are all tested at once; rounds until all buckets are.
+PAIRS_PER_TEXT, ROUNDS = 16, 8
 #: Distinct fingerprints of a bucket that one task compares as they stand.
 BUCKET_ROWS = 2000
 
@@ -89,9 +93,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _spanning(fp: np.ndarray, ids: list, radius: int, direct: bool = False) -> Iterator[tuple]:
-    """Edges of a spanning forest of the pairs within the radius, each node expanded once. An edge goes to its tree's
-    first node; if direct, to the node that reached it, so that it is itself within the radius."""
+def _spanning(fp: np.ndarray, ids: list, radius: int) -> Iterator[tuple]:
+    """Edges of a spanning forest of the pairs within the radius, each node expanded once; an edge goes to its tree's first node."""
     left = np.arange(len(fp))
     while len(left):
         first, left = left[0], left[1:]
@@ -100,12 +103,12 @@ def _spanning(fp: np.ndarray, ids: list, radius: int, direct: bool = False) -> I
             now = todo.pop()
             near = np.bitwise_count(fp[left] ^ fp[now]) <= radius
             for j in left[near]:
-                yield ids[now if direct else first], ids[j]
+                yield ids[first], ids[j]
                 todo.append(j)
             left = left[~near]
 
 
-def bucket_links(rows: DataFrame, radius: int, direct: bool = False) -> DataFrame:
+def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
     """rows (mask, key, fp, id) -> links (a, b), from rows dealt and sorted by (mask, key)."""
     kind = rows.schema["id"].dataType.simpleString()
     bounded_batches(rows.sparkSession)
@@ -116,7 +119,7 @@ def bucket_links(rows: DataFrame, radius: int, direct: bool = False) -> DataFram
         def flush() -> pa.RecordBatch | None:
             if sum(len(x[0]) for x in kept) < 2:
                 return None
-            edges = list(_spanning(np.concatenate([x[0] for x in kept]), [i for x in kept for i in x[1]], radius, direct))
+            edges = list(_spanning(np.concatenate([x[0] for x in kept]), [i for x in kept for i in x[1]], radius))
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], id_type) for k in (0, 1)], names=["a", "b"]) if edges else None
 
         for batch in batches:
@@ -138,18 +141,18 @@ def bucket_links(rows: DataFrame, radius: int, direct: bool = False) -> DataFram
     return rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, levels: int = 3, parts: int = 1, direct: bool = False) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, levels: int = 3) -> DataFrame:
     """nodes (fp, id), fp distinct -> links that connect whatever is connected within the radius."""
-    masks = [_signed(m) for m in covering_masks(radius, parts=parts)]
+    masks = [_signed(m) for m in covering_masks(radius)]
     rows = nodes.select(F.explode(F.array(*(F.lit(m) for m in masks))).alias("mask"), "fp", "id")
     found = None
-    known = set(covering_masks(radius, parts=parts))
+    known = set(covering_masks(radius))
     for level in range(levels):
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         met = written(rows.join(sizes, ["mask", "key"]), "buckets")
         last = level == levels - 1
-        here = bucket_links(met.filter(F.lit(True) if last else F.col("n") <= bucket_rows).drop("n"), radius, direct)
+        here = bucket_links(met.filter(F.lit(True) if last else F.col("n") <= bucket_rows).drop("n"), radius)
         found = here if found is None else found.union(here)
         hot = met.filter(F.col("n") > bucket_rows)
         if last or hot.isEmpty():
@@ -196,12 +199,78 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int,
     return arrow_map(both, make, f"a {kind}, b {kind}")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, parts: int = WIDE_PARTS, shingle: int = 5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(id, fingerprint, component_id) as near_components, but a wider radius only proposes links: they count where the
-    whole texts are similar. Equal fingerprints are one node, unverified."""
-    fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+_rng = np.random.default_rng(42)
+_SEEDS, _FACTORS = (_rng.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), np.uint64) for _ in range(2))
+_FACTORS |= np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingles: hashes of BAND_ROWS minima each. No shingles have no keys."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 2048):
+        np.minimum(least, ((hashes[i : i + 2048] ^ _SEEDS) * _FACTORS).min(1), out=least)
+    return np.array([xxhash.xxh64_intdigest(m.tobytes(), band) for band, m in enumerate(least.reshape(BANDS, -1))], np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, fp, content, keys) of every whole text: content is a hash of its set of shingles, keys are its bands."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, content, keys = [], [], []
+        for text in texts_of(batch, text_col):
+            h = shingle_hashes(text, shingle)
+            own = np.unique(np.array(h, np.uint64))
+            fps.append(fingerprint(h))
+            content.append(xxhash.xxh64_intdigest(own.tobytes()))
+            keys.append(band_keys(own))
+        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, content)]
+        return pa.RecordBatch.from_arrays([batch.column(id_col), *longs, pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "content", "keys"])
+
+    return arrow_map(docs.select(id_col, text_col), make, f"id {kind}, fp bigint, content bigint, keys array<bigint>")
+
+
+def similar_links(rows: DataFrame, same: DataFrame, verify, radius: int = WIDE_RADIUS, pairs_per_text: int = PAIRS_PER_TEXT, rounds: int = ROUNDS) -> DataFrame:
+    """rows (key, fp, id) of buckets -> links that connect what verified pairs of the buckets connect. same: links that
+    hold anyway. verify: pairs (a, b) -> those that hold.
+
+    A round tests every pair of different components in a bucket that has few of them; that bucket is done. In a
+    larger one it tests each text against one, another in each round, and joins what holds; in the last round, all
+    pairs. So no bucket is left with an untested pair of different components."""
+    links, tested = same, None
+    for nth in range(rounds):
+        roots = components(links)
+        now = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "fp", "id", F.coalesce("root", "id").alias("root"))
+        parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+        open_ = parts.groupBy("key").agg(F.sum("m").alias("n"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("cross")).filter("cross > 0")
+        now = written(now.join(open_, "key"), "open")
+        few = F.lit(nth == rounds - 1) | (F.col("cross") <= F.col("n") * pairs_per_text)
+        left, many = now.filter(few).select("key", "fp", "id", "root"), now.filter(~few).select("key", "fp", "id", "root")
+        pairs = left.join(left.toDF("key", "fp_b", "b", "root_b"), "key").filter("id < b")
+        order = F.col("id") if not nth else F.xxhash64("id", F.lit(nth))
+        centre = many.groupBy("key").agg(F.min_by(F.struct("fp", "id", "root"), order).alias("c"))
+        star = many.join(centre, "key").select("key", "fp", "id", "root", F.col("c.fp").alias("fp_b"), F.col("c.id").alias("b"), F.col("c.root").alias("root_b"))
+        pairs = pairs.unionByName(star).filter((F.col("root") != F.col("root_b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= radius))
+        pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = links.union(written(verify(pairs), "links"))
+        rows = written(many.select("key", "fp", "id"), "buckets")
+        if rows.isEmpty():
+            break
+    return links
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, shingle: int = 5, bucket_rows: int = PAIRS_PER_TEXT) -> DataFrame:
+    """(id, fingerprint, component_id) as near_components, but of texts whose sets of shingles have this similarity or
+    more (and fingerprints within the radius). Texts with one set are one node; equal fingerprints are linked, unverified."""
+    fps = written(sketches(docs, id_col, text_col, shingle), "sketches")
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    pairs = near_links(nodes.filter("id is not null"), radius, bucket_rows, parts=parts, direct=True).filter("a <> b")
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = written(verified(pairs, docs, similarity, shingle, id_col, text_col), "links")
-    return _named(fps, nodes, links, id_col)
+    texts = written(fps.filter("id is not null").groupBy("fp", "content").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "contents")
+    same = texts.select("fp", F.col("id").alias("b")).join(nodes.withColumnRenamed("id", "a"), "fp").select("a", "b").filter("a <> b")
+    rows = texts.select(F.explode("keys").alias("key"), "fp", "id")
+    met = written(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key"), "buckets")
+    links = similar_links(met, written(same, "same"), lambda pairs: verified(pairs, docs, similarity, shingle, id_col, text_col), radius, bucket_rows)
+    return _named(fps.select("id", "fp"), nodes, links, id_col)

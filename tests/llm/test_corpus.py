@@ -180,6 +180,26 @@ def test_similar_components(spark, bucket_rows):
     assert linked > 24
 
 
+def test_similar_pairs_are_found(spark):
+    """Every pair at 0.8 or more of documents is in one group, however many bits their fingerprints differ in."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], set(simhash.shingle_hashes(r["text"] or "", 5))) for r in docs.collect()]
+    group = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    fps = {r["id"]: r["fp"] for r in simhash.fingerprints(docs, shingle=5).collect()}
+    pairs = [(i, j) for (i, x), (j, y) in combinations(rows, 2) if len(x & y) >= 0.8 * len(x | y)]
+    assert all(group[i] == group[j] for i, j in pairs)
+    assert any((fps[i] ^ fps[j]).bit_count() > 5 for i, j in pairs)
+
+
+@pytest.mark.parametrize("pairs_per_text", [0, 16])
+def test_failed_link_hides_no_pair(spark, pairs_per_text):
+    """In one bucket 1 is like none, 2 to 9 are like their neighbours: no failed link may hide a pair that holds."""
+    rows = spark.createDataFrame([(7, 0, i) for i in range(1, 10)], "key long, fp long, id long")
+    none = spark.createDataFrame([], "a long, b long")
+    links = simhash.similar_links(rows, none, lambda pairs: pairs.filter("a > 1 and b = a + 1"), pairs_per_text=pairs_per_text, rounds=3)
+    assert {r["node"]: r["root"] for r in components(links).collect()} == {i: 2 for i in range(2, 10)}
+
+
 def test_verified_pairs(spark):
     """8 of 10 shingles in common are enough, 7 of 9 are not."""
     w = [f"w{i}" for i in range(14)]
