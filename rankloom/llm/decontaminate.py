@@ -188,5 +188,9 @@ def _searched(docs: DataFrame, block: list[tuple[int, str]], schema: str) -> Dat
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark segment."""
-    return docs.join(contaminated(docs, benchmark, id_col, text_col).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    """docs without those that hold a benchmark segment. Each row counts by its own text, whatever others have its id."""
+    own = F.struct(F.col(id_col), F.xxhash64(text_col))
+    rows = docs.withColumn("_row", own)
+    found = contaminated(rows, benchmark, "_row", text_col).select("_row").distinct()
+    kept = rows.join(found, rows["_row"].eqNullSafe(found["_row"]), "left_anti")
+    return kept.select(*docs.columns)

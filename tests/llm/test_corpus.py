@@ -305,6 +305,18 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()) == [3, 4, 5, 6]
 
 
+def test_rows_without_an_id(spark):
+    """A null id is no exemption, and a contaminated row takes no other row of its id along."""
+    item = "The quick brown fox jumps over the lazy dog while seven wizards mix dark jugs of lively phosphorescent quartz tonight."
+    rows = [(None, f"mail boss@acme.example or +1 234 567 8901: {item}"), (None, "write to a@b.example now"), (1, item), (1, "clean"), (None, "clean"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, id string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = [(r["doc_id"], r["text"]) for r in decontaminate.decontaminated(docs, bench).collect()]
+    assert sorted(left, key=str) == sorted([rows[1], *rows[3:]], key=str)
+    out = [r["text"] for r in pii.sanitised(docs).collect()]
+    assert len(out) == len(rows) and not any("@" in t or "8901" in t for t in out if t)
+
+
 def test_quality_counts(spark, odd):
     text = "a b c a b c\nx #|\nx #|\n\n"
     assert quality_rules.counts_of(text)[:5] == (10, 12, 4, 1, 6)
