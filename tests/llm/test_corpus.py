@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -245,6 +246,37 @@ def test_pii_disclosing_terms(spark):
     assert all(out[i] == t for i, t in rows[6:])
 
 
+def test_pii_terms_of_real_documents(spark):
+    """The terms that the production parameters disclose on sf0.1, against counts of documents by hand."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    some = pii.find_base(docs).filter("text is not null").cache()
+    got = {(r["entity"], r["term"]): r["pmi"] for r in pii.disclosures(docs, some).collect()}
+    assert got
+    n, n_e, n_t, n_et = 0, Counter(), Counter(), Counter()
+    terms_of = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]+", t or "") if len(w) >= 3}
+    for r in docs.collect():
+        n += 1
+        n_t.update(terms_of(r["text"]))
+    for r in some.collect():
+        entities = {f"{x['kind']}:{x['value']}" for k in pii.BASE for x in r[k]}
+        n_e.update(entities)
+        n_et.update((e, t) for e in entities for t in terms_of(r["text"]))
+    share = lambda k: (k + 0.5) / (n + 1)
+    pmi = {(e, t): np.log(share(k) / share(n_e[e]) / share(n_t[t])) for (e, t), k in n_et.items()}
+    want = {k: v for k, v in pmi.items() if v * 1.5 >= -np.log(share(n_e[k[0]]))}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_pii_counts_of_copies(spark):
+    """A term beside an entity discloses it, be its documents one or a thousand copies."""
+    rows = [(i, f"filler words of page number {i % 7}") for i in range(2000)]
+    for copies in (1, 1000):
+        own = [(10_000 + i, "Zorblatt writes boss@acme.example") for i in range(copies)]
+        docs = spark.createDataFrame(rows + own, "doc_id long, text string")
+        out = [r["text"] for r in pii.sanitised(docs).collect() if r["doc_id"] >= 10_000]
+        assert len(out) == copies and all("Zorblatt" not in t and "[EMAIL]" in t for t in out)
+
+
 def test_language_gradients_and_accuracy(spark):
     m, rng = language_id.ByteBiGRU(3, 4), np.random.default_rng(1)
     x, y = rng.integers(0, 256, (5, 7)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
