@@ -3,7 +3,8 @@
 recurrence.py brings together all places where 50 words may recur. Here, for each shard of them, recurring passages
 are confirmed (runs of windows that two documents or more have, by their hash), and an Aho-Corasick automaton is
 compiled from them, over words as symbols. All pieces of the shard then stream through it; every occurrence of a
-passage found by the automaton votes with its document, and the smallest document keeps the passage.
+passage found by the automaton votes with its document, and the smallest document keeps the passage. Windows of a
+passage that their smallest document has, but not unbroken, are compiled and voted on one by one.
 
 Defined cases: null text has no words; texts under 50 words lose nothing; rows without an id neither lose nor take;
 repeated ids don't count as smaller; an empty table gives an empty result; other columns are not read.
@@ -27,12 +28,14 @@ from .recurrence import WINDOW, WORDS, Distinct, kept_parts, repeated_spans, wit
 AUTOMATON_WORDS = 120_000
 #: Occurrences that vote at a time.
 OCCURRENCES = 32_768
+#: Single windows that one automaton is compiled from.
+SINGLES = 20_000
 #: Code points that stand for words: above the surrogates.
 FIRST_CODE, CODES = 0xE000, 0x110000 - 0xE000
 
 
-def _confirmed(codes: list[np.ndarray], windows: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
-    """(piece, first window, windows) of the passages: runs of a piece's windows that have one smallest document, by hash."""
+def _confirmed(codes: list[np.ndarray], windows: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(piece, first window, windows, smallest document) of the passages: runs of a piece's windows that have one smallest document, by hash."""
     flat = np.concatenate(codes)
     sizes = np.array([len(c) for c in codes], np.int64)
     h = winnow.unit_gram_hash(flat.astype(np.uint64), WINDOW)
@@ -46,38 +49,48 @@ def _confirmed(codes: list[np.ndarray], windows: np.ndarray, first: np.ndarray)
     least[order] = np.repeat(np.minimum.reduceat(first[piece[order]], cuts), n)
     new = np.concatenate([[True], (np.diff(piece) != 0) | (np.diff(least) != 0)])
     at = np.flatnonzero(new)
-    return list(zip(piece[at].tolist(), nth[at].tolist(), np.diff(np.concatenate([at, [len(piece)]])).tolist()))
+    return list(zip(piece[at].tolist(), nth[at].tolist(), np.diff(np.concatenate([at, [len(piece)]])).tolist(), least[at].tolist()))
 
 
-def _block(raw: list[list[bytes]], windows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Smallest document for each window of the pieces of one automaton."""
-    code: dict[bytes, int] = {}
-    codes = [np.array([code.setdefault(w, len(code)) for w in words], np.uint32) for words in raw]
-    if len(code) > CODES:
-        raise ValueError("more distinct words in one anchor's pieces than code points")
-    text = [(c + np.uint32(FIRST_CODE)).astype("<u4").tobytes().decode("utf-32-le") for c in codes]
-    automaton, size = ahocorasick.Automaton(), []
-    for piece, at, n in _confirmed(codes, windows, first):
-        phrase = text[piece][at : at + n + WINDOW - 1]
-        if phrase not in automaton:
-            automaton.add_word(phrase, len(size))
-            size.append(n)
+def _voted(phrases: dict[str, int], text: list[str], windows: np.ndarray, first: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Smallest document of each phrase (with its number of windows), put to all windows of its occurrences in out."""
+    automaton = ahocorasick.Automaton()
+    for k, phrase in enumerate(phrases):
+        automaton.add_word(phrase, k)
     automaton.make_automaton()
     found = array("q")
     for p, t in enumerate(text):
         for end, k in automaton.iter(t):
             found.extend((k, p, end))
     key, piece, end = np.frombuffer(found, np.int64).reshape(-1, 3).T
-    owner = np.full(len(size), np.iinfo(np.int64).max)
+    owner = np.full(len(phrases), np.iinfo(np.int64).max)
     np.minimum.at(owner, key, first[piece])
     base = np.cumsum(windows) - windows
-    n = np.array(size, np.int64)[key]
+    n = np.fromiter(phrases.values(), np.int64, len(phrases))[key]
     begin = base[piece] + end + 1 - (n + WINDOW - 1)  # first window of the occurrence
-    out = np.full(int(windows.sum()), np.iinfo(np.int64).max)
     for i in range(0, len(key), OCCURRENCES):
         m, b, o = n[i : i + OCCURRENCES], begin[i : i + OCCURRENCES], owner[key[i : i + OCCURRENCES]]
         nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         np.minimum.at(out, np.repeat(b, m) + nth, np.repeat(o, m))
+    return owner
+
+
+def _block(raw: list[list[bytes]], windows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Smallest document for each window of the pieces of one automaton."""
+    code: dict[bytes, int] = {}
+    codes = [np.array([code.setdefault(w, len(code)) for w in words], np.uint32) for words in raw]
+    if len(code) > CODES:
+        raise ValueError("more distinct words in one anchor's pieces than code points")
+    text = [(c + np.uint32(FIRST_CODE)).astype("<u4").tobytes().decode("utf-32-le") for c in codes]
+    out = np.full(int(windows.sum()), np.iinfo(np.int64).max)
+    runs: dict[str, tuple[int, int]] = {}
+    for piece, at, n, least in _confirmed(codes, windows, first):
+        runs.setdefault(text[piece][at : at + n + WINDOW - 1], (n, least))
+    owner = _voted({phrase: n for phrase, (n, _) in runs.items()}, text, windows, first, out)
+    broken = [phrase for (phrase, (_, least)), o in zip(runs.items(), owner.tolist()) if o != least]
+    singles = list(dict.fromkeys(phrase[k : k + WINDOW] for phrase in broken for k in range(len(phrase) - WINDOW + 1)))
+    for i in range(0, len(singles), SINGLES):
+        _voted(dict.fromkeys(singles[i : i + SINGLES], 1), text, windows, first, out)
     return out
 
 

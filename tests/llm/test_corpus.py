@@ -62,6 +62,18 @@ def test_substring_dedup(spark, odd, table):
         assert sorted(((r[0], r[1], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_substring_dedup_of_broken_runs(spark):
+    """Document 2's 'a S b' is in document 1 as 'a S' and 'S b' apart, and S has 49 words: all of it goes."""
+    rows = []
+    for k in range(20):
+        s = " ".join(f"s{k}x{i}" for i in range(49))
+        rows += [(10 * k + 1, f"p{k} a {s} c{k} y{k} {s} b z{k}"), (10 * k + 2, f"q{k} a {s} b r{k}"), (10 * k + 3, f"a {s} c{k}"), (10 * k + 3, f"{s} b z{k}"), (10 * k + 4, f"a {s} b z{k}")]
+    got = phrase_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_removed(rows, words_of)
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == sorted((i, n, g, b" ".join(k).decode()) for i, n, g, k in want)
+    assert sum(g == 51 for _, _, g, _ in want) >= 20
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(1)
     for _ in range(100):
