@@ -9,7 +9,8 @@ rule_column       the ordered list as one CASE WHEN expression
 
 Defined cases: a null or empty text has no words, all counts are zero and it fails the base rule. Repeated rows are
 judged alike. An empty table gives an empty result. No usable labels give no rules, so the base rule alone decides.
-Columns other than the id and the text are not read. A null id never meets a label.
+Columns other than the id and the text are not read, but accepted() returns them all, whatever their names. A null id never
+meets a label. Of several labels of an id the largest counts. Ties between thresholds go to the first feature, the lowest value.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hash_share, texts_of
+from .common import arrow_map, hash_share, texts_of, written
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -102,37 +103,52 @@ def _holds(x: np.ndarray, names: list[str], rule: list[Condition]) -> np.ndarray
     return ok
 
 
+def _best(v: np.ndarray, bad: np.ndarray, values: np.ndarray, base: float) -> tuple[float, str, float]:
+    """(FOIL gain, operator, threshold) of the best of these thresholds."""
+    order = np.argsort(v, kind="stable")
+    all_below = np.searchsorted(v[order], values)  # rows and bad rows below each threshold
+    bad_below = np.concatenate([[0], np.cumsum(bad[order])])[all_below]
+    best = (1e-9, "", 0.0)
+    for op, p, n in ((">=", bad.sum() - bad_below, len(v) - all_below), ("<", bad_below, all_below)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(p > 0, p * (np.log2(p / n) - base), 0.0)
+        if len(gain) and gain.max() > best[0]:
+            best = (float(gain.max()), op, float(values[int(gain.argmax())]))
+    return best
+
+
 def _grow(x: np.ndarray, y: np.ndarray, names: list[str], most: int) -> list[Condition]:
-    """Add the threshold of the largest FOIL gain until the rule covers no good row or nothing gains."""
-    rule: list[Condition] = []
+    """Add the threshold of the largest FOIL gain, out of all values between rows, until the rule covers no good row or
+    nothing gains. Thresholds on one side of one feature are one condition, the tightest."""
+    rule: dict[tuple[str, str], float] = {}
     inside = np.ones(len(x), bool)
-    while len(rule) < most and (p := (y & inside).sum()) and (~y & inside).any():
+    while (p := (y & inside).sum()) and (~y & inside).any():
         base, best = np.log2(p / inside.sum()), (1e-9, None)
         for j, name in enumerate(names):
-            v = x[inside, j]
-            bad = y[inside]
-            for at in np.unique(np.quantile(v, np.linspace(0, 1, 65)[1:])):
-                for op, in_ in ((">=", v >= at), ("<", v < at)):
-                    if pp := (bad & in_).sum():
-                        gain = pp * (np.log2(pp / in_.sum()) - base)
-                        if gain > best[0]:
-                            best = (gain, (name, op, float(at)))
-        if best[1] is None:
+            v = np.unique(x[inside, j])
+            gain, op, at = _best(x[inside, j], y[inside], (v[1:] + v[:-1]) / 2, base)
+            if gain > best[0]:
+                best = (gain, (name, op, at))
+        if best[1] is None or best[1][:2] not in rule and len(rule) == most:
             break
-        rule.append(best[1])
-        inside &= _holds(x, names, rule[-1:])
-    return rule
+        rule[best[1][:2]] = best[1][2]
+        inside &= _holds(x, names, [best[1]])
+    return [(*k, at) for k, at in rule.items()]
 
 
 def _prune(x: np.ndarray, y: np.ndarray, names: list[str], rule: list[Condition], least: float) -> list[Condition]:
-    """The shortest head of the rule with the best (p - n) / (p + n) on rows that didn't grow it."""
-    def worth(k: int) -> float:
-        c = _holds(x, names, rule[:k])
+    """The rule without the conditions that add nothing to (p - n) / (p + n) on rows that didn't grow it, whichever they
+    are; none at all if it is not precise enough there."""
+    def worth(r: list[Condition]) -> float:
+        c = _holds(x, names, r)
         return ((y & c).sum() - (~y & c).sum()) / max(c.sum(), 1)
 
-    scores = [worth(k) for k in range(1, len(rule) + 1)]
-    k = int(np.argmax(scores)) + 1 if scores else 0
-    return rule[:k] if k and (scores[k - 1] + 1) / 2 >= least else []
+    while len(rule) > 1:
+        score, k = max((worth(rule[:k] + rule[k + 1 :]), k) for k in range(len(rule)))
+        if score < worth(rule):
+            break
+        rule = rule[:k] + rule[k + 1 :]
+    return rule if rule and (worth(rule) + 1) / 2 >= least else []
 
 
 def learn_rules(x: np.ndarray, y: np.ndarray, names: list[str], precision: float = 0.97, max_rules: int = 12, max_conditions: int = 4, least_cover: int = 5, seed: int = 7) -> list[list[Condition]]:
@@ -181,3 +197,12 @@ def judged(stats: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     """stats with base_failed, rule (0: none) and kept."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return stats.withColumn("base_failed", failed).withColumn("rule", rule_column(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that neither the base rule nor rules learned from their labels reject."""
+    plain = docs.toDF(*(f"_{k}" for k in range(len(docs.columns))))  # no name of the table's own meets one of ours
+    own = dict(zip(docs.columns, plain.columns))
+    stats = written(text_statistics(plain, own[id_col], own[text_col], keep=plain.columns), "statistics")
+    marks = labels.select(F.col(id_col).alias(own[id_col]), "quality")
+    return judged(stats, fit_rules(stats, marks, own[id_col])).filter("kept").select(*(F.col(v).alias(k) for k, v in own.items()))
