@@ -42,6 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> str | list[str]:
+    """Names like these that no column of df has, so that helper columns cannot meet the table's own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out if len(out) > 1 else out[0]
+
+
 def hash_share(key: Column, wanted: int, total: int) -> Column:
     """A filter that keeps about ``wanted`` of ``total`` rows by the hash of a key, alike in every run."""
     slots = 1 << 30

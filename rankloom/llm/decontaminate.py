@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, texts_of
+from .common import bounded_batches, texts_of, unused
 
 Q, SEGMENT, STEP, EDITS, LEAST = 8, 80, 40, 0.075, 40
 #: Bytes of passages held by a task at a time.
@@ -189,8 +189,8 @@ def _searched(docs: DataFrame, block: list[tuple[int, str]], schema: str) -> Dat
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a benchmark segment. Each row counts by its own text, whatever others have its id."""
-    own = F.struct(F.col(id_col), F.xxhash64(text_col))
-    rows = docs.withColumn("_row", own)
-    found = contaminated(rows, benchmark, "_row", text_col).select("_row").distinct()
-    kept = rows.join(found, rows["_row"].eqNullSafe(found["_row"]), "left_anti")
+    row = unused(docs, "row")
+    rows = docs.withColumn(row, F.struct(F.col(id_col), F.xxhash64(text_col)))  # equal structs have equal or no ids
+    found = contaminated(rows, benchmark, row, text_col).select(row).distinct()
+    kept = rows.join(found, row, "left_anti")
     return kept.select(*docs.columns)
