@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps, each step a written table.
 
 A node's neighbours are never gathered: each step takes the minimum per node (combined before the shuffle) and joins
-it back; a star's centre with very many links is a skewed join key, which adaptive execution splits.
+it back; a star's centre with very many links is a skewed join key, which adaptive execution splits. Steps go on until
+the edges stay as they are; each lowers a node's neighbour or ends the work, so they do.
 """
 
 from __future__ import annotations
@@ -16,13 +17,11 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, root) for every linked node; root is the smallest node of its component."""
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    seen = _mark(edges)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    seen, now = None, _mark(edges)
+    while now[0] and now != seen:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -30,10 +29,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "small")
-        now = _mark(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        seen, now = now, _mark(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

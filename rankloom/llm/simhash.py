@@ -8,9 +8,13 @@ Equal fingerprints are one node from the start. A bucket is never expanded into
 forest of the links it finds. Buckets above BUCKET_ROWS are dealt anew by finer masks (the free bits in r + 1 blocks,
 of which one must agree), so that what meets in one task is bounded by the bits left free, not by the data.
 
+similar_components is the pipeline's way to texts of a similarity of 0.8 or more, beyond the reach of any radius: MinHash
+proposes, whole texts confirm.
+
 Defined cases: null or wordless text has fingerprint 0 and links like any other; fewer than three words are one
-shingle; repeated rows and ties share a component; a null id takes part but never names a component unless it is alone
-(then null); an empty table gives an empty result. Columns other than id and text are not read.
+shingle; repeated rows and ties share a component. A row without an id links like any other, also between rows that have
+one, but never names a component unless no row of it has an id (then null). An empty table gives an empty result. Columns
+other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,20 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_batches, texts_of, written
+from .common import arrow_map, bounded_batches, texts_of, unused, written
 from .components import components
 
 RADIUS, BITS = 3, 64
 #: For texts of this similarity or more. SimHash does not bring them together: at 0.8, 64-bit fingerprints differ in about 10
-#: bits, beyond any radius that masks can cover. So bits don't limit them (all 64 may differ; masks would take 32 parts), and
-#: MinHash proposes the pairs: BANDS keys of BAND_ROWS minima each, of which a pair at 0.8 shares one with a chance of 0.99993.
-SIMILARITY, WIDE_RADIUS, WIDE_PARTS = 0.8, 64, 32
-BANDS, BAND_ROWS = 24, 5
-#: Untested pairs of a bucket for each of its texts up to which they are all tested at once; rounds until all buckets are.
-PAIRS_PER_TEXT, ROUNDS = 16, 8
+#: bits, beyond any radius that masks can cover. MinHash proposes the pairs: BANDS keys of BAND_ROWS minima each, of which a
+#: pair at 0.8 shares one with a chance of 0.99993.
+SIMILARITY, BANDS, BAND_ROWS = 0.8, 24, 5
+#: Texts, and shingles of them, of a slot: the part of a bucket that one group of a task holds, about.
+SLOT_TEXTS, SLOT_SHINGLES = 512, 200_000
 #: Distinct fingerprints of a bucket that one task compares as they stand.
 BUCKET_ROWS = 2000
 
@@ -93,7 +96,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _spanning(fp: np.ndarray, ids: list, radius: int) -> Iterator[tuple]:
+def _spanning(fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """Edges of a spanning forest of the pairs within the radius, each node expanded once; an edge goes to its tree's first node."""
     left = np.arange(len(fp))
     while len(left):
@@ -103,48 +106,44 @@ def _spanning(fp: np.ndarray, ids: list, radius: int) -> Iterator[tuple]:
             now = todo.pop()
             near = np.bitwise_count(fp[left] ^ fp[now]) <= radius
             for j in left[near]:
-                yield ids[first], ids[j]
+                yield first, j
                 todo.append(j)
             left = left[~near]
 
 
 def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
-    """rows (mask, key, fp, id) -> links (a, b), from rows dealt and sorted by (mask, key)."""
-    kind = rows.schema["id"].dataType.simpleString()
+    """rows (mask, key, fp) -> links (a, b) of fingerprints, from rows dealt and sorted by (mask, key)."""
     bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, at = [], None
 
         def flush() -> pa.RecordBatch | None:
-            if sum(len(x[0]) for x in kept) < 2:
-                return None
-            edges = list(_spanning(np.concatenate([x[0] for x in kept]), [i for x in kept for i in x[1]], radius))
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], id_type) for k in (0, 1)], names=["a", "b"]) if edges else None
+            fp = np.concatenate(kept)
+            edges = list(_spanning(fp.view(np.uint64), radius))
+            return pa.RecordBatch.from_arrays([pa.array(fp[[e[k] for e in edges]]) for k in (0, 1)], names=["a", "b"]) if edges else None
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            id_type = batch.column("id").type
             mask, key, fp = (np.asarray(batch.column(c)) for c in ("mask", "key", "fp"))
-            ids = batch.column("id").to_pylist()
             cuts = [0, *(np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1), len(mask)]
             for i, j in zip(cuts, cuts[1:]):
                 if at != (mask[i], key[i]):
                     if kept and (out := flush()) is not None:
                         yield out
                     kept, at = [], (mask[i], key[i])
-                kept.append((fp[i:j].astype(np.int64).view(np.uint64), ids[i:j]))
+                kept.append(fp[i:j].astype(np.int64))
         if kept and (out := flush()) is not None:
             yield out
 
-    return rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, levels: int = 3) -> DataFrame:
-    """nodes (fp, id), fp distinct -> links that connect whatever is connected within the radius."""
+    """nodes (fp), distinct -> links (a, b) of fingerprints that connect whatever is connected within the radius."""
     masks = [_signed(m) for m in covering_masks(radius)]
-    rows = nodes.select(F.explode(F.array(*(F.lit(m) for m in masks))).alias("mask"), "fp", "id")
+    rows = nodes.select(F.explode(F.array(*(F.lit(m) for m in masks))).alias("mask"), "fp")
     found = None
     known = set(covering_masks(radius))
     for level in range(levels):
@@ -160,43 +159,28 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET
         finer = {m: finer_masks(m, radius) for m in known}
         known = {x for v in finer.values() for x in v}
         choice = F.create_map(*(x for m, v in finer.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(y)) for y in v)))))
-        rows = hot.select(F.explode(F.element_at(choice, F.col("mask"))).alias("mask"), "fp", "id")
+        rows = hot.select(F.explode(F.element_at(choice, F.col("mask"))).alias("mask"), "fp")
     return found
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, shingle: int = 3) -> DataFrame:
     """(id, fingerprint, component_id) for every row of docs."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    links = written(near_links(nodes.filter("id is not null"), radius, bucket_rows).filter("a <> b"), "links")
-    return _named(fps, nodes, links, id_col)
-
-
-def _named(fps: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
-    roots = components(links)
-    named = nodes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    links = written(near_links(nodes.select("fp"), radius, bucket_rows), "links")
+    named = _named(nodes, "fp", components(links))
+    return fps.join(named, "fp").select(F.col("id").alias(id_col), _hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs (a, b) of ids whose whole texts' sets of shingles have this Jaccard similarity or more. Where several
-    rows have an id, one of them is enough."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi"), "linked")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+def _hexed(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right = texts_of(batch, "text_a"), texts_of(batch, "text_b")
-        sets = {t: np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in {*left, *right}}
-        keep = []
-        for x, y in zip(map(sets.__getitem__, left), map(sets.__getitem__, right)):
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(shared >= similarity * (len(x) + len(y) - shared))
-        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return arrow_map(both, make, f"a {kind}, b {kind}")
+def _named(nodes: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """(key, component_id): nodes (key, least id) take the least id of their component."""
+    rooted = nodes.join(roots.withColumnRenamed("node", key), key, "left").select(key, "least", F.coalesce("root", key).alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(names, "root").select(key, "component_id")
 
 
 _rng = np.random.default_rng(42)
@@ -215,62 +199,168 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, fp, content, keys) of every whole text: content is a hash of its set of shingles, keys are its bands."""
+    """(id, th, fp, content, size, keys) of every whole text: th is the text's hash, content a hash of its set of shingles, of
+    which there are size, keys are its bands."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, content, keys = [], [], []
-        for text in texts_of(batch, text_col):
+        fps, content, size, keys = [], [], [], []
+        for text in texts_of(batch):
             h = shingle_hashes(text, shingle)
             own = np.unique(np.array(h, np.uint64))
             fps.append(fingerprint(h))
             content.append(xxhash.xxh64_intdigest(own.tobytes()))
+            size.append(len(own))
             keys.append(band_keys(own))
         longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, content)]
-        return pa.RecordBatch.from_arrays([batch.column(id_col), *longs, pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "content", "keys"])
-
-    return arrow_map(docs.select(id_col, text_col), make, f"id {kind}, fp bigint, content bigint, keys array<bigint>")
-
-
-def similar_links(rows: DataFrame, same: DataFrame, verify, radius: int = WIDE_RADIUS, pairs_per_text: int = PAIRS_PER_TEXT, rounds: int = ROUNDS) -> DataFrame:
-    """rows (key, fp, id) of buckets -> links that connect what verified pairs of the buckets connect. same: links that
-    hold anyway. verify: pairs (a, b) -> those that hold.
-
-    A round tests every pair of different components in a bucket that has few of them; that bucket is done. In a
-    larger one it tests each text against one, another in each round, and joins what holds; in the last round, all
-    pairs. So no bucket is left with an untested pair of different components."""
-    links, tested = same, None
-    for nth in range(rounds):
-        roots = components(links)
-        now = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "fp", "id", F.coalesce("root", "id").alias("root"))
-        parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-        open_ = parts.groupBy("key").agg(F.sum("m").alias("n"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("cross")).filter("cross > 0")
-        now = written(now.join(open_, "key"), "open")
-        few = F.lit(nth == rounds - 1) | (F.col("cross") <= F.col("n") * pairs_per_text)
-        left, many = now.filter(few).select("key", "fp", "id", "root"), now.filter(~few).select("key", "fp", "id", "root")
-        pairs = left.join(left.toDF("key", "fp_b", "b", "root_b"), "key").filter("id < b")
-        order = F.col("id") if not nth else F.xxhash64("id", F.lit(nth))
-        centre = many.groupBy("key").agg(F.min_by(F.struct("fp", "id", "root"), order).alias("c"))
-        star = many.join(centre, "key").select("key", "fp", "id", "root", F.col("c.fp").alias("fp_b"), F.col("c.id").alias("b"), F.col("c.root").alias("root_b"))
-        pairs = pairs.unionByName(star).filter((F.col("root") != F.col("root_b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= radius))
-        pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = links.union(written(verify(pairs), "links"))
-        rows = written(many.select("key", "fp", "id"), "buckets")
-        if rows.isEmpty():
-            break
-    return links
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, shingle: int = 5, bucket_rows: int = PAIRS_PER_TEXT) -> DataFrame:
-    """(id, fingerprint, component_id) as near_components, but of texts whose sets of shingles have this similarity or
-    more (and fingerprints within the radius). Texts with one set are one node; equal fingerprints are linked, unverified."""
-    fps = written(sketches(docs, id_col, text_col, shingle), "sketches")
-    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    texts = written(fps.filter("id is not null").groupBy("fp", "content").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "contents")
-    same = texts.select("fp", F.col("id").alias("b")).join(nodes.withColumnRenamed("id", "a"), "fp").select("a", "b").filter("a <> b")
-    rows = texts.select(F.explode("keys").alias("key"), "fp", "id")
-    met = written(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key"), "buckets")
-    links = similar_links(met, written(same, "same"), lambda pairs: verified(pairs, docs, similarity, shingle, id_col, text_col), radius, bucket_rows)
-    return _named(fps.select("id", "fp"), nodes, links, id_col)
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *longs, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "fp", "content", "size", "keys"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return arrow_map(rows, make, f"id {kind}, th bigint, fp bigint, content bigint, size bigint, keys array<bigint>")
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> Iterator[np.ndarray]:
+    """For each sorted set in left, which sets in right have this Jaccard similarity or more: shared members are counted
+    over an index of right."""
+    sizes = np.array([len(x) for x in right], np.int64)
+    flat, owner = np.concatenate(right), np.repeat(np.arange(len(right)), sizes)
+    order = np.argsort(flat, kind="stable")
+    owner = owner[order]
+    value, first, times = np.unique(flat[order], return_index=True, return_counts=True)
+    for x in left:
+        shared = np.zeros(len(right), np.int64)
+        if len(value) and len(x):
+            at = np.searchsorted(value, x)
+            at[at == len(value)] = 0
+            at = at[value[at] == x]
+            n = times[at]
+            shared = np.bincount(owner[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(right))
+        yield shared >= similarity * (len(x) + sizes - shared)
+
+
+def slot_links(rows: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """rows (key, slot, other, asks, content, root) -> links (a, b). In each group (key, slot, other) the texts that ask are held
+    against the rest by their sets of shingles; texts of one root are not, and one link for each two roots is enough."""
+    bounded_batches(rows.sparkSession)
+
+    def links(group: list[tuple]) -> list[tuple[int, int]]:
+        sets: dict[int, np.ndarray] = {c: np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for _, c, _, t in group}
+        ask, rest = ([(c, r) for a, c, r, _ in group if a == own] for own in (True, False))
+        if not ask or not rest:
+            return []
+        root: dict[int, int] = {r: r for _, _, r, _ in group}
+
+        def find(r: int) -> int:
+            while root[r] != r:
+                root[r] = r = root[root[r]]
+            return r
+
+        out = []
+        for (a, of_a), near in zip(ask, alike([sets[c] for c, _ in ask], [sets[c] for c, _ in rest], similarity)):
+            for k in np.flatnonzero(near).tolist():
+                b, of_b = rest[k]
+                if (x := find(of_a)) != (y := find(of_b)):
+                    root[x] = y
+                    out.append((a, b))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(group) > 1 and (found := links(group)):
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, slot, other, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, slot, other) != at:
+                    yield from flush()
+                    at, group = (key, slot, other), []
+                group.append(tuple(row))
+        yield from flush()
+
+    held = rows.join(texts, "content").select("key", "slot", "other", "asks", "content", "root", "text")
+    return held.repartition("key", "slot", "other").sortWithinPartitions("key", "slot", "other").mapInArrow(run, "a bigint, b bigint")
+
+
+def _slots(n: Column, shingles: Column, slot_texts: int) -> Column:
+    return F.greatest(F.ceil(n / slot_texts), F.ceil(shingles / SLOT_SHINGLES)).cast("int")
+
+
+def _slot(slots: Column) -> Column:
+    return F.pmod(F.xxhash64("content", F.lit(5)), slots).cast("int")
+
+
+def _every(slots: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), slots - 1))
+
+
+def buckets(contents: DataFrame) -> DataFrame:
+    """contents (content, size, keys) -> (key, content, size) of the buckets of two or more; of buckets with the same members, one."""
+    rows = contents.select(F.explode("keys").alias("key"), "content", "size")
+    members = [F.bit_xor(F.xxhash64("content", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1").groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
+    return rows.join(keys.select("key"), "key")
+
+
+def similar_links(met: DataFrame, texts: DataFrame, same: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, slot_texts: int = SLOT_TEXTS) -> DataFrame:
+    """met (key, content, size) of buckets and texts (content, text) -> (node, root): what pairs in the buckets connect whose
+    sets of shingles have the similarity or more, or same (a, b), links that hold anyway.
+
+    First each bucket's texts are held against one of them. Then, where a bucket of three or more is still in pieces, the
+    texts outside its largest piece are held against all of it, in slots of bounded size on either side. So every pair
+    of a bucket is tested unless it is connected already, and what a task holds does not grow with a bucket."""
+    sums = (F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    centres = met.groupBy("key").agg(*sums, F.min("content").alias("centre")).withColumn("slots", _slots(F.col("n"), F.col("shingles"), slot_texts))
+    rest = met.join(centres, "key").filter("content <> centre").select("key", _slot(F.col("slots")).alias("slot"), F.lit(0).alias("other"), F.lit(False).alias("asks"), "content", F.col("content").alias("root"))
+    ask = centres.select("key", _every(F.col("slots")).alias("slot"), F.lit(0).alias("other"), F.lit(True).alias("asks"), F.col("centre").alias("content"), F.col("centre").alias("root"))
+    roots = components(same.union(slot_links(rest.union(ask), texts, similarity, shingle)))
+
+    now = met.join(centres.filter("n > 2").select("key", "n", "shingles", "slots"), "key").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    now = written(now, "rooted")
+    parts = now.groupBy("key", "root", "n", "shingles").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("own"))
+    open_ = parts.groupBy("key", "n", "shingles").agg(F.max(F.struct("m", "own", "root")).alias("top")).filter("n > top.m")
+    open_ = open_.select("key", F.col("top.root").alias("major"), _slots(F.col("n") - F.col("top.m"), F.col("shingles") - F.col("top.own"), slot_texts).alias("asking"))
+    both = now.join(open_, "key")
+    rest = both.select("key", _slot(F.col("slots")).alias("slot"), _every(F.col("asking")).alias("other"), F.lit(False).alias("asks"), "content", "root")
+    ask = both.filter("root <> major").select("key", _every(F.col("slots")).alias("slot"), _slot(F.col("asking")).alias("other"), F.lit(True).alias("asks"), "content", "root")
+    links = written(slot_links(rest.union(ask), texts, similarity, shingle), "links")
+    return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = 5, slot_texts: int = SLOT_TEXTS) -> DataFrame:
+    """(id, th, fp, component) of every row, as a table: th is the text's hash, component one number for the rows whose texts a
+    chain of pairs of this similarity or more connects. Equal fingerprints are linked, unverified."""
+    rows = written(sketches(docs, id_col, text_col, shingle), "sketches")
+    of_content = rows.groupBy("content").agg(F.min(F.struct("id", "th")).alias("row"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    contents = written(of_content, "contents")
+    nodes = contents.groupBy("fp").agg(F.min("content").alias("a"))
+    same = contents.join(nodes, "fp").select("a", F.col("content").alias("b")).filter("a <> b")
+    met = written(buckets(contents), "buckets")
+    wanted = contents.join(met.select("content").distinct(), "content", "left_semi").select("row", "content")
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("row"), F.col(text_col).alias("text"))
+    texts = texts.join(wanted, "row").groupBy("content").agg(F.first("text").alias("text"))
+    roots = similar_links(met, written(texts, "linked"), same, similarity, shingle, slot_texts)
+    return written(rows.join(roots.withColumnRenamed("node", "content"), "content", "left").select("id", "th", "fp", F.coalesce("root", "content").alias("component")), "components")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = 5, slot_texts: int = SLOT_TEXTS) -> DataFrame:
+    """(id, fingerprint, component_id) as near_components, but of texts whose sets of shingles have this similarity or more."""
+    rows = similar_rows(docs, id_col, text_col, similarity, shingle, slot_texts)
+    names = rows.groupBy("component").agg(F.min("id").alias("component_id"))
+    return rows.join(names, "component").select(F.col("id").alias(id_col), _hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:
+    """One row of docs for each component of similar_rows: that with the smallest id (of several with it, one), or without an
+    id where none has one. All columns stay."""
+    row = unused(docs, "row")
+    rows = similar_rows(docs, id_col, text_col, similarity, shingle).select("component", F.struct(F.col("id").isNull().alias("none"), "id", "th").alias("row"))
+    best = rows.groupBy("component").agg(F.min("row").alias("best"))
+    lost = rows.join(best, "component").filter("row <> best").select(F.col("row").alias(row)).distinct()
+    twice = written(rows.groupBy(F.col("row").alias(row)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(row), "repeated")
+    keyed = docs.withColumn(row, F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(text_col).alias("th")))
+    left = keyed.join(lost, row, "left_anti")
+    if not twice.isEmpty():
+        left = left.join(twice, row, "left_anti").union(left.join(twice, row, "left_semi").dropDuplicates([row]))
+    return left.select(*docs.columns)

@@ -125,6 +125,7 @@ def test_simhash_components(spark, odd, bucket_rows):
         for _ in range(rng.randrange(3)):
             w[rng.randrange(200)] = "X" + str(rng.random())
         near.append((100 + i, " ".join(w)))
+    near += [(None, near[k][1]) for k in (3, 5)] + [(None, " ".join(base[:100] + ["Y"] + base[101:]))]
     docs = odd.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
     rows = [(r[0], r[1]) for r in docs.collect()]
     fps = [brute_fingerprint(t) for _, t in rows]
@@ -146,7 +147,15 @@ def test_simhash_components(spark, odd, bucket_rows):
     assert sorted(map(tuple, simhash.near_components(docs, bucket_rows=bucket_rows).collect()), key=str) == want
 
 
-@pytest.mark.parametrize("radius,parts", [(3, 1), (simhash.WIDE_RADIUS, simhash.WIDE_PARTS), (5, 3)])
+def test_links_through_a_row_without_an_id(spark, monkeypatch):
+    """0 and 63 differ in 6 bits, but 7, which only a row without an id has, is within 3 bits of both."""
+    rows = spark.createDataFrame([(0, 1), (7, None), (63, 2), (0, 5), (0xFFFF << 40, None)], "fp long, id long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: rows)
+    got = sorted(map(tuple, simhash.near_components(spark.createDataFrame([], "doc_id long, text string")).select("doc_id", "component_id").collect()), key=str)
+    assert got == [(1, 1), (2, 1), (5, 1), (None, 1), (None, None)]
+
+
+@pytest.mark.parametrize("radius,parts", [(3, 1), (64, 32), (5, 3)])
 def test_covering_masks_cover(radius, parts):
     masks = simhash.covering_masks(radius, parts=parts)
     rng = random.Random(3)
@@ -157,9 +166,9 @@ def test_covering_masks_cover(radius, parts):
             assert meet and any(not f & d for f in simhash.finer_masks(meet[0], radius))
 
 
-@pytest.mark.parametrize("bucket_rows", [2, 2000])
-def test_similar_components(spark, bucket_rows):
-    """Texts within the wide radius are one group if, and only if, a chain of pairs of 0.8 or more joins them."""
+@pytest.mark.parametrize("slot_texts", [1, 3, 512])
+def test_similar_components(spark, slot_texts):
+    """Texts are one group if, and only if, a chain of pairs of 0.8 or more joins them."""
     rng, rows = random.Random(8), []
     for group in range(12):
         base = [f"g{group}w{i}" for i in range(300)]
@@ -168,7 +177,13 @@ def test_similar_components(spark, bucket_rows):
             for at in rng.sample(range(300), edits):
                 w[at] = f"x{rng.random()}"
             rows.append((10 * group + k, " ".join(w)))
-    rows += [(1000, None), (1001, ""), (1002, "few words"), (None, rows[0][1]), rows[3]]
+    base = [f"h{i}" for i in range(60)]  # many copies with edits of their own: some pairs are alike, others hardly not
+    for k in range(80):
+        w = list(base)
+        for at in rng.sample(range(60), rng.randrange(1, 4)):
+            w[at] = rng.choice("ab") + str(at)
+        rows.append((2000 + k, " ".join(w)))
+    rows += [(1000, None), (1001, ""), (1002, "few words"), (None, rows[0][1]), rows[3], (None, "alone without an id " * 5), (None, "alone without an id " * 5)]
     sets = [set(simhash.shingle_hashes(t or "", 5)) for _, t in rows]
     fps = [simhash.fingerprint(simhash.shingle_hashes(t or "", 5)) for _, t in rows]
     root = list(range(len(rows)))
@@ -180,17 +195,21 @@ def test_similar_components(spark, bucket_rows):
 
     linked = 0
     for i, j in combinations(range(len(rows)), 2):
-        if fps[i] == fps[j] or (fps[i] ^ fps[j]).bit_count() <= simhash.WIDE_RADIUS and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+        if fps[i] == fps[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             root[find(i)] = find(j)
             linked += fps[i] != fps[j]
-    name = {}
-    for k, (i, _) in enumerate(rows):
+    name, first = {}, {}
+    for k, (i, t) in enumerate(rows):
         if i is not None:
             name[find(k)] = min(name.get(find(k), i), i)
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, id string")
-    got = simhash.similar_components(docs, bucket_rows=bucket_rows).collect()
-    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(((i, name[find(k)]) for k, (i, _) in enumerate(rows)), key=str)
-    assert linked > 24
+        first[find(k)] = min(first.get(find(k), (i is None, i or 0, t or "")), (i is None, i or 0, t or ""))
+    docs = spark.createDataFrame([(i, t, "x", "r") for i, t in rows], "doc_id long, text string, id string, `row` string")
+    got = simhash.similar_components(docs, slot_texts=slot_texts).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(((i, name.get(find(k))) for k, (i, _) in enumerate(rows)), key=str)
+    assert linked > 100 and len({find(k) for k in range(len(rows)) if (rows[k][0] or 0) >= 2000}) > 1
+    left = simhash.representatives(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or 0) for r in left.collect()) == sorted(i for _, i, _ in first.values())
 
 
 def test_similar_pairs_are_found(spark):
@@ -204,21 +223,11 @@ def test_similar_pairs_are_found(spark):
     assert any((fps[i] ^ fps[j]).bit_count() > 5 for i, j in pairs)
 
 
-@pytest.mark.parametrize("pairs_per_text", [0, 16])
-def test_failed_link_hides_no_pair(spark, pairs_per_text):
-    """In one bucket 1 is like none, 2 to 9 are like their neighbours: no failed link may hide a pair that holds."""
-    rows = spark.createDataFrame([(7, 0, i) for i in range(1, 10)], "key long, fp long, id long")
-    none = spark.createDataFrame([], "a long, b long")
-    links = simhash.similar_links(rows, none, lambda pairs: pairs.filter("a > 1 and b = a + 1"), pairs_per_text=pairs_per_text, rounds=3)
-    assert {r["node"]: r["root"] for r in components(links).collect()} == {i: 2 for i in range(2, 10)}
-
-
-def test_verified_pairs(spark):
-    """8 of 10 shingles in common are enough, 7 of 9 are not."""
-    w = [f"w{i}" for i in range(14)]
-    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:12])), (3, " ".join(w[:13])), (4, " ".join(w[:11])), (5, None), (6, "")], "doc_id long, text string")
-    pairs = spark.createDataFrame([(1, 2), (3, 4), (5, 6), (1, 5)], "a long, b long")
-    assert sorted(map(tuple, simhash.verified(pairs, docs, 0.8, 5).collect())) == [(1, 2), (5, 6)]
+def test_similar_sets():
+    """8 of 10 members in common are enough, 7 of 9 are not; two empty sets are alike."""
+    sets = [np.arange(a, b, dtype=np.uint64) for a, b in ((0, 10), (0, 8), (1, 10), (0, 0), (2, 9))]
+    want = [[len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for y in sets] for x in sets]
+    assert [list(r) for r in simhash.alike(sets, sets, 0.8)] == want and want[0][:2] == [True, True] and not want[2][1] and want[3][3]
 
 
 def test_components(spark):
@@ -378,6 +387,27 @@ def test_pipeline(spark):
     stats = quality_rules.judged(s := quality_rules.text_statistics(docs), quality_rules.fit_rules(s, spark.read.parquet(f"{SF}/labels.parquet")))
     kept = docs.join(stats.filter("kept").select("doc_id"), "doc_id")
     groups = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(kept).collect()}
+    assert kept.count() > len({*groups.values()})
     leaks = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert ids == {i for i, g in groups.items() if i == g and i not in leaks}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_with_odd_columns(spark, tmp_path):
+    """Columns named like the stages' own come through, rows without an id take part, an empty table stays empty."""
+    names = ["kept", "n_words", "rule", "base_failed", "clean", "row", "_row", "n", "th", "content", "component"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.union(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long"))).select("*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in names))
+    labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    for where, rows in (("odd", odd), ("none", odd.limit(0))):
+        rows.write.parquet(f"file://{tmp_path}/{where}/documents.parquet")
+        labels.write.parquet(f"file://{tmp_path}/{where}/labels.parquet")
+        bench.write.parquet(f"file://{tmp_path}/{where}/benchmark.parquet")
+    now = spark.read.parquet(f"file://{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, f"file://{tmp_path}/odd")
+        assert now.columns == odd.columns
+        assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in now.collect() for c in names)
+    want = {(r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert {(r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, f"file://{tmp_path}/odd").collect()} >= {(i, s) for i, s in want if i is not None}
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
