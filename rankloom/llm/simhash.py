@@ -184,17 +184,18 @@ def _named(nodes: DataFrame, key: str, roots: DataFrame) -> DataFrame:
 
 
 _rng = np.random.default_rng(42)
-_SEEDS, _FACTORS = (_rng.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), np.uint64) for _ in range(2))
-_FACTORS |= np.uint64(1)
+_SEEDS, _FACTORS = (_rng.integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), np.uint32) for _ in range(2))
+_FACTORS |= np.uint32(1)
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set of shingles: hashes of BAND_ROWS minima each. No shingles have no keys."""
+    """BANDS keys of a set of shingles: hashes of BAND_ROWS minima each, over 32 bits of the hashes. No shingles have no keys."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), 2048):
-        np.minimum(least, ((hashes[i : i + 2048] ^ _SEEDS) * _FACTORS).min(1), out=least)
+    half = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max)
+    for i in range(0, len(half), 1024):
+        np.minimum(least, ((half[i : i + 1024] ^ _SEEDS) * _FACTORS).min(1), out=least)
     return np.array([xxhash.xxh64_intdigest(m.tobytes(), band) for band, m in enumerate(least.reshape(BANDS, -1))], np.uint64).view(np.int64)
 
 
