@@ -179,7 +179,7 @@ def _hexed(fp: Column) -> Column:
 def _named(nodes: DataFrame, key: str, roots: DataFrame) -> DataFrame:
     """(key, component_id): nodes (key, least id) take the least id of their component."""
     rooted = nodes.join(roots.withColumnRenamed("node", key), key, "left").select(key, "least", F.coalesce("root", key).alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")  # a table, so that a large component's rows can be split
     return rooted.join(names, "root").select(key, "component_id")
 
 
@@ -348,7 +348,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = 5, slot_texts: int = SLOT_TEXTS) -> DataFrame:
     """(id, fingerprint, component_id) as near_components, but of texts whose sets of shingles have this similarity or more."""
     rows = similar_rows(docs, id_col, text_col, similarity, shingle, slot_texts)
-    names = rows.groupBy("component").agg(F.min("id").alias("component_id"))
+    names = written(rows.groupBy("component").agg(F.min("id").alias("component_id")), "names")
     return rows.join(names, "component").select(F.col("id").alias(id_col), _hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -357,7 +357,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id where none has one. All columns stay."""
     row = unused(docs, "row")
     rows = similar_rows(docs, id_col, text_col, similarity, shingle).select("component", F.struct(F.col("id").isNull().alias("none"), "id", "th").alias("row"))
-    best = rows.groupBy("component").agg(F.min("row").alias("best"))
+    best = written(rows.groupBy("component").agg(F.min("row").alias("best")), "best")  # a table, so that a large component's rows can be split
     lost = rows.join(best, "component").filter("row <> best").select(F.col("row").alias(row)).distinct()
     twice = written(rows.groupBy(F.col("row").alias(row)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(row), "repeated")
     keyed = docs.withColumn(row, F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(text_col).alias("th")))
