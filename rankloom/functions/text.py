@@ -69,7 +69,7 @@ def anonymised(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Split after . ! or ? and white space; empty ones out."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: F.length(s) > 0)
 
 
 def words(c: Column) -> Column:
