@@ -10,7 +10,7 @@ PLACEHOLDER = [("url", r"https?://[^\s]+"), ("email", r"[A-Za-z0-9._%+-]+@[A-Za-
 
 def squeeze(c: Column) -> Column:
     """White space as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.when(c.rlike(r"[\t\n\x0B\f\r]|  "), F.trim(F.regexp_replace(c, r"\s+", " "))).otherwise(F.trim(c))
 
 
 def normal_text(c: Column) -> Column:
@@ -60,11 +60,11 @@ def html_to_text(c: Column) -> Column:
 
 
 def anonymised(c: Column) -> Column:
-    """Code spans, URLs, e-mail addresses and paths as placeholders."""
-    c = F.regexp_replace(F.regexp_replace(c, r"(?s)```.*?```", "<CODE>"), r"`[^`]+`", "<CODE>")
+    """Code spans, URLs, e-mail addresses and paths as placeholders. Texts without any of their signs are only squeezed."""
+    marked = F.regexp_replace(F.regexp_replace(c, r"(?s)```.*?```", "<CODE>"), r"`[^`]+`", "<CODE>")
     for name, pattern in PLACEHOLDER:
-        c = F.regexp_replace(c, pattern, f"<{name.upper()}>")
-    return squeeze(c)
+        marked = F.regexp_replace(marked, pattern, f"<{name.upper()}>")
+    return squeeze(F.when(c.rlike(r"[`@/\\]"), marked).otherwise(c))
 
 
 def sentences(c: Column) -> Column:

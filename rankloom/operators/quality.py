@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 
 def row_mode(votes: list[Column]) -> Column:
-    """The most frequent of a few votes, -1 on a tie; nulls don't vote."""
-    given = F.filter(F.array(*votes), lambda v: v.isNotNull())
-    counted = F.transform(F.array_distinct(given), lambda v: F.struct(F.size(F.filter(given, lambda x: x == v)).alias("n"), v.alias("v")))
-    best = F.array_max(counted)
-    tied = F.size(F.filter(counted, lambda x: x["n"] == best["n"])) > 1
-    return F.when(F.size(given) == 0, F.lit(None)).when(tied, F.lit(-1)).otherwise(best["v"].cast("int"))
+    """The most frequent of a few votes, -1 on a tie; nulls don't vote. Comparisons only, so that all of it is compiled."""
+    if len(votes) == 1:
+        return votes[0].cast("int")
+    times = [F.when(v.isNotNull(), sum((F.coalesce(v == w, F.lit(False)).cast("int") for w in votes), F.lit(0))).otherwise(0) for v in votes]
+    most = F.greatest(*times)
+    chosen = [F.when(n == most, v) for n, v in zip(times, votes)]
+    first, last = F.least(*chosen), F.greatest(*chosen)
+    return F.when(most > 0, F.when(first == last, first.cast("int")).otherwise(-1))
 
 
 def fuzzy_scores(df: DataFrame, keys: list[str], vote: Column, least: int = 3) -> DataFrame:

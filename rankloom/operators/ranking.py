@@ -88,24 +88,27 @@ def ranked(df: DataFrame, by: list[Column], k: int) -> DataFrame:
     return df.orderBy(*by).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*by)))
 
 
-def bm25(docs: DataFrame, terms: list[str], id_col: str, tokens: str, k1: float = 1.2, b: float = 0.75, must_not: list[str] | None = None) -> DataFrame:
-    """(id, score) of documents that hold a term. One pass for the statistics, one for the scores; no token is exploded:
-    counts per query term are columns."""
+def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k1: float = 1.2, b: float = 0.75, must_not: list[str] | None = None) -> DataFrame:
+    """(id, score) of documents that hold a term (lower-cased words between white space). Counts are what a text loses when the
+    term is replaced by nothing, so no words are split off; scores look only at texts that contain a term's letters."""
+    low = F.translate(F.lower(text_col), "\t\n\r\x0b\x0c", "     ")
+    spaced = F.concat(F.lit(" "), F.replace(low, F.lit(" "), F.lit("  ")), F.lit(" "))  # each word has spaces of its own
 
     def times(term: str) -> Column:
-        return F.size(F.filter(tokens, lambda x: x == term))
-
-    counted = docs.select(id_col, F.size(tokens).alias("_len"), *(times(t).alias(f"_tf{i}") for i, t in enumerate(terms)), *(F.array_contains(tokens, t).alias(f"_no{i}") for i, t in enumerate(must_not or [])))
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"), *(F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
-    if not stats["n"]:
-        return counted.select(id_col, F.lit(0.0).alias("score"))
+        own = f" {term} "
+        return ((F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(own), F.lit("")))) / len(own.encode())).cast("long")
+
+    size = F.regexp_count(low, F.lit("[^ ]+"))
+    stats = docs.select(size.alias("_len"), *(F.contains(spaced, F.lit(f" {t} ")).alias(f"_has{i}") for i, t in enumerate(terms)))
+    stats = stats.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_has{i}")).alias(f"_df{i}") for i in range(len(terms))))
+    some = docs.filter(reduce(lambda x, y: x | y, [F.contains(F.lower(text_col), F.lit(t)) for t in terms]))
+    for t in must_not or []:
+        some = some.filter(~F.contains(spaced, F.lit(f" {t} ")))
+    counted = some.select(id_col, size.alias("_len"), *(times(t).alias(f"_tf{i}") for i, t in enumerate(terms))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(F.lit(1 + (stats["n"] - (stats[f"df{i}"] or 0) + 0.5) / ((stats[f"df{i}"] or 0) + 0.5)))
-        tf = F.col(f"_tf{i}")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.lit(stats["avg"] or 1.0)))
-    for i in range(len(must_not or [])):
-        counted = counted.filter(~F.col(f"_no{i}"))
+        tf, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
+        score = score + F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
     return counted.select(id_col, score.alias("score")).filter("score > 0")
 
 

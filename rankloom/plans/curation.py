@@ -23,17 +23,17 @@ def phrase_fuzzy_merge(spark, d):
 
 
 def label_lists(spark, d):
-    """Up to five words at the start of a text as predictions, those of its neighbour (the next id) as truth."""
-    first = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,20}"), F.lit(0))), 1, 5)
-    docs = table(spark, d, "documents").select("doc_id", first.alias("labels"))
-    return docs.toDF("doc_id", "predicted").join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("labels").alias("truth")), "doc_id")
+    """The distinct words of a turn as predictions, those of the next turn as truth; whole texts."""
+    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", own.alias("labels"))
+    return turns.toDF("conv_id", "turn", "predicted").join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("labels").alias("truth")), ["conv_id", "turn"])
 
 
 @query()
 def eval_one_to_one(spark, d):
     """Agreement of two label lists, aligned one to one. A null list gives nulls."""
     tp = F.size(alignment.aligned("predicted", "truth"))
-    return evaluation.derived(label_lists(spark, d).select("doc_id", tp.alias("tp"), (F.size("predicted") - tp).alias("fp"), (F.size("truth") - tp).alias("fn")))
+    return evaluation.derived(label_lists(spark, d).select("conv_id", "turn", tp.alias("tp"), (F.size("predicted") - tp).alias("fp"), (F.size("truth") - tp).alias("fn")))
 
 
 @query("""WITH c AS (SELECT lang, count(*) AS n, least(count(*), 20) AS base FROM documents WHERE lang IS NOT NULL GROUP BY lang),

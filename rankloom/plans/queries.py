@@ -72,18 +72,14 @@ def bm25_sql(terms: list[str], no: list[str]) -> str:
     return BM25.format(counts=counts, dfs=", ".join(f"sum((f{i} > 0)::INT) AS d{i}" for i in r), score=score, any=" OR ".join(f"f{i} > 0" for i in r), extra="".join(f" AND NOT x{i}" for i in range(len(no))))
 
 
-def tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.filter(F.split(F.lower("text"), r"[ \t\n\r\x0B\x0C]+"), lambda w: F.length(w) > 0).alias("tokens"))
-
-
 @query(bm25_sql(["then", "thereof", "ander", "there"], []))
 def rank_bm25(spark, d):
-    return ranking.bm25(tokens(spark, d), ["then", "thereof", "ander", "there"], "doc_id", "tokens").withColumn("score", F.round("score", 5))
+    return ranking.bm25(table(spark, d, "documents"), ["then", "thereof", "ander", "there"], "doc_id", "text").withColumn("score", F.round("score", 5))
 
 
 @query(bm25_sql(["and", "with"], ["de", "und"]))
 def rank_bm25_must_not(spark, d):
-    return ranking.bm25(tokens(spark, d), ["and", "with"], "doc_id", "tokens", must_not=["de", "und"]).withColumn("score", F.round("score", 5))
+    return ranking.bm25(table(spark, d, "documents"), ["and", "with"], "doc_id", "text", must_not=["de", "und"]).withColumn("score", F.round("score", 5))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
@@ -191,9 +187,9 @@ def union_by_name(spark, d):
     return dedupe.union_common(c, s)
 
 
-@query("""SELECT coalesce(c, s) AS id, CASE WHEN c IS NULL THEN 'right' WHEN s IS NULL THEN 'left' ELSE 'both' END AS place FROM (SELECT DISTINCT c_custkey AS c FROM customer WHERE c_custkey % 3 = 0) FULL JOIN (SELECT DISTINCT s_suppkey AS s FROM supplier) ON c = s""")
+@query("""SELECT coalesce(c, s) AS id, CASE WHEN c IS NULL THEN 'right' WHEN s IS NULL THEN 'left' ELSE 'both' END AS place FROM (SELECT DISTINCT o_custkey AS c FROM orders) FULL JOIN (SELECT DISTINCT s_suppkey AS s FROM supplier) ON c = s""")
 def set_membership(spark, d):
-    return dedupe.membership(table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id")
+    return dedupe.membership(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id")
 
 
 @query("""SELECT coalesce(c_custkey, s_suppkey) AS id, coalesce(s_name, c_name) AS name, coalesce(s_acctbal, c_acctbal) AS acctbal FROM customer FULL JOIN supplier ON c_custkey = s_suppkey""")
@@ -310,13 +306,14 @@ def review_tree_flatten(spark, d):
 
 # ---- text
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \\t\\n\\r\\x0b\\x0c]+', '<URL>', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[A-Za-z0-9]', '<EMAIL>', 'g'), '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')) AS text
-    FROM documents WHERE NOT regexp_matches(text, '`|[A-Za-z~.]?[:]?[/\\\\]')""")
+@query(r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?s)```.*?```', '<CODE>', 'g'), '`[^`]+`', '<CODE>', 'g') AS t FROM documents), u AS (SELECT doc_id, regexp_replace(regexp_replace(t, 'https?://[^ \t\n\r\x0b\x0c]+', '<URL>', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[A-Za-z0-9]', '<EMAIL>', 'g') AS t FROM c)
+    SELECT doc_id, trim(regexp_replace(regexp_replace(t, '(?:[A-Za-z]:\\|~/|\./|/)[A-Za-z0-9_.-]+(?:[/\\][A-Za-z0-9_.-]+)+', '<PATH>', 'g'), '[ \t\n\r\x0b\x0c]+', ' ', 'g')) AS text FROM u""")
 def text_anonymise(spark, d):
-    return table(spark, d, "documents").filter(~F.rlike("text", F.lit(r"`|[A-Za-z~.]?[:]?[/\\]"))).select("doc_id", X.anonymised(F.col("text")).alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.anonymised(F.col("text")).alias("text"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
+    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\x0b\x0c]+', ' ', 'g')) AS text FROM s""")
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
@@ -416,7 +413,8 @@ def eval_confusion(spark, d):
     return evaluation.confusion(judged(spark, d), "quality", "predicted")
 
 
-@query()
+@query(f"""WITH j AS (SELECT quality, n_chars, {PREDICTED} AS predicted, (length(text) >= 500)::INT AS long FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) FILTER (predicted = quality AND long <> quality) AS n10, count(*) FILTER (predicted <> quality AND long = quality) AS n01 FROM j),
+    k AS (SELECT *, n10 + n01 AS n, least(n10, n01) AS k FROM c) SELECT n10, n01, round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(k + 1) t(i))), 6) AS p_value FROM k""")
 def eval_mcnemar(spark, d):
     j = judged(spark, d)
     return evaluation.mcnemar(j, F.col("predicted") == F.col("quality"), F.col("long").cast("int") == F.col("quality"))
@@ -427,12 +425,13 @@ def eval_correlations(spark, d):
     return evaluation.correlations(judged(spark, d), [("n_chars", "quality"), ("quality", "toxic")])
 
 
-@query()
+@query("""WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT doc_id, lang FROM documents JOIN n USING (lang) WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 1000000 < 100000000 / n""")
 def sample_stratified(spark, d):
     """About 100 documents of each language: shares from counts, rows by the hash of their id, alike in every run."""
     docs = table(spark, d, "documents")
     n = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    return docs.join(F.broadcast(n) if n.count() < 1000 else n, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1_000_000)) < 100_000_000 / F.col("n")).select("doc_id", "lang")
+    place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 1_000_000
+    return docs.select("doc_id", "lang").join(n, "lang").filter(place < 100_000_000 / F.col("n")).select("doc_id", "lang")
 
 
 # ---- events

@@ -93,9 +93,9 @@ def cross_field_match(spark, d):
 
 # ---- records and sets
 
-@query("""SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 INTERSECT SELECT s_suppkey FROM supplier""")
+@query("""SELECT o_custkey AS id FROM orders INTERSECT SELECT s_suppkey FROM supplier""")
 def set_intersection(spark, d):
-    return table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")).intersect(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("id")).intersect(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
 @query("""SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders""")
