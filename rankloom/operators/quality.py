@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 
 def row_mode(votes: list[Column]) -> Column:
-    """The most frequent of a few votes, -1 on a tie; nulls don't vote. Comparisons only, so that all of it is compiled."""
-    if len(votes) == 1:
-        return votes[0].cast("int")
-    times = [F.when(v.isNotNull(), sum((F.coalesce(v == w, F.lit(False)).cast("int") for w in votes), F.lit(0))).otherwise(0) for v in votes]
-    most = F.greatest(*times)
-    chosen = [F.when(n == most, v) for n, v in zip(times, votes)]
-    first, last = F.least(*chosen), F.greatest(*chosen)
-    return F.when(most > 0, F.when(first == last, first.cast("int")).otherwise(-1))
+    """The most frequent of a few votes, -1 on a tie; nulls don't vote. Equal votes lie side by side once they are sorted, so
+    the longest run tells."""
+    k = len(votes)
+
+    def runs(s: Column) -> Column:
+        out = []
+        for r in range(k, 0, -1):
+            found = [F.when(F.get(s, F.lit(i)) == F.get(s, F.lit(i + r - 1)), F.get(s, F.lit(i))) for i in range(k - r + 1)]
+            first, last = (F.least(*found), F.greatest(*found)) if len(found) > 1 else (found[0], found[0])
+            out.append(F.when(first == last, first).when(first < last, -1))
+        return F.coalesce(*out)
+
+    return F.get(F.transform(F.array(F.sort_array(F.array_compact(F.array(*votes)))), runs), F.lit(0)).cast("int")  # sorted once
 
 
 def fuzzy_scores(df: DataFrame, keys: list[str], vote: Column, least: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ shuffle of the catalogue.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -91,25 +92,28 @@ def ranked(df: DataFrame, by: list[Column], k: int) -> DataFrame:
 def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k1: float = 1.2, b: float = 0.75, must_not: list[str] | None = None) -> DataFrame:
     """(id, score) of documents that hold a term (lower-cased words between white space). Counts are what a text loses when the
     term is replaced by nothing, so no words are split off; scores look only at texts that contain a term's letters."""
-    low = F.translate(F.lower(text_col), "\t\n\r\x0b\x0c", "     ")
-    spaced = F.concat(F.lit(" "), F.replace(low, F.lit(" "), F.lit("  ")), F.lit(" "))  # each word has spaces of its own
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text_col), r"[\t\n\r\x0b\x0c]", " "), F.lit(" "))
+    plain = docs.select(id_col, low.alias("_low"))
 
     def times(term: str) -> Column:
         own = f" {term} "
-        return ((F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(own), F.lit("")))) / len(own.encode())).cast("long")
-
-    size = F.regexp_count(low, F.lit("[^ ]+"))
-    stats = docs.select(size.alias("_len"), *(F.contains(spaced, F.lit(f" {t} ")).alias(f"_has{i}") for i, t in enumerate(terms)))
-    stats = stats.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_has{i}")).alias(f"_df{i}") for i in range(len(terms))))
-    some = docs.filter(reduce(lambda x, y: x | y, [F.contains(F.lower(text_col), F.lit(t)) for t in terms]))
-    for t in must_not or []:
-        some = some.filter(~F.contains(spaced, F.lit(f" {t} ")))
+        return ((F.octet_length("_spaced") - F.octet_length(F.replace("_spaced", F.lit(own), F.lit("")))) / len(own.encode())).cast("long")
+
+    size = F.regexp_count("_low", F.lit("[^ ]+"))
+    has = lambda t: F.contains("_low", F.lit(f" {t} "))
+    stats = plain.agg(F.count(F.lit(1)).alias("_n"), F.avg(size).alias("_avg"), *(F.count_if(has(t)).alias(f"_df{i}") for i, t in enumerate(terms)))
+    space = r"[ \t\n\r\x0b\x0c]"
+    holds = lambda words: F.lower(text_col).rlike(rf"(?:^|{space})(?:{'|'.join(map(re.escape, words))})(?:$|{space})")
+    some = docs.filter(holds(terms))  # so every score is above 0
+    some = some.filter(~holds(must_not)) if must_not else some
+    some = some.select(id_col, low.alias("_low"))
+    some = some.select(id_col, "_low", F.replace("_low", F.lit(" "), F.lit("  ")).alias("_spaced"))  # each word has spaces of its own
     counted = some.select(id_col, size.alias("_len"), *(times(t).alias(f"_tf{i}") for i, t in enumerate(terms))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
         score = score + F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    return counted.select(id_col, score.alias("score")).filter("score > 0")
+    return counted.select(id_col, score.alias("score"))
 
 
 def relax(df: DataFrame, hard: list[tuple[str, Column]], soft: list[tuple[str, Column]], target: int) -> tuple[int, list[dict]]:
