@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: (host/path, verdict); the longest that fits wins.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 #: Suffixes of two labels under which domains are registered; other suffixes have one label.
@@ -74,12 +76,12 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     """hosts (host, n outcomes, k bad ones; one row a host) -> (host, n, k, mean, lower): posterior mean and bound of the bad rate."""
     named = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     sums = (F.sum("n").alias("n"), F.sum("k").alias("k"))
-    domains = named.groupBy("suffix", "domain").agg(*sums)
+    domains = written(named.groupBy("suffix", "domain").agg(*sums), "domain-counts")
     suffixes = domains.groupBy("suffix").agg(*sums)
     # with a pseudo-outcome of each kind, so that no rate is 0 or 1
     corpus = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("root"))
-    by_suffix = _shrunk(suffixes.withColumn("root", corpus.scalar()), "root").select("suffix", F.col("rate").alias("suffix_rate"))
-    by_domain = _shrunk(domains.join(by_suffix, "suffix"), "suffix_rate").select("domain", F.col("rate").alias("domain_rate"))
+    by_suffix = written(_shrunk(suffixes.withColumn("root", corpus.scalar()), "root").select("suffix", F.col("rate").alias("suffix_rate")), "suffixes")
+    by_domain = written(_shrunk(domains.join(by_suffix, "suffix"), "suffix_rate").select("domain", F.col("rate").alias("domain_rate")), "domains")
     a, b = F.col("a"), F.col("b")
     return _shrunk(named.join(by_domain, "domain"), "domain_rate").select("host", "n", "k", F.col("rate").alias("mean"), (F.col("rate") - Z * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))).alias("lower"))
 
@@ -92,7 +94,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
     seen = outcomes.select(id_col, F.col("bad").cast("long").alias("bad")).dropna().groupBy(id_col).agg(F.count("bad").alias("n"), F.sum("bad").alias("k"))
     # every host takes part, so the join below always finds its row; hosts are counted before they are shuffled
     counted = judged.select(id_col, "host").join(seen, id_col, "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
-    scored = host_reputation(counted.withColumn("k", F.when(F.col("host") == "", 0).otherwise(F.col("k"))).withColumn("n", F.when(F.col("host") == "", 0).otherwise(F.col("n"))))
+    hosts = counted.withColumn("k", F.when(F.col("host") == "", 0).otherwise(F.col("k"))).withColumn("n", F.when(F.col("host") == "", 0).otherwise(F.col("n")))
+    scored = host_reputation(written(hosts, "hosts"))  # a table of hosts, so that every level reads it and not the pages
     verdicts = F.create_map(*(F.lit(x) for r, v in rules for x in (r, v))) if rules else F.create_map().cast("map<string,string>")
     own = F.when(F.col("lower") > threshold, "block").otherwise("allow")
     return judged.join(scored.select("host", "mean", "lower"), "host", "left").select(id_col, "host", "path", "rule", F.coalesce(F.element_at(verdicts, F.col("rule")), own).alias("verdict"), "mean", "lower")
