@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,9 +28,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir). Only where it is unset, as in tests, a folder of our own."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Only where it is unset and one machine does all the work, as in
+    tests, a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

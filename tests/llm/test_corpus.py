@@ -331,6 +331,16 @@ def test_url_filter(spark):
     assert {k: tuple(got[k][c] for c in ("host", "path", "rule", "verdict")) for k in want} == want
 
 
+def test_url_reputation_of_unseen_hosts(spark):
+    """A host without outcomes goes with its domain: blocked where that is bad beyond doubt, allowed elsewhere."""
+    rows = [(1, "http://new.bad.io/x"), (2, "http://new.fine.io/x"), (3, "http://elsewhere.org/")]
+    rows += [(100 + i, f"http://h{i % 20}.bad.io/p") for i in range(400)] + [(1000 + i, f"http://h{i % 20}.fine.io/p") for i in range(400)]
+    outcomes = [(100 + i, 1) for i in range(400)] + [(1000 + i, 0) for i in range(400)]
+    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int")).collect()}
+    assert [got[i]["verdict"] for i in (1, 2, 3, 100, 1000)] == ["block", "allow", "allow", "block", "allow"]
+    assert got[1]["mean"] > 0.9 and got[2]["mean"] < 0.1 and 0.3 < got[3]["mean"] < 0.7
+
+
 def test_warc(spark, tmp_path):
     big, rows = "é" * 600, []
     rows = [(1, "http://a", big), (5, None, big), (3, "u\r\nx", big), (2, "b", "small"), (4, "b", "small"), (6, "c", None), (7, "d", "x" * 200_000), (None, "e", big)]
