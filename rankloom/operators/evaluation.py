@@ -53,7 +53,7 @@ def mcnemar(df: DataFrame, a_right: Column, b_right: Column) -> DataFrame:
     row = df.agg(F.count_if(a_right & ~b_right).alias("n10"), F.count_if(~a_right & b_right).alias("n01")).first()
     n, k = row["n10"] + row["n01"], min(row["n10"], row["n01"])
     p = min(1.0, float(2 * sum(comb(n, i) for i in range(k + 1)) / (1 << n))) if n else 1.0
-    return df.sparkSession.createDataFrame([(row["n10"], row["n01"], round(p, 6))], "n10 bigint, n01 bigint, p_value double")
+    return df.sparkSession.createDataFrame([(row["n10"], row["n01"], round(p, 9))], "n10 bigint, n01 bigint, p_value double")
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -414,7 +414,7 @@ def eval_confusion(spark, d):
 
 
 @query(f"""WITH j AS (SELECT quality, n_chars, {PREDICTED} AS predicted, (length(text) >= 500)::INT AS long FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) FILTER (predicted = quality AND long <> quality) AS n10, count(*) FILTER (predicted <> quality AND long = quality) AS n01 FROM j),
-    k AS (SELECT *, n10 + n01 AS n, least(n10, n01) AS k FROM c) SELECT n10, n01, round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(k + 1) t(i))), 6) AS p_value FROM k""")
+    k AS (SELECT *, n10 + n01 AS n, least(n10, n01) AS k FROM c) SELECT n10, n01, round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(k + 1) t(i))), 9) AS p_value FROM k""")
 def eval_mcnemar(spark, d):
     j = judged(spark, d)
     return evaluation.mcnemar(j, F.col("predicted") == F.col("quality"), F.col("long").cast("int") == F.col("quality"))
