@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -28,20 +29,18 @@ from .recurrence import WINDOW, WORDS, Distinct, kept_parts, repeated_spans, wit
 AUTOMATON_WORDS = 120_000
 #: Occurrences that vote at a time.
 OCCURRENCES = 32_768
-#: Single windows that one automaton is compiled from.
-SINGLES = 20_000
-#: Code points that stand for words: above the surrogates.
-FIRST_CODE, CODES = 0xE000, 0x110000 - 0xE000
+#: Words of the phrases that one automaton is compiled from: fewer than the code points above the surrogates, the first
+#: of which stands for every word that no phrase has.
+PHRASE_WORDS, OTHER = 250_000, 0xE000
 
 
-def _confirmed(codes: list[np.ndarray], windows: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(piece, first window, windows, smallest document) of the passages: runs of a piece's windows that have one smallest document, by hash."""
-    flat = np.concatenate(codes)
-    sizes = np.array([len(c) for c in codes], np.int64)
+def _confirmed(flat: np.ndarray, starts: np.ndarray, windows: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place of the first word, windows, smallest document) of the passages: runs of a piece's windows that have one smallest document, by hash."""
     h = winnow.unit_gram_hash(flat.astype(np.uint64), WINDOW)
-    piece = np.repeat(np.arange(len(codes)), windows)
+    piece = np.repeat(np.arange(len(starts)), windows)
     nth = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-    h = h[(np.cumsum(sizes) - sizes)[piece] + nth]
+    place = starts[piece] + nth
+    h = h[place]
     order = np.argsort(h, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
     n = np.diff(np.concatenate([cuts, [len(order)]]))
@@ -49,24 +48,45 @@ def _confirmed(codes: list[np.ndarray], windows: np.ndarray, first: np.ndarray)
     least[order] = np.repeat(np.minimum.reduceat(first[piece[order]], cuts), n)
     new = np.concatenate([[True], (np.diff(piece) != 0) | (np.diff(least) != 0)])
     at = np.flatnonzero(new)
-    return list(zip(piece[at].tolist(), nth[at].tolist(), np.diff(np.concatenate([at, [len(piece)]])).tolist(), least[at].tolist()))
-
-
-def _voted(phrases: dict[str, int], text: list[str], windows: np.ndarray, first: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Smallest document of each phrase (with its number of windows), put to all windows of its occurrences in out."""
+    return list(zip(place[at].tolist(), np.diff(np.concatenate([at, [len(piece)]])).tolist(), least[at].tolist()))
+
+
+def _chunks(phrases: Iterable[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Phrases in lists of at most PHRASE_WORDS words (a phrase is shorter than two windows)."""
+    out, words = [], 0
+    for phrase in phrases:
+        words += phrase[1] + WINDOW - 1
+        if out and words > PHRASE_WORDS:
+            yield out
+            out, words = [], phrase[1] + WINDOW - 1
+        out.append(phrase)
+    if out:
+        yield out
+
+
+def _voted(phrases: list[tuple[int, int, int]], flat: np.ndarray, starts: np.ndarray, windows: np.ndarray, first: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Smallest document of each phrase, put to all windows of its occurrences in out."""
+    at, size, _ = np.array(phrases, np.int64).T
+    inside = np.zeros(len(flat) + 1, np.int32)
+    np.add.at(inside, at, 1)
+    np.add.at(inside, at + size + WINDOW - 1, -1)
+    own = np.unique(flat[np.cumsum(inside[:-1], dtype=np.int32) > 0])
+    letter = np.full(int(flat.max()) + 1, OTHER, np.uint32)
+    letter[own] += np.arange(1, len(own) + 1, dtype=np.uint32)
+    text = letter[flat].astype("<u4").tobytes().decode("utf-32-le")
     automaton = ahocorasick.Automaton()
-    for k, phrase in enumerate(phrases):
-        automaton.add_word(phrase, k)
+    for k, (a, n, _) in enumerate(phrases):
+        automaton.add_word(text[a : a + n + WINDOW - 1], k)
     automaton.make_automaton()
     found = array("q")
-    for p, t in enumerate(text):
-        for end, k in automaton.iter(t):
+    for p, (a, n) in enumerate(zip(starts.tolist(), windows.tolist())):
+        for end, k in automaton.iter(text[a : a + n + WINDOW - 1]):
             found.extend((k, p, end))
     key, piece, end = np.frombuffer(found, np.int64).reshape(-1, 3).T
     owner = np.full(len(phrases), np.iinfo(np.int64).max)
     np.minimum.at(owner, key, first[piece])
     base = np.cumsum(windows) - windows
-    n = np.fromiter(phrases.values(), np.int64, len(phrases))[key]
+    n = size[key]
     begin = base[piece] + end + 1 - (n + WINDOW - 1)  # first window of the occurrence
     for i in range(0, len(key), OCCURRENCES):
         m, b, o = n[i : i + OCCURRENCES], begin[i : i + OCCURRENCES], owner[key[i : i + OCCURRENCES]]
@@ -75,22 +95,26 @@ def _voted(phrases: dict[str, int], text: list[str], windows: np.ndarray, first:
     return owner
 
 
-def _block(raw: list[list[bytes]], windows: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _block(raw: list[bytes], windows: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Smallest document for each window of the pieces of one automaton."""
     code: dict[bytes, int] = {}
-    codes = [np.array([code.setdefault(w, len(code)) for w in words], np.uint32) for words in raw]
-    if len(code) > CODES:
-        raise ValueError("more distinct words in one anchor's pieces than code points")
-    text = [(c + np.uint32(FIRST_CODE)).astype("<u4").tobytes().decode("utf-32-le") for c in codes]
+    spelt = array("I")
+    for piece in raw:  # one piece's words at a time: a common anchor has very many pieces
+        spelt.extend([code.setdefault(w, len(code)) for w in piece.split(b" ")])
+    flat, sizes = np.frombuffer(spelt, np.uint32), windows + WINDOW - 1
+    pieces = (flat, np.cumsum(sizes) - sizes, windows, first)
+    words, width = flat.tobytes(), flat.itemsize
     out = np.full(int(windows.sum()), np.iinfo(np.int64).max)
-    runs: dict[str, tuple[int, int]] = {}
-    for piece, at, n, least in _confirmed(codes, windows, first):
-        runs.setdefault(text[piece][at : at + n + WINDOW - 1], (n, least))
-    owner = _voted({phrase: n for phrase, (n, _) in runs.items()}, text, windows, first, out)
-    broken = [phrase for (phrase, (_, least)), o in zip(runs.items(), owner.tolist()) if o != least]
-    singles = list(dict.fromkeys(phrase[k : k + WINDOW] for phrase in broken for k in range(len(phrase) - WINDOW + 1)))
-    for i in range(0, len(singles), SINGLES):
-        _voted(dict.fromkeys(singles[i : i + SINGLES], 1), text, windows, first, out)
+    runs: dict[bytes, tuple[int, int, int]] = {}
+    for at, n, least in _confirmed(*pieces):
+        runs.setdefault(words[width * at : width * (at + n + WINDOW - 1)], (at, n, least))
+    singles: dict[bytes, tuple[int, int, int]] = {}
+    for phrases in _chunks(runs.values()):
+        for (at, n, least), owner in zip(phrases, _voted(phrases, *pieces, out).tolist()):
+            for k in range(at, at + n) if owner != least else ():  # its smallest document has it, but not unbroken
+                singles.setdefault(words[width * k : width * (k + WINDOW)], (k, 1, least))
+    for phrases in _chunks(singles.values()):
+        _voted(phrases, *pieces, out)
     return out
 
 
@@ -107,7 +131,7 @@ def first_documents(pieces: Distinct) -> np.ndarray:
         if j <= i:
             k = np.searchsorted(begins, i, "right")
             j = int(begins[k]) if k < len(begins) else len(raw)
-        out.append(_block([r.split(b" ") for r in raw[i:j]], pieces.windows[i:j], pieces.first[i:j]))
+        out.append(_block(raw[i:j], pieces.windows[i:j], pieces.first[i:j]))
         i = j
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 

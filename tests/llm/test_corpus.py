@@ -74,6 +74,23 @@ def test_substring_dedup_of_broken_runs(spark):
     assert sum(g == 51 for _, _, g, _ in want) >= 20
 
 
+@pytest.mark.parametrize("phrase_words", [60, 400, 250_000])
+def test_automata_of_few_words(monkeypatch, phrase_words):
+    """However few words an automaton may have, each window goes to the smallest document that has it."""
+    monkeypatch.setattr(phrase_dedup, "PHRASE_WORDS", phrase_words)
+    rng, raw = random.Random(6), []
+    for _ in range(60):
+        raw.append([b"%d" % rng.randrange(2) if rng.random() < 0.02 else b"w%d" % (i % 7) for i in range(rng.randrange(50, 92))])
+    raw += [x[:60] for x in raw[:20]]
+    windows, first = np.array([len(x) - 49 for x in raw]), np.array([rng.randrange(30) for _ in raw])
+    least = {}
+    for x, i in zip(raw, first.tolist()):
+        for k in range(len(x) - 49):
+            least[tuple(x[k : k + 50])] = min(least.get(tuple(x[k : k + 50]), i), i)
+    want = [least[tuple(x[k : k + 50])] for x in raw for k in range(len(x) - 49)]
+    assert phrase_dedup._block([b" ".join(x) for x in raw], windows, first).tolist() == want
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(1)
     for _ in range(100):
