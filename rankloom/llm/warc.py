@@ -1,15 +1,17 @@
 """Operator 6, a WARC writer with dictionary compression, and its reader.
 
 Each Spark partition writes its records as .warc.zst archives into the shared folder, a new one at ARCHIVE_BYTES of records. An
-archive begins with a skippable frame that embeds a Zstandard dictionary built from the archive's first records
-(SAMPLE_BYTES of them); then every record is a frame of its own, compressed with that dictionary. Where there are too
-few records to build one, the archive has no leading frame and its records stand alone.
+archive begins with a skippable frame that embeds a Zstandard dictionary; then every record is a frame of its own,
+compressed with that dictionary. A task holds the records of one archive until it is full, so the dictionary is built
+from records all over the archive (every k-th, about SAMPLE_BYTES). Where there are too few records to build one, the
+archive has no leading frame and its records stand alone.
 
 Archives get their name from the task attempt, and only those of successful tasks are in the list that is read
 afterwards, so a lost executor costs no more than its tasks. Payloads that equal another of at least LEAST_BYTES
 become revisits of the one with the largest id; equality is by SHA-256 and the maximum is combined before the
-shuffle, so a payload with very many copies is no hot group. The narrow result is joined back (a skewed key is split
-by adaptive execution).
+shuffle, so a payload with very many copies is no hot group. The narrow result is a table of its own, so that Spark
+knows its size: it is broadcast below spark.sql.autoBroadcastJoinThreshold, and no page is shuffled; beyond it the
+pages are joined by a shuffle (a skewed key is split by adaptive execution).
 
 Defined cases: a null html is an empty payload. Null urls leave out the target. Rows that repeat the largest id of a
 payload are all responses; a null id is a response unless a copy has an id. An empty table gives an empty result.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_folder, written
 
-LEAST_BYTES, ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 128 << 20, 1 << 20, 64 << 10, 3
+LEAST_BYTES, ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 64 << 20, 1 << 20, 64 << 10, 3
 #: Magic number of the skippable frame that holds a dictionary, and the date of the records (a parameter, for equal runs).
 SKIPPABLE, DATE = b"\x5d\x2a\x4d\x18", "2024-01-01T00:00:00Z"
 RESULT = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -86,43 +88,30 @@ def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
 
 
 class Archive:
-    """One .warc.zst file: the first records wait until the dictionary can be built from them."""
+    """One .warc.zst file, written when all its records are there."""
 
     def __init__(self, path: str, sample_bytes: int = SAMPLE_BYTES) -> None:
-        self.path, self.sample_bytes, self.waiting, self.held, self.records, self.written = path, sample_bytes, [], 0, 0, 0
-        self.file, self.compress = None, None
-
-    def _begin(self) -> None:
-        system, path = fs.FileSystem.from_uri(self.path)
-        system.create_dir(path.rpartition("/")[0], recursive=True)
-        self.file = system.open_output_stream(path)
-        d = dictionary(self.waiting)
-        if d is not None:
-            raw = d.as_bytes()
-            self._put(SKIPPABLE + len(raw).to_bytes(4, "little") + raw)
-        self.compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=True, write_checksum=True).compress
-        for x in self.waiting:
-            self._put(self.compress(x))
-        self.waiting = []
-
-    def _put(self, raw: bytes) -> None:
-        self.file.write(raw)
-        self.written += len(raw)
+        self.path, self.sample_bytes, self.records, self.held = path, sample_bytes, [], 0
 
     def add(self, raw: bytes) -> None:
-        self.records += 1
+        self.records.append(raw)
         self.held += len(raw)
-        if self.compress is not None:
-            return self._put(self.compress(raw))
-        self.waiting.append(raw)
-        if self.held >= self.sample_bytes:
-            self._begin()
 
     def close(self) -> tuple[str, int, int]:
-        if self.compress is None:
-            self._begin()
-        self.file.close()
-        return self.path, self.records, self.written
+        """(path, records, bytes) of the file."""
+        step = max(1, min(self.held // self.sample_bytes, len(self.records) // 8))
+        d = dictionary(self.records[::step])
+        frames = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=True, write_checksum=True)
+        system, path = fs.FileSystem.from_uri(self.path)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(path) as file:
+            size = 0
+            if d is not None:
+                raw = d.as_bytes()
+                size += file.write(SKIPPABLE + len(raw).to_bytes(4, "little") + raw)
+            for x in self.records:
+                size += file.write(frames.compress(x))
+        return self.path, len(self.records), size
 
 
 def records_of(path: str, chunk: int = 1 << 18) -> Iterator[bytes]:
@@ -151,6 +140,7 @@ def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """pages (page_id, url, html) with refers_to: the id of the equal payload with the largest id, null for responses."""
     sized = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_same", F.when(F.octet_length("html") >= least_bytes, F.sha2("html", 256)))
     last = sized.filter("_same is not null").groupBy("_same").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    last = written(last, "repeated-payloads")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("_last")), F.col("_last"))
     # small payloads meet nothing; a key of their own deals them out evenly
     sized = sized.withColumn("_same", F.coalesce("_same", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
