@@ -11,9 +11,10 @@ Texts and passages are compared lower-cased with white space as single spaces; w
 numpy buffer. The passages are a stated query set: they are read to the driver in blocks of at most BLOCK_BYTES, and
 all documents pass each block, so what a task holds is bounded however large the benchmark.
 
-Defined cases: null and empty texts match nothing; null or empty passages, and those of fewer than LEAST characters,
-are not searched. Repeated documents repeat their matches; of one passage the best region (fewest edits, then
-leftmost) is given for each document. Other columns are not read.
+Defined cases: null and empty texts match nothing, nor do null or empty passages. A passage of fewer than LEAST bytes is
+found where a text holds it without an edit; one of fewer than Q, which has no q-gram, where it is the whole text.
+Repeated documents repeat their matches; rows without an id are searched as any other. Of one passage the best region
+(fewest edits, then leftmost) is given for each document. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from .common import bounded_batches, texts_of, unused
 
 Q, SEGMENT, STEP, EDITS, LEAST = 8, 80, 40, 0.075, 40
-#: Bytes of passages held by a task at a time.
-BLOCK_BYTES = 4 << 20
+#: Bytes of passages held by a task at a time, and shared q-grams counted at a time.
+BLOCK_BYTES, HITS = 4 << 20, 1 << 22
 BIT = 22
 
 
@@ -39,19 +40,16 @@ def normal(text: str) -> bytes:
 
 
 class Patterns:
-    """Segments of passages and the index of their q-grams."""
+    """Segments of passages (normalised, of Q bytes or more) and the index of their q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.owner, segments = [], []
-        for item, text in items:
-            raw = normal(text or "")
-            if len(raw) < LEAST:
-                continue
+        for item, raw in items:
             for at in dict.fromkeys([*range(0, max(1, len(raw) - SEGMENT + 1), STEP), max(0, len(raw) - SEGMENT)]):
                 self.owner.append((item, at))
                 segments.append(raw[at : at + SEGMENT])
         self.sizes = np.array([len(s) for s in segments], np.int64)
-        self.edits = (self.sizes * EDITS).astype(np.int64)
+        self.edits = np.where(self.sizes < LEAST, 0, self.sizes * EDITS).astype(np.int64)
         self.bound = np.maximum(self.sizes - Q + 1 - self.edits * Q, 1)
         self.bytes = np.zeros((len(segments), SEGMENT), np.uint8)
         for i, s in enumerate(segments):
@@ -93,12 +91,20 @@ class Patterns:
         at = np.searchsorted(self.gram, gram[pos])
         at[at == len(self.gram)] = 0
         pos, at = pos[ok := self.gram[at] == gram[pos]], at[ok]
-        n = self.times[at]
-        hit = np.repeat(self.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        seg, diag = self.seg[hit], np.repeat(pos, n) - self.off[hit] + SEGMENT
-        band = diag // self.width
-        key = np.concatenate([seg * (1 << 40) + band, seg * (1 << 40) + np.maximum(band - 1, 0)])
-        key, count = np.unique(key, return_counts=True)
+        total = np.cumsum(self.times[at])
+        counted = [(none, none)]
+        i = 0
+        while i < len(pos):  # what repeats itself shares many q-grams at each place: they are counted in parts
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + HITS, "right")))
+            n = self.times[at[i:j]]
+            hit = np.repeat(self.first[at[i:j]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            seg, diag = self.seg[hit], np.repeat(pos[i:j], n) - self.off[hit] + SEGMENT
+            band = diag // self.width
+            key = np.concatenate([seg * (1 << 40) + band, seg * (1 << 40) + np.maximum(band - 1, 0)])
+            counted.append(np.unique(key, return_counts=True))
+            i = j
+        key, part = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+        count = np.bincount(part, np.concatenate([c for _, c in counted]), len(key))
         seg = key >> 40
         ok = count >= self.bound[seg]
         return seg[ok], (key[ok] & (1 << 40) - 1) * self.width - SEGMENT
@@ -124,9 +130,8 @@ class Patterns:
             end[i : i + 4096] = lo + k + self.sizes[s]
         return best, end
 
-    def find(self, texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int]]:
-        """(text number, item) -> (edits, start, end) of the best region, offsets in the normalised text's bytes."""
-        raw = [normal(t) for t in texts]
+    def find(self, raw: list[bytes]) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(text number, item) -> (edits, start, end) of the best region, offsets in the bytes of the normalised texts."""
         sizes = np.array([len(r) + 1 for r in raw], np.int64)
         starts = np.cumsum(sizes) - sizes
         buf = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)  # no segment has the byte 0 ...
@@ -135,11 +140,35 @@ class Patterns:
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         for k in np.flatnonzero(edits <= self.edits[seg]):
             doc = int(np.searchsorted(starts, end[k] - 1, "right") - 1)  # ... so an alignment within the budget lies in one text
-            item = self.owner[seg[k]][0]
             stop = int(end[k] - starts[doc])
-            got = (int(edits[k]), max(0, stop - int(self.sizes[seg[k]])), stop)
-            if (doc, item) not in out or got < out[doc, item]:
-                out[doc, item] = got
+            _better(out, (doc, self.owner[seg[k]][0]), (int(edits[k]), max(0, stop - int(self.sizes[seg[k]])), stop))
+        return out
+
+
+def _better(out: dict, key: tuple[int, int], got: tuple[int, int, int]) -> None:
+    if key not in out or got < out[key]:
+        out[key] = got
+
+
+class Passages:
+    """All passages of a block: long ones by segments, short ones whole, those without a q-gram by equality."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        raw = [(item, normal(text or "")) for item, text in items]
+        parts = [[x for x in raw if len(x[1]) >= LEAST], [x for x in raw if Q <= len(x[1]) < LEAST]]  # apart, as short ones prune little
+        self.patterns = [Patterns(x) for x in parts if x]
+        self.tiny: dict[bytes, list[int]] = {}
+        for item, x in raw:
+            if 0 < len(x) < Q:
+                self.tiny.setdefault(x, []).append(item)
+
+    def find(self, texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """See Patterns.find."""
+        raw = [normal(t) for t in texts]
+        out = {(k, item): (0, 0, len(r)) for k, r in enumerate(raw) for item in self.tiny.get(r, ())}
+        for patterns in self.patterns:
+            for key, got in patterns.find(raw).items():
+                _better(out, key, got)
         return out
 
 
@@ -174,10 +203,10 @@ def _searched(docs: DataFrame, block: list[tuple[int, str]], schema: str) -> Dat
     names = [f.name for f in T.StructType.fromDDL(schema).fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(held.value)
+        passages = Passages(held.value)
         for batch in batches:
             ids, texts = batch.column(id_col), texts_of(batch, text_col)
-            found = patterns.find(texts) if batch.num_rows and len(patterns.owner) else {}
+            found = passages.find(texts) if batch.num_rows else {}
             if found:
                 rows = list(found)
                 types = [ids.type, None, pa.int32(), pa.int32(), pa.int32()]

@@ -385,6 +385,20 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()) == [3, 4, 5, 6]
 
 
+def test_short_and_repetitive_passages(spark, monkeypatch):
+    """Short passages are found whole and without an edit, those without a q-gram as whole texts; counting in parts counts alike."""
+    items = [(1, "is it true"), (2, "yes"), (3, "a" * 300), (4, " "), (5, "12345678"), (6, "One  Quite ordinary short passage")]
+    texts = ["well, Is  it TRUE or not", "is it trua", "yes", "yes sir", "b" + "a" * 500, "", "x12345678y", "say: one quite ordinary short passage.", "one quite ordinary shart passage"]
+    want = {(0, 1), (2, 2), (4, 3), (6, 5), (7, 6)}
+    for hits in (decontaminate.HITS, 50):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        found = decontaminate.Passages(items).find(texts)
+        assert set(found) == want and found[7, 6] == (0, 5, 37) and all(x[0] == 0 for x in found.values())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 def test_rows_without_an_id(spark):
     """A null id is no exemption, and a contaminated row takes no other row of its id along."""
     item = "The quick brown fox jumps over the lazy dog while seven wizards mix dark jugs of lively phosphorescent quartz tonight."
