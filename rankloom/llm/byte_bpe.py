@@ -3,8 +3,8 @@
 The distinct pieces of a batch lie in padded matrices, one for each bucket of lengths, a row for each piece. In every
 round each row merges its leftmost pair of minimum rank (one round for all rows); ranks come from an open-addressing
 hash table over token pairs; the row then closes up (compaction), and rows without a mergeable pair leave the matrix.
-Only the two pairs beside a merge are looked up again. A piece longer than MATRIX_BYTES would make its matrix
-quadratic, so such pieces are merged in the same order from a heap.
+Only the two pairs beside a merge are looked up again. A piece longer than MATRIX_BYTES is a matrix of its own, wrapped
+into rows of that width, and a round merges the leftmost pair of minimum rank of all its rows.
 
 A worker keeps the codes of pieces it has met, up to KEPT_PIECES (then it starts anew): memory is bounded.
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from functools import lru_cache
 from pathlib import Path
 
@@ -122,25 +121,39 @@ class ByteBPE:
             rank[n[left], at[left] - 1] = self.pairs.get(ids[n[left], at[left] - 1], ids[n[left], at[left]])
         return out
 
-    def merged_long(self, piece: bytes) -> np.ndarray:
-        """The same merges in the same order, from a heap, for a piece too long for a matrix."""
-        part = [self.of_byte[b] for b in piece]
-        text = [bytes([b]) for b in piece]
-        nxt, prv, alive = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1)), [True] * len(part)
-        heap = [(r, i, 2) for i in range(len(part) - 1) if (r := self.ranks.get(text[i] + text[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, n = heapq.heappop(heap)
-            j = nxt[i] if alive[i] else len(part)
-            if j >= len(part) or len(text[i]) + len(text[j]) != n:
-                continue
-            text[i], part[i], alive[j], nxt[i] = text[i] + text[j], r, False, nxt[j]
-            if nxt[j] < len(part):
-                prv[nxt[j]] = i
-            for a, b in ((prv[i], i), (i, nxt[i])):
-                if a >= 0 and b < len(part) and (s := self.ranks.get(text[a] + text[b])) is not None:
-                    heapq.heappush(heap, (s, a, len(text[a]) + len(text[b])))
-        return np.array([p for p, ok in zip(part, alive) if ok], "<u4")
+    def merged_wide(self, piece: bytes) -> bytes:
+        """Code of one long piece, whose ids lie in rows of MATRIX_BYTES: only the rows beside a merge close up."""
+        rows = -(-len(piece) // MATRIX_BYTES)
+        ids, rank = np.full((rows, MATRIX_BYTES), -1, np.int32), np.full((rows, MATRIX_BYTES), NONE, np.int32)
+        flat = ids.reshape(-1)[: len(piece)]
+        flat[:] = self.of_byte[np.frombuffer(piece, np.uint8)]
+        rank.reshape(-1)[: len(piece) - 1] = self.pairs.get(flat[:-1], flat[1:])  # the last of a row is paired with the next row's first
+        size, least = (ids >= 0).sum(1).tolist(), rank.min(1)
+        after, before = list(range(1, rows + 1)), list(range(-1, rows - 1))  # the rows beside that have ids left
+        while True:
+            r = int(least.argmin())
+            best = least[r]
+            if best == NONE:
+                return ids[ids >= 0].astype("<u4").tobytes()
+            c = int(rank[r].argmin())
+            q, d = (r, c + 1) if c + 1 < size[r] else (after[r], 0)
+            ids[r, c] = best
+            ids[q, d:-1], ids[q, -1] = ids[q, d + 1 :], -1
+            rank[q, d:-1], rank[q, -1] = rank[q, d + 1 :], NONE
+            size[q] -= 1
+            if not size[q]:
+                after[r] = after[q]
+                if after[q] < rows:
+                    before[after[q]] = r
+            p, e = (r, c - 1) if c else (before[r], size[before[r]] - 1)
+            s, f = (r, c + 1) if c + 1 < size[r] else (after[r], 0)
+            beside = np.array([ids[p, e] if p >= 0 else -1, best, ids[s, f] if s < rows else -1], np.int32)
+            both = self.pairs.get(beside[:2], beside[1:])
+            if p >= 0:
+                rank[p, e] = both[0]
+                least[p] = rank[p].min()
+            rank[r, c] = both[1]
+            least[r], least[q] = rank[r].min(), rank[q].min()
 
     def learn(self, pieces: set[str]) -> None:
         """Put the codes of pieces into known."""
@@ -150,7 +163,7 @@ class ByteBPE:
             if raw in self.ranks:
                 self.known[p] = self.ranks[raw].to_bytes(4, "little")
             elif len(raw) > MATRIX_BYTES:
-                self.known[p] = self.merged_long(raw).tobytes()
+                self.known[p] = self.merged_wide(raw)
             else:
                 buckets.setdefault(max(4, len(raw) + 3 & ~3), []).append((p, raw))
         for width, items in buckets.items():

@@ -114,10 +114,16 @@ def test_empty_tables(spark, empty):
     assert decontaminate.contaminated(empty, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def random_words():
+    """Words far wider than a matrix: of few letters, of common parts, and of any letters."""
+    rng = random.Random(9)
+    return ["".join(rng.choice(parts) for _ in range(n)) for parts, n in (("ab", 4000), (["tion", "ing", "the", "er", "qu", "s"], 2000), ("abcdefghijklmnopqrstuvwxyzéß漢", 6000))]
+
+
 def test_bpe_is_tiktoken(spark, odd):
     bpe = byte_bpe.load(public_tokenizers.path(byte_bpe.DEFAULT), public_tokenizers.PATTERN)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
-    texts = ["", "it's 12345 <|endoftext|>", "aaaaaaaa" * 9, "日本語 😀", "ab" * 1500, "\x00\x01 " * 50, *(r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect())]
+    texts = ["", "it's 12345 <|endoftext|>", "aaaaaaaa" * 9, "日本語 😀", "ab" * 1500, "\x00\x01 " * 50, "x" * 512 + "y", " " * 9000, *random_words(), *(r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect())]
     for t, code in zip(texts, bpe.encode(texts)):
         assert np.frombuffer(code, "<u4").tolist() == enc.encode_ordinary(t) and bpe.decode(code) == t.encode()
     got = {(r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in byte_bpe.round_trip(odd).collect()}
