@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, phrase_dedup, pii, quality_rules, simhash, suffix_dedup, url_filter, warc
+from . import byte_bpe, centroids, decontaminate, language_id, phrase_dedup, pii, quality_rules, simhash, suffix_dedup, token_alignment, token_files, url_filter, warc
 from .common import table, written
 
 
@@ -63,7 +63,19 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_pii, op6_warc, op7_quality_rules, op8_suffix_dedup, op9_simhash, op10_phrase_dedup)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.filed(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontaminate, op3_language_id, op4_byte_bpe, op5_pii, op6_warc, op7_quality_rules, op8_suffix_dedup, op9_simhash, op10_phrase_dedup, op11_token_alignment, op12_token_files, op13_centroids)}
 
 #: After the words u of every document: the windows of 50 that a smaller document has too, and what they leave.
 REPEATED = """
@@ -73,7 +85,19 @@ REPEATED = """
         k AS (SELECT doc_id, i, x, max(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
         r AS (SELECT *, CASE WHEN gone = 1 AND lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) = 0 THEN 1 ELSE 0 END AS opens FROM k)"""
 
+#: A round of operator 13 in SQL: each vector's nearest centroid, and the floors of the means.
+ROUND = """
+        a{r} AS MATERIALIZED (SELECT id, v, min({{'d': d, 'j': j}}) AS m FROM (SELECT k.id, k.v, c.j, list_sum(list_transform(list_zip(k.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM k, c{r} AS c) GROUP BY id, v),
+        c{s} AS MATERIALIZED (SELECT j, list(coalesce(x, c) ORDER BY i) AS c FROM (SELECT j, unnest(c) AS c, unnest(range(1, 65)) AS i FROM c{r})
+               LEFT JOIN (SELECT m.j AS j, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM (SELECT m, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY 1, 2) USING (j, i) GROUP BY j)"""
+
 ORACLE_SQL = {
+    "op13_centroids": """
+        WITH k AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || id)) - 1 AS j, v AS c FROM k ORDER BY sha256('3:' || id) LIMIT 8),"""
+    + ",".join(ROUND.format(r=r, s=r + 1) for r in range(11))
+    + """
+        SELECT id AS vec_id, m.j::INT AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.j)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c10.c, ',')) AS centroid_sha256 FROM a10 JOIN c10 ON m.j = c10.j""",
     "op1_url_filters": """
         WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                           coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
