@@ -19,6 +19,7 @@ No rows: no documents. Other columns are not read. A text is encoded whole, in m
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ DEFAULT, END = "byte_bpe_50k.json", 2
 STRIPE_BYTES, STRIDE, FALSE_SHARE = 16 << 20, 1000, 0.01
 #: Texts are encoded in lots of about so many characters; a table of one row a file is broadcast up to so many files (about 10 MB).
 LOT, MOST_FILES = 1 << 20, 50_000
+#: Words whose ids a worker keeps; a space that doesn't stand before something else than white space.
+KEPT_WORDS, APART = 300_000, re.compile(r" (?:\s|\Z)")
 SCHEMA = "n_tokens bigint, through bigint, ids array<int>"
 
 
@@ -64,6 +67,49 @@ def lots(texts: list[str], most: int = LOT) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+class Words:
+    """Ids of whole texts, from the tokenizer's own ids of each distinct word.
+
+    The byte-level pattern begins a new piece at each space that stands before something else than white space, whatever is
+    before it, and merges never leave a piece. So a text in which each space stands before something else is the chain of
+    its words, each with the space before it, and a word that was met is not encoded again. Other texts, and those that hold
+    the string of a special token, are encoded whole."""
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        kind = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        self.by_words = type(kind[0]).__name__ == "ByteLevel" and kind[0].use_regex and not kind[0].add_prefix_space and kind[1] is None
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for a, b in lots(texts):
+            out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes | None] = [None] * len(texts)
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        cut = {i: t.split(" ") for i, t in enumerate(texts) if self.by_words and not APART.search(t) and not any(s in t for s in self.special)}
+        new = list(set().union(*(w[1:] for w in cut.values())).difference(self.known))
+        self.known.update(zip(new, self._ids([" " + w for w in new])))
+        first = dict(zip(cut, self._ids([w[0] for w in cut.values()])))
+        whole = [i for i in range(len(texts)) if i not in cut]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = ids
+        for i, w in cut.items():
+            out[i] = first[i] + b"".join(map(self.known.__getitem__, w[1:]))
+        return out
+
+
+@lru_cache(maxsize=1)
+def words(path: str) -> Words:
+    return Words(path)
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
     """ORC files of (id, n_tokens, through, ids) at path, in ascending order of id. files: how many at most; None: spark.sql.shuffle.partitions, or as adaptive execution joins them."""
     bounded_batches(docs.sparkSession)
@@ -76,16 +122,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         through = 0
-        t = tokenizer(vocabulary or public_tokenizers.path(DEFAULT))
+        encoder = words(vocabulary or public_tokenizers.path(DEFAULT))
+        tail = b"" if end is None else np.array([end], "<u4").tobytes()
         for batch in batches:
             texts = texts_of(batch, text_col)
             for a, b in lots(texts):
-                ids = [x.ids for x in t.encode_batch_fast(texts[a:b], add_special_tokens=False)]
-                tail = [] if end is None else [end]
-                n = np.array([len(x) + len(tail) for x in ids], np.int64)
-                flat = np.fromiter((i for x in ids for i in (*x, *tail)), np.int32, int(n.sum()))
+                ids = [x + tail for x in encoder.encode(texts[a:b])]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(a, b - a), pa.array(n), pa.array(ends + through), lists], names=[id_col, "n_tokens", "through", "ids"])
                 through += int(n.sum())
 
