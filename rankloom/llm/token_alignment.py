@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, texts_of, written
-from .token_files import lots, tokenizer
+from .token_files import Kept, chained, lots, tokenizer
 
 #: Vocabularies.
 DEFAULT_A, DEFAULT_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs of a part; bits of the number of pairs whose counts go to all tasks.
 PAIRS, HOT_BITS = 1 << 21, 17
-#: Words whose ids a worker keeps; a space that doesn't stand between two characters that are no white space.
-KEPT_WORDS, CROWDED = 200_000, re.compile(r"\s |\A | (?:\s|\Z)")
+#: Words of each half of what a worker keeps; characters of words encoded in one chain; a space that doesn't stand between two characters that are no white space.
+KEPT_WORDS, CHAIN, CROWDED = 400_000, 1 << 15, re.compile(r"\s |\A | (?:\s|\Z)")
 #: A pair is one number: the A id above so many bits, the B id below.
 LOW = 32
 
@@ -64,7 +64,7 @@ class Pair:
         name = lambda mark, n: [f"{i}{mark}".encode() for i in range(n)]
         n_a, n_b = len(self.bytes_a), len(self.bytes_b)
         self.listing = name(",", n_a) + name("|", n_a) + name(",", n_b) + name(";", n_b)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.kept = Kept(KEPT_WORDS)
         kind = self.a.pre_tokenizer, self.a.normalizer
         inside = any("▁" in piece(i).lstrip("▁") for i in range(n_b))
         self.by_words = type(kind[0]).__name__ == "ByteLevel" and kind[0].use_regex and kind[1] is None and not inside
@@ -81,6 +81,21 @@ class Pair:
                 out.append((np.array(ids, "<u4").tobytes(), np.array(y, "<u4").tobytes()) if fits else None)
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        """Words without white space at their ends in chains, others one by one."""
+        alone = [w for w in words if w[0].isspace() or w[-1].isspace()]
+        rest = list(set(words).difference(alone)) if alone else words
+        chain_a = lambda part: self.a.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids
+        chain_b = lambda part: self.b.encode(" ".join(part))
+        for i, j in lots(rest, CHAIN):
+            part = rest[i:j]
+            a, b = chained(part, chain_a, self.len_a), chained(part, chain_b, self.len_b)
+            raw = (" " + " ".join(part)).encode()
+            same = lambda tokens, x: b"".join(map(tokens.__getitem__, np.frombuffer(b"".join(x), "<u4").tolist())) == raw
+            fits = a and b and same(self.bytes_a, a) and same(self.bytes_b, b)
+            self.kept.young.update(zip(part, zip(a, b) if fits else self._ids(part)))
+        self.kept.young.update(zip(alone, self._ids(alone)))
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids of A and B as little-endian unsigned 32-bit integers; none for a text that either doesn't give back.
 
@@ -88,15 +103,13 @@ class Pair:
         no piece of B goes on over one (none of its vocabulary has a space after another letter). So a text is the chain
         of its words, each with the space before it, and a word that was met is not encoded again. Other texts, and those with a
         word that isn't given back, are encoded whole."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
         cut = {i: t.split(" ") for i, t in enumerate(texts) if t and self.by_words and not CROWDED.search(t)}
-        new = list(set().union(*cut.values()).difference(self.known))
-        self.known.update(zip(new, self._ids(new)))
+        self._learn(self.kept.lacking(set().union(*cut.values())))
+        known = self.kept.young.__getitem__
         found: list[tuple[bytes, bytes] | None] = [None] * len(texts)
         whole = []
-        for i, t in enumerate(texts):
-            pairs = list(map(self.known.__getitem__, cut[i])) if i in cut else [None]
+        for i in range(len(texts)):
+            pairs = list(map(known, cut[i])) if i in cut else [None]
             if None in pairs:
                 whole.append(i)
             else:

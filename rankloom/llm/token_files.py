@@ -39,8 +39,8 @@ DEFAULT, END = "byte_bpe_50k.json", 2
 STRIPE_BYTES, STRIDE, FALSE_SHARE = 16 << 20, 1000, 0.01
 #: Texts are encoded in lots of about so many characters; a table of one row a file is broadcast up to so many files (about 10 MB).
 LOT, MOST_FILES = 1 << 20, 50_000
-#: Words whose ids a worker keeps; a space that doesn't stand before something else than white space.
-KEPT_WORDS, APART = 300_000, re.compile(r" (?:\s|\Z)")
+#: Words of each half of what a worker keeps; characters of words encoded in one chain; a space that doesn't stand before something else than white space.
+KEPT_WORDS, CHAIN, APART = 700_000, 1 << 15, re.compile(r" (?:\s|\Z)")
 SCHEMA = "n_tokens bigint, through bigint, ids array<int>"
 
 
@@ -67,6 +67,35 @@ def lots(texts: list[str], most: int = LOT) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def chained(words: list[str], ids_of, lengths: np.ndarray) -> list[bytes] | None:
+    """Ids of each word, with a space before it, as bytes, from the ids of all words in one chain: ids_of(chain), lengths:
+    bytes of each id. None if a word's end isn't a token's."""
+    ids = np.asarray(ids_of(words), np.uint32)
+    ends = np.cumsum(lengths[ids])
+    at = np.cumsum([len(w.encode()) + 1 for w in words])
+    k = np.searchsorted(ends, at)
+    if len(ends) == 0 or k[-1] != len(ends) - 1 or (ends[k] != at).any():
+        return None
+    raw, cut = ids.astype("<u4").tobytes(), [0, *(4 * (k + 1)).tolist()]
+    return [raw[i:j] for i, j in zip(cut, cut[1:])]
+
+
+class Kept:
+    """What was found by word, in two halves: the older one goes when the younger one is full, but for what was used since."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def lacking(self, words: set[str]) -> list[str]:
+        """Those that must be put in; the others are in ``young`` from here on."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        new = words.difference(self.young)
+        again = new.intersection(self.old)
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        return list(new.difference(again))
+
+
 class Words:
     """Ids of whole texts, from the tokenizer's own ids of each distinct word.
 
@@ -77,8 +106,9 @@ class Words:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.known: dict[str, bytes] = {}
+        self.kept = Kept(KEPT_WORDS)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)  # a letter a byte
         kind = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
         self.by_words = type(kind[0]).__name__ == "ByteLevel" and kind[0].use_regex and not kind[0].add_prefix_space and kind[1] is None
 
@@ -88,20 +118,24 @@ class Words:
             out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        chain = lambda part: self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids
+        for a, b in lots(words, CHAIN):
+            part = words[a:b]
+            self.kept.young.update(zip(part, chained(part, chain, self.lengths) or self._ids([" " + w for w in part])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
         cut = {i: t.split(" ") for i, t in enumerate(texts) if self.by_words and not APART.search(t) and not any(s in t for s in self.special)}
-        new = list(set().union(*(w[1:] for w in cut.values())).difference(self.known))
-        self.known.update(zip(new, self._ids([" " + w for w in new])))
+        self._learn(self.kept.lacking(set().union(*(w[1:] for w in cut.values()))))
         first = dict(zip(cut, self._ids([w[0] for w in cut.values()])))
         whole = [i for i in range(len(texts)) if i not in cut]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
+        known = self.kept.young.__getitem__
         for i, w in cut.items():
-            out[i] = first[i] + b"".join(map(self.known.__getitem__, w[1:]))
+            out[i] = first[i] + b"".join(map(known, w[1:]))
         return out
 
 
