@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, texts_of, written
-from .token_files import Kept, chained, lots, tokenizer
+from .token_files import Kept, byte_letters, chained, lots, spread, tokenizer
 
 #: Vocabularies.
 DEFAULT_A, DEFAULT_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -55,7 +55,7 @@ class Pair:
         import sentencepiece
 
         self.a, self.b = tokenizer(path_a, plain=True), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        byte = _byte_of()
+        byte = byte_letters()
         self.bytes_a = [bytes(map(byte.__getitem__, self.a.id_to_token(i) or "")) for i in range(self.a.get_vocab_size())]
         piece = self.b.id_to_piece
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
@@ -120,13 +120,6 @@ class Pair:
         return list(a), list(b)
 
 
-def _byte_of() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 letters for themselves, the other bytes in order from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
-
-
 @lru_cache(maxsize=1)
 def load(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
@@ -141,12 +134,6 @@ def _cuts(ends_a: np.ndarray, ends_b: np.ndarray, total: int, block: int = 1 <<
     return np.concatenate(out)
 
 
-def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start[i], start[i] + 1, ... n[i] numbers for each i."""
-    before = np.cumsum(n) - n
-    return np.arange(int(n.sum())) - np.repeat(before - start, n)
-
-
 def _distinct(group: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, id, how often) of the distinct (group, id), in order."""
     key, n = np.unique(group * size + ids, return_counts=True)
@@ -194,7 +181,7 @@ def aligned(pair: Pair, texts: list[str]) -> tuple[dict[str, np.ndarray | list],
             k = np.searchsorted(fresh, max(reach, i + 1), side="right") - 1
             j = int(fresh[k]) if k >= 0 and fresh[k] > i else int(next(iter(fresh[np.searchsorted(fresh, i, side="right") :]), len(n)))
             j = len(n) if reach >= len(n) else j
-            take = _spread(first[ga[i:j]], n[i:j])
+            take = spread(first[ga[i:j]], n[i:j])
             rep = np.repeat(np.arange(i, j), n[i:j])
             key = (doc[rep] * size_a + ia[rep]) * size_b + ib[take]
             links = ca[rep] * cb[take]

@@ -19,7 +19,6 @@ No rows: no documents. Other columns are not read. A text is encoded whole, in m
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +27,8 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,9 @@ STRIPE_BYTES, STRIDE, FALSE_SHARE = 16 << 20, 1000, 0.01
 #: Texts are encoded in lots of about so many characters; a table of one row a file is broadcast up to so many files (about 10 MB).
 LOT, MOST_FILES = 1 << 20, 50_000
 #: Words of each half of what a worker keeps; characters of words encoded in one chain; a space that doesn't stand before something else than white space.
-KEPT_WORDS, CHAIN, APART = 700_000, 1 << 15, re.compile(r" (?:\s|\Z)")
+KEPT_WORDS, CHAIN, APART = 500_000, 1 << 15, r" (?:[\s\v\x1c-\x1f\x{85}\p{Z}]|\z)"
+#: Bytes of text that are encoded at a time; ids of a batch that goes to the writer.
+BLOCK, OUT = 6 << 20, 1 << 20
 SCHEMA = "n_tokens bigint, through bigint, ids array<int>"
 
 
@@ -67,6 +70,13 @@ def lots(texts: list[str], most: int = LOT) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 letters for themselves, the other bytes in order from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
 def chained(words: list[str], ids_of, lengths: np.ndarray) -> list[bytes] | None:
     """Ids of each word, with a space before it, as bytes, from the ids of all words in one chain: ids_of(chain), lengths:
     bytes of each id. None if a word's end isn't a token's."""
@@ -80,6 +90,11 @@ def chained(words: list[str], ids_of, lengths: np.ndarray) -> list[bytes] | None
     return [raw[i:j] for i, j in zip(cut, cut[1:])]
 
 
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... n[i] numbers for each i."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - start, n)
+
+
 class Kept:
     """What was found by word, in two halves: the older one goes when the younger one is full, but for what was used since."""
 
@@ -108,7 +123,9 @@ class Words:
         self.tokenizer = tokenizer(path)
         self.kept = Kept(KEPT_WORDS)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)  # a letter a byte
+        self.model, self.pieces = self.tokenizer.model, {}
+        self.pattern = regex.compile(public_tokenizers.PATTERN)  # that of every byte-level vocabulary of the library
+        self.letters = {b: c for c, b in byte_letters().items()}
         kind = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
         self.by_words = type(kind[0]).__name__ == "ByteLevel" and kind[0].use_regex and not kind[0].add_prefix_space and kind[1] is None
 
@@ -119,24 +136,56 @@ class Words:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        chain = lambda part: self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids
+        """Cut into pieces, of which the library's model sees the new ones."""
         for a, b in lots(words, CHAIN):
             part = words[a:b]
-            self.kept.young.update(zip(part, chained(part, chain, self.lengths) or self._ids([" " + w for w in part])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut = {i: t.split(" ") for i, t in enumerate(texts) if self.by_words and not APART.search(t) and not any(s in t for s in self.special)}
-        self._learn(self.kept.lacking(set().union(*(w[1:] for w in cut.values()))))
-        first = dict(zip(cut, self._ids([w[0] for w in cut.values()])))
-        whole = [i for i in range(len(texts)) if i not in cut]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
-        known = self.kept.young.__getitem__
-        for i, w in cut.items():
-            out[i] = first[i] + b"".join(map(known, w[1:]))
-        return out
+            pieces = self.pattern.findall(" " + " ".join(part))
+            for x in set(pieces).difference(self.pieces):
+                self.pieces[x] = np.array([t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+            ids = list(map(self.pieces.__getitem__, pieces))
+            # pieces end where words end: sums of letters find the last piece of each
+            last = np.searchsorted(np.cumsum(list(map(len, pieces))), np.cumsum(list(map(len, part))) + np.arange(1, len(part) + 1))
+            ends = [0, *np.cumsum(list(map(len, ids)))[last].tolist()]
+            raw = b"".join(ids)
+            self.kept.young.update(zip(part, [raw[i:j] for i, j in zip(ends, ends[1:])]))
+        if len(self.pieces) > KEPT_WORDS:
+            self.pieces.clear()
+
+    def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, each text's followed by ``end``, and how many each has; a null is empty. Words are numbered
+        by Arrow, so that Python sees each distinct one once."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, APART)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False) if self.by_words else np.ones(len(texts), bool)
+        cut = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        units, n = cut.flatten(), cut.value_lengths().to_numpy()
+        first = np.zeros(len(units), bool)
+        first[np.cumsum(n) - n] = True  # has no space before it
+        numbered = units.filter(pa.array(~first)).dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        self._learn(self.kept.lacking(set(distinct)))
+        # what the texts are made of: words, first words, odd texts as one, the end
+        alone = [*units.filter(pa.array(first)).to_pylist(), *texts.filter(pa.array(odd)).to_pylist()]
+        ids = [*map(self.kept.young.__getitem__, distinct), *self._ids(alone), b"" if end is None else np.array([end], "<u4").tobytes()]
+        part = np.empty(len(units), np.int32)
+        part[~first] = numbered.indices.to_numpy()
+        part[first] = len(distinct) + np.arange(len(n))
+        count = np.ones(len(texts), np.int64)
+        count[~odd] = n
+        ends = np.cumsum(count + 1) - 1
+        of = np.full(len(units) + int(odd.sum()) + len(texts), len(ids) - 1, np.int32)
+        inner = np.ones(len(of), bool)
+        inner[ends] = False
+        whole = np.zeros(len(of), bool)
+        whole[ends[odd] - 1] = True
+        of[inner & ~whole] = part
+        of[whole] = len(distinct) + len(n) + np.arange(int(odd.sum()))
+        size = np.array(list(map(len, ids)), np.int32) // 4
+        flat, long = np.frombuffer(b"".join(ids), "<u4"), size[of]
+        reach = np.cumsum(long, dtype=np.int64)
+        return flat[spread((np.cumsum(size) - size).astype(np.int64)[of], long)], np.diff(reach[ends], prepend=0)
 
 
 @lru_cache(maxsize=1)
@@ -144,6 +193,31 @@ def words(path: str) -> Words:
     return Words(path)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Batches of about BLOCK bytes of text."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(text_col).nbytes
+        if size >= BLOCK:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def by_bytes(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of numbers with a sum of up to most; a larger one is a range of its own."""
+    start = total = 0
+    for i, x in enumerate(n.tolist()):
+        if i > start and total + x > most:
+            yield start, i
+            start, total = i, 0
+        total += x
+    if start < len(n):
+        yield start, len(n)
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
     """ORC files of (id, n_tokens, through, ids) at path, in ascending order of id. files: how many at most; None: spark.sql.shuffle.partitions, or as adaptive execution joins them."""
     bounded_batches(docs.sparkSession)
@@ -157,16 +231,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         through = 0
         encoder = words(vocabulary or public_tokenizers.path(DEFAULT))
-        tail = b"" if end is None else np.array([end], "<u4").tobytes()
-        for batch in batches:
-            texts = texts_of(batch, text_col)
-            for a, b in lots(texts):
-                ids = [x + tail for x in encoder.encode(texts[a:b])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(a, b - a), pa.array(n), pa.array(ends + through), lists], names=[id_col, "n_tokens", "through", "ids"])
-                through += int(n.sum())
+        for batch in gathered(batches, text_col):
+            ids, n = encoder.encode(batch.column(text_col), end)
+            ends = np.cumsum(n)
+            for a, b in by_bytes(n, OUT):
+                base = int(ends[a - 1]) if a else 0
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends[a:b] - base), pa.int32()), pa.array(ids[base : ends[b - 1]].view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(a, b - a), pa.array(n[a:b]), pa.array(ends[a:b] + through), lists], names=[id_col, "n_tokens", "through", "ids"])
+            through += int(n.sum())
 
     options = {"orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": FALSE_SHARE, "orc.create.index": "true", "orc.row.index.stride": STRIDE, "orc.stripe.size": STRIPE_BYTES, "orc.rows.between.memory.checks": 50, "compression": "zstd", "maxRecordsPerFile": 0}
     dealt.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, {SCHEMA}").write.options(**{k: str(v) for k, v in options.items()}).orc(path)
