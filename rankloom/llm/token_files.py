@@ -40,10 +40,10 @@ DEFAULT, END = "byte_bpe_50k.json", 2
 STRIPE_BYTES, STRIDE, FALSE_SHARE = 16 << 20, 1000, 0.01
 #: Texts are encoded in lots of about so many characters; a table of one row a file is broadcast up to so many files (about 10 MB).
 LOT, MOST_FILES = 1 << 20, 50_000
-#: Words of each half of what a worker keeps; characters of words encoded in one chain; a space that doesn't stand before something else than white space.
-KEPT_WORDS, CHAIN, APART = 500_000, 1 << 15, r" (?:[\s\v\x1c-\x1f\x{85}\p{Z}]|\z)"
+#: Pieces that a worker keeps; characters of words cut at a time; a space that doesn't stand before something else than white space.
+KEPT_PIECES, CHAIN, APART = 600_000, 1 << 17, r" (?:[\s\v\x1c-\x1f\x{85}\p{Z}]|\z)"
 #: Bytes of text that are encoded at a time; ids of a batch that goes to the writer.
-BLOCK, OUT = 6 << 20, 1 << 20
+BLOCK, OUT = 8 << 20, 1 << 20
 SCHEMA = "n_tokens bigint, through bigint, ids array<int>"
 
 
@@ -112,16 +112,15 @@ class Kept:
 
 
 class Words:
-    """Ids of whole texts, from the tokenizer's own ids of each distinct word.
+    """Ids of whole texts, from what the library's model makes of each distinct piece.
 
     The byte-level pattern begins a new piece at each space that stands before something else than white space, whatever is
     before it, and merges never leave a piece. So a text in which each space stands before something else is the chain of
-    its words, each with the space before it, and a word that was met is not encoded again. Other texts, and those that hold
-    the string of a special token, are encoded whole."""
+    its words, each with the space before it: of a block of texts each distinct word is cut into pieces once, and pieces that
+    were met aren't encoded again. Other texts, and those that hold the string of a special token, are encoded whole."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.kept = Kept(KEPT_WORDS)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.pieces = self.tokenizer.model, {}
         self.pattern = regex.compile(public_tokenizers.PATTERN)  # that of every byte-level vocabulary of the library
@@ -135,8 +134,11 @@ class Words:
             out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Cut into pieces, of which the library's model sees the new ones."""
+    def _by_pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it: cut into pieces, of which the library's model sees the new ones."""
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces.clear()
+        out: list[bytes] = []
         for a, b in lots(words, CHAIN):
             part = words[a:b]
             pieces = self.pattern.findall(" " + " ".join(part))
@@ -147,9 +149,8 @@ class Words:
             last = np.searchsorted(np.cumsum(list(map(len, pieces))), np.cumsum(list(map(len, part))) + np.arange(1, len(part) + 1))
             ends = [0, *np.cumsum(list(map(len, ids)))[last].tolist()]
             raw = b"".join(ids)
-            self.kept.young.update(zip(part, [raw[i:j] for i, j in zip(ends, ends[1:])]))
-        if len(self.pieces) > KEPT_WORDS:
-            self.pieces.clear()
+            out += [raw[i:j] for i, j in zip(ends, ends[1:])]
+        return out
 
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, each text's followed by ``end``, and how many each has; a null is empty. Words are numbered
@@ -165,10 +166,9 @@ class Words:
         first[np.cumsum(n) - n] = True  # has no space before it
         numbered = units.filter(pa.array(~first)).dictionary_encode()
         distinct = numbered.dictionary.to_pylist()
-        self._learn(self.kept.lacking(set(distinct)))
         # what the texts are made of: words, first words, odd texts as one, the end
         alone = [*units.filter(pa.array(first)).to_pylist(), *texts.filter(pa.array(odd)).to_pylist()]
-        ids = [*map(self.kept.young.__getitem__, distinct), *self._ids(alone), b"" if end is None else np.array([end], "<u4").tobytes()]
+        ids = [*self._by_pieces(distinct), *self._ids(alone), b"" if end is None else np.array([end], "<u4").tobytes()]
         part = np.empty(len(units), np.int32)
         part[~first] = numbered.indices.to_numpy()
         part[first] = len(distinct) + np.arange(len(n))
