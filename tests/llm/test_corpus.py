@@ -291,34 +291,55 @@ def test_pii_disclosing_terms(spark):
 
 
 def test_pii_terms_of_real_documents(spark):
-    """The terms that the production parameters disclose on sf0.1, against counts of documents by hand."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    """The terms that the production parameters disclose on sf0.01 with names beside addresses in some documents, near copies of one
+    text with another address among them, against counts of distinct texts by hand."""
+    real = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows = [(i, f"{t} Zorblatt{'abc'[i % 3]} writes boss{i % 3}@acme.example" if t and i % 20 < 3 else t) for i, t in real]
+    rows += [(-k, f"{real[5][1]} only{'xyz'[k % 3]} here versions@acme.example") for k in range(1, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     some = pii.find_base(docs).filter("text is not null").cache()
     got = {(r["entity"], r["term"]): r["pmi"] for r in pii.disclosures(docs, some).collect()}
-    assert got
-    n, n_e, n_t, n_et = 0, Counter(), Counter(), Counter()
+    assert {t for e, t in got if "boss" in e} >= {"zorblatta", "zorblattb", "zorblattc"} and not any("versions" in e for e, _ in got)
+    n, n_e, n_t, n_et, sizes = 0, Counter(), Counter(), Counter(), {}
     terms_of = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]+", t or "") if len(w) >= 3}
-    for r in docs.collect():
+    for t in {r["text"] for r in docs.collect() if r["text"] is not None}:
         n += 1
-        n_t.update(terms_of(r["text"]))
-    for r in some.collect():
-        entities = {f"{x['kind']}:{x['value']}" for k in pii.BASE for x in r[k]}
+        n_t.update(terms_of(t))
+    for t, entities in {r["text"]: {f"{x['kind']}:{x['value']}" for k in pii.BASE for x in r[k]} for r in some.collect()}.items():
         n_e.update(entities)
-        n_et.update((e, t) for e in entities for t in terms_of(r["text"]))
-    share = lambda k: (k + 0.5) / (n + 1)
-    pmi = {(e, t): np.log(share(k) / share(n_e[e]) / share(n_t[t])) for (e, t), k in n_et.items()}
-    want = {k: v for k, v in pmi.items() if v * 1.5 >= -np.log(share(n_e[k[0]]))}
+        n_et.update((e, x) for e in entities for x in terms_of(t) if x not in e.lower())
+        for e in entities:
+            sizes.setdefault(e, []).append(len(terms_of(t)))
+    others = lambda k: (k - 1) / (n - 1)
+    pmi = {(e, t): np.log(others(k) / others(n_e[e]) / others(n_t[t])) for (e, t), k in n_et.items() if k > 1}
+    def sure(k, m):
+        p, z = (k - 1) / (m - 1), 1.645 / np.sqrt(m - 1)
+        return (p + z * z / 2 - z * np.sqrt(p * (1 - p) + z * z / 4)) / (1 + z * z)
+
+    want = {k: v for k, v in pmi.items() if (np.log(sure(n_et[k], n_t[k[1]])) - np.log(others(n_e[k[0]]))) * 1.5 >= -np.log(others(n_e[k[0]]))}
+    many = Counter(e for e, _ in want)
+    want = {k: v for k, v in want.items() if many[k[0]] <= max(3, 0.05 * np.mean(sizes[k[0]]))}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
 
 
+def test_pii_words_of_one_text_stay(spark):
+    """However rare they are: no other text says that they belong to the address. Copies are one text."""
+    rows = [(i, f"filler words of page number {i % 7} and {i}") for i in range(2000)]
+    for copies in (1, 50):
+        own = [(10_000 + i, "Contact bob@acme.example about the ordinary garden picnic on Saturday afternoon") for i in range(copies)]
+        out = [r["text"] for r in pii.sanitised(spark.createDataFrame(rows + own, "doc_id long, text string")).collect() if r["doc_id"] >= 10_000]
+        assert out == ["Contact [EMAIL] about the ordinary garden picnic on Saturday afternoon"] * copies
+
+
 def test_pii_counts_of_copies(spark):
-    """A term beside an entity discloses it, be its documents one or a thousand copies."""
-    rows = [(i, f"filler words of page number {i % 7}") for i in range(2000)]
-    for copies in (1, 1000):
-        own = [(10_000 + i, "Zorblatt writes boss@acme.example") for i in range(copies)]
-        docs = spark.createDataFrame(rows + own, "doc_id long, text string")
-        out = [r["text"] for r in pii.sanitised(docs).collect() if r["doc_id"] >= 10_000]
-        assert len(out) == copies and all("Zorblatt" not in t and "[EMAIL]" in t for t in out)
+    """A term beside an entity in several texts discloses it, be each there once or a hundred times; their other words stay."""
+    rows = [(i, f"filler words of page number {i % 7} and {i}") for i in range(2000)]
+    rest = ["about garden plans", "on a rainy Tuesday", "from the harbour office", "with kind regards"]
+    for copies in (1, 100):
+        own = [(10_000 + i, f"Zorblatt writes boss@acme.example {r}") for i, r in enumerate(rest * copies)]
+        rows += [(5_000 + i, f"she writes {r} number {i}") for i, r in enumerate(rest * 10)]
+        out = [r["text"] for r in pii.sanitised(spark.createDataFrame(rows + own, "doc_id long, text string")).collect() if r["doc_id"] >= 10_000]
+        assert sorted(set(out)) == sorted(f" writes [EMAIL] {r}" for r in rest) and len(out) == len(own)
 
 
 def test_language_gradients_and_accuracy(spark):
