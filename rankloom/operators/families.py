@@ -84,3 +84,47 @@ def relaxed(df: DataFrame, hard: Column, filters: list[tuple[str, Column, int, s
     counts = df.agg(*(F.count_if(c).alias(f"n{n}") for n, c in enumerate(levels))).first()
     chosen = next((n for n in range(len(levels)) if counts[n] >= target), len(order))
     return chosen, df.withColumn("level", F.coalesce(*(F.when(c, n) for n, c in enumerate(levels))))
+
+
+def by_tables(models: DataFrame, hints: DataFrame, patterns: DataFrame, aliases: DataFrame, least: float = 0.28, margin: float = 0.08, alias_confidence: float = 0.80, unclear: str = UNCLEAR) -> DataFrame:
+    """models (id, kind, name, tags) -> (id, family, child, confidence, rule), from tables of any size, by equality joins:
+
+    hint      hints (kind, family, child, confidence): the record's kind, whatever its case; the surest, ties to the lesser family
+    pattern   patterns (phrase, family, child, confidence): words that stand side by side in the name; the longest phrase
+    alias     aliases (field, word, family, weight), field being name, tag or kind: weights of the words that a field has,
+              each word once a field, are summed by family; the best family if it reaches ``least`` and leads the next by ``margin``
+    none      ``unclear``, with confidence 0
+
+    The first that finds something counts. Names and tags are split at what is no letter or digit. Nulls have no words; ids are unique."""
+    from .languages import mentions
+
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}0-9]+"), lambda w: w != ""))
+    plain = F.array_join(F.filter(F.split(F.lower(F.coalesce("name", F.lit(""))), r"[^\p{L}0-9]+"), lambda w: w != ""), " ")
+    own = models.select("id", F.lower("kind").alias("kind"), plain.alias("t"), words(F.coalesce("name", F.lit(""))).alias("n"), words(F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")).alias("g"), words(F.coalesce("kind", F.lit(""))).alias("k"))
+    best_hint = hints.groupBy(F.lower("kind").alias("kind")).agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "family", "child")).alias("h"))
+    hit = F.struct("family", "child", "confidence")
+    seen = mentions(own.select("t").filter("t <> ''").distinct(), patterns.select(F.lower("phrase").alias("said"), hit.alias("hit"))).withColumnRenamed("mention", "p")
+    cells = F.flatten(F.array(*(F.transform(c, tagged) for c, tagged in (("n", lambda w: F.struct(F.lit("name").alias("field"), w.alias("word"))), ("g", lambda w: F.struct(F.lit("tag").alias("field"), w.alias("word"))), ("k", lambda w: F.struct(F.lit("kind").alias("field"), w.alias("word")))))))
+    said = own.select("id", F.explode(cells).alias("x")).select("id", "x.field", "x.word").join(aliases.withColumn("word", F.lower("word")), ["field", "word"])
+    sums = said.groupBy("id", "family").agg(F.round(F.sum("weight"), 9).alias("w"))
+    top = sums.groupBy("id").agg(F.max(F.struct("w", "family")).alias("best"), F.sum(F.lit(1)).alias("m"), F.sort_array(F.collect_list("w"), False).alias("all"))  # a row a family
+    chosen = top.filter((F.col("best.w") >= least) & (F.round(F.col("best.w") - F.when(F.col("m") > 1, F.col("all")[1]).otherwise(0.0), 9) >= margin)).select("id", F.col("best.family").alias("alias"))
+    rows = own.select("id", "kind", "t").join(best_hint, "kind", "left").join(seen, "t", "left").join(chosen, "id", "left")
+    pick = lambda family, child, confidence, rule: F.struct(family.alias("family"), child.cast("string").alias("child"), confidence.cast("double").alias("confidence"), F.lit(rule).alias("rule"))
+    found = F.coalesce(
+        F.when(F.col("h").isNotNull(), pick(F.col("h.family"), F.col("h.child"), -F.col("h.minus"), "hint")),
+        F.when(F.col("p").isNotNull(), pick(F.col("p.family"), F.col("p.child"), F.col("p.confidence"), "pattern")),
+        F.when(F.col("alias").isNotNull(), pick(F.col("alias"), F.lit(None), F.lit(alias_confidence), "alias")),
+        pick(F.lit(unclear), F.lit(None), F.lit(0.0), "none"),
+    )
+    return rows.select("id", found.alias("x")).select("id", "x.*")
+
+
+def routed(texts: DataFrame, words: DataFrame, several: str = "multimodal", other: str = "other") -> DataFrame:
+    """texts (id, text), words (word, route) -> (id, route, routes): the route that a text's words name; ``several`` where they name more
+    than one, ``other`` where none. routes: all of them, in order."""
+    each = texts.select("id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}0-9]+"))).alias("word")).join(words.select(F.lower("word").alias("word"), "route"), "word")
+    named = each.groupBy("id").agg(F.array_sort(F.collect_set("route")).alias("routes"))  # at most as many as there are routes
+    none = F.array().cast("array<string>")
+    all_ = texts.select("id").join(named, "id", "left").withColumn("routes", F.coalesce("routes", none))
+    return all_.select("id", F.when(F.size("routes") > 1, several).when(F.size("routes") == 1, F.col("routes")[0]).otherwise(other).alias("route"), "routes")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import vectors as V
-from rankloom.operators import families, likeness, ranking
+from rankloom.operators import families, likeness, ranking, similarity
 
 from .catalogue import CATALOGUE, CRITERIA, SIGNALS, catalogue, table
 from .registry import query
@@ -174,7 +174,10 @@ def random_configs(spark, d):
 
 @query()
 def phrase_match_reasons(spark, d):
-    """Names held against the first name of their block (first two letters): likeness and the reason for a match."""
-    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("block", F.substring("name", 1, 2))
-    anchor = names.groupBy("block").agg(F.min("name").alias("anchor"))
-    return likeness.compared(names.join(anchor, "block").select("name", "anchor"), "name", "anchor").withColumn("ratio", F.round("ratio", 9)).withColumn("indel", F.round("indel", 9))
+    """All pairs of names that share half of their three-letter pieces, with why they are one: likeness has no SQL."""
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    grams = F.transform(F.sequence(F.lit(1), F.length("name") + 2), lambda i: F.substring(F.concat(F.lit("##"), F.lower("name"), F.lit("##")), i, F.lit(3)))
+    of = similarity.members(names.select("name", grams.alias("items")), "name", "items")
+    alike = of.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    pairs = similarity.similar_pairs(of, 0.5).select("a", "b").union(alike)
+    return likeness.compared(pairs, "a", "b").select("a", "b", *(F.round(c, 9).alias(c) for c in ("ratio", "indel", "weighted", "score")), "reason")

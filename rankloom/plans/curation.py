@@ -47,6 +47,12 @@ def sample_quota(spark, d):
     return sampling.quota_sample(table(spark, d, "documents").select("doc_id", "lang").filter("lang IS NOT NULL"), "lang", "doc_id", 300, 20)
 
 
+@query()
+def sample_rebalanced(spark, d):
+    """200 documents over their sources: 5 of each at least, 15 if others can spare them; the sizes are the feature. Rounds have no SQL."""
+    return sampling.rebalanced_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 200, 5, 15)
+
+
 @query("""WITH a AS (SELECT 'customer' AS source, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, regexp_extract(c_name, '[0-9]+') AS digits FROM customer UNION ALL SELECT 'supplier', s_name, s_nationkey, s_acctbal, regexp_extract(s_name, '[0-9]+') FROM supplier)
     SELECT coalesce(CASE WHEN balance >= 0 THEN 'id:' || digits END, 'nation:' || nation) AS key, min(name) AS name, round(max(balance), 2) AS balance, count(*) AS n, count(DISTINCT source) AS n_sources, min(source) AS first_source FROM a GROUP BY 1""")
 def record_key_merge(spark, d):

@@ -51,13 +51,21 @@ def test_likeness(spark):
             row = new
         return row[-1]
 
-    for _ in range(200):
-        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(12))) for _ in "xy")
+    sizes = [12] * 200 + [400] * 12
+    for n in sizes:
+        a, b = ("".join(rng.choice("abc ") if n < 100 else rng.choice("abcdefghijklmnopqrstuvwxyz   eeeee") for _ in range(rng.randrange(n))) for _ in "xy")
+        if n > 100:
+            b = b + a[: len(a) // 2] + b[:50]  # long common blocks, and the rule of frequent characters
         assert likeness.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
         assert abs(likeness.indel(a, b) - (2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0)) < 1e-12
-    assert [likeness.reason_of(*p) for p in (("A b", "a  b"), ("nlp", "natural language processing"), ("image", "large image model"), ("abc", "xyz"), ("colour image models", "color image models"))] == ["exact", "acronym", "contained", "none", "alike"]
+    assert likeness.ratio("x" * 300, "x" * 300) == difflib.SequenceMatcher(None, "x" * 300, "x" * 300).ratio()
+    assert likeness.token_sort("b a", "a b") == 1.0 and likeness.token_set("a b c", "c a") == 1.0 and likeness.token_set("", "a") == 0.0
+    assert likeness.partial("abc", "xxabcxx") == 1.0 and likeness.partial("", "a") == 0.0 and likeness.partial_tokens("a q", "z q y") == 1.0
+    assert likeness.weighted("", "a") == 0.0 and likeness.weighted("ab cd", "cd ab") == 0.95 and likeness.weighted("abc", "xxabcxx") == 0.9
+    asked = [("A b", "a  b"), ("colour image models", "color image models"), ("NLP", "NLQ"), ("deep net", "net deep"), ("image model", "large image model here"), ("abc", "xyz"), ("", "a"), ("neural nets (NN)", "nn")]
+    assert [likeness.cascade(*p)[0] for p in asked] == ["exact", "alike", "none", "conservative", "contained", "none", "none", "exact"]
     pairs = spark.createDataFrame([("a", "a"), (None, "b")], "x string, y string")
-    assert [(r["ratio"], r["reason"]) for r in likeness.compared(pairs, "x", "y").collect()] == [(1.0, "exact"), (0.0, "none")]
+    assert [(r["ratio"], r["reason"], r["score"]) for r in likeness.compared(pairs, "x", "y").collect()] == [(1.0, "exact", 1.0), (0.0, "none", 0.0)]
     assert likeness.greedy_pairs(["ab", "abc"], ["abc", "abd"], 0.5) == [(0, 0), (1, 1)]
 
 
