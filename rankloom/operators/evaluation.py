@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,23 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Pearson correlations, all in one pass."""
     row = df.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 6).alias("pearson")) for a, b in pairs)).alias("x"))
     return row.select(F.explode("x").alias("x")).select("x.*")
+
+
+def average_precision(df: DataFrame, by: list[str], order: list[Column], relevant: Column) -> DataFrame:
+    """(by, n, n_relevant, ap): the mean over a list's relevant rows of the share of relevant rows up to each; null without any."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    hit = relevant.cast("int")
+    rows = df.select(*by, hit.alias("_hit"), (F.sum(hit).over(w) / F.count(F.lit(1)).over(w)).alias("_p"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("_hit").alias("n_relevant"), (F.sum(F.col("_p") * F.col("_hit")) / F.nullif(F.sum("_hit"), F.lit(0))).alias("ap"))
+
+
+def importance(df: DataFrame, parameters: list[str], metric: str) -> DataFrame:
+    """(parameter, levels, effect, importance): the spread of a parameter's level means, and the share of the metric's variance that lies between
+    its levels. Sums by level are taken once for all parameters; rows without the metric don't count."""
+    cells = F.array(*(F.struct(F.lit(p).alias("parameter"), F.col(p).cast("string").alias("level")) for p in parameters))
+    x = F.col(metric).cast("double")
+    levels = df.filter(x.isNotNull()).select(F.explode(cells).alias("c"), x.alias("x")).groupBy("c.parameter", "c.level").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    whole = levels.groupBy("parameter").agg(F.count(F.lit(1)).alias("levels"), (F.max("m") - F.min("m")).alias("effect"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_mean"), F.sum(F.col("n") * F.col("v")).alias("_within"))
+    between = levels.join(whole.select("parameter", "_mean"), "parameter").groupBy("parameter").agg(F.sum(F.col("n") * (F.col("m") - F.col("_mean")) * (F.col("m") - F.col("_mean"))).alias("_between"))
+    share = F.when(F.col("_between") + F.col("_within") > 0, F.col("_between") / (F.col("_between") + F.col("_within"))).otherwise(0.0)
+    return whole.join(between, "parameter").select("parameter", "levels", "effect", share.alias("importance"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +105,45 @@ def quota_sample(df: DataFrame, by: str, key: str, total: int, least: int) -> Da
 
 def rebalanced_sample(df: DataFrame, by: str, key: str, total: int, least: int, ideal: int) -> DataFrame:
     return taken(df, by, key, kept(rebalanced(counted(df, by), total, least, ideal), "quotas"))
+
+
+def _dimension(df: DataFrame, column: str) -> DataFrame:
+    """(place from 0, value) of a column's distinct values in order: the values of one parameter, in one window."""
+    return df.select(F.col(column).alias("value")).filter("value is not null").distinct().select((F.row_number().over(Window.orderBy("value")) - 1).alias("place"), "value")
+
+
+def _points(df: DataFrame, columns: list[str], chosen: DataFrame) -> DataFrame:
+    """chosen (nth, one place a column, as p0, p1 ...) with the values at those places."""
+    out = chosen
+    for k, c in enumerate(columns):
+        out = out.join(_dimension(df, c).select(F.col("place").alias(f"p{k}"), F.col("value").alias(c)), f"p{k}").drop(f"p{k}")
+    return out.select("nth", *columns)
+
+
+def sizes(df: DataFrame, columns: list[str]) -> list[int]:
+    return list(df.agg(*(F.count_distinct(c).alias(f"n{k}") for k, c in enumerate(columns))).first())
+
+
+def grid_points(df: DataFrame, columns: list[str], n: int, start: int = 0) -> DataFrame:
+    """(nth, values): n points of the grid of the columns' distinct values, spread over it: the first column turns fastest, and the stride is
+    the next number from 0.618 of the grid's size on that has no divisor in common with it, so no point comes twice before all have."""
+    size = sizes(df, columns)
+    total = math.prod(size)
+    if not total:
+        return _points(df, columns, df.sparkSession.range(0).select(F.col("id").alias("nth"), *(F.lit(0).alias(f"p{k}") for k in range(len(size)))))
+    stride = next(s for s in range(max(1, int(0.618 * total)), 2 * total + 2) if math.gcd(s, total) == 1)
+    i, places, below = (F.lit(start) + F.col("id") * stride) % total, [], 1
+    for k, x in enumerate(size):
+        places.append((F.floor(i / below) % x).cast("int").alias(f"p{k}"))
+        below *= x
+    return _points(df, columns, df.sparkSession.range(min(n, total)).select(F.col("id").alias("nth"), *places))
+
+
+def random_points(df: DataFrame, columns: list[str], n: int, seed: int = 0) -> DataFrame:
+    """(nth, values): points drawn by the hash of seed and number, n draws; a point that came before is left out."""
+    size = sizes(df, columns)
+    draws = df.sparkSession.range(n if all(size) else 0).select(F.col("id").alias("nth"), F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))).alias("h"))
+    # four hexadecimal digits of the hash for each of up to eight columns
+    places = [(F.conv(F.substring("h", 4 * k + 1, 4), 16, 10).cast("long") % max(x, 1)).cast("int").alias(f"p{k}") for k, x in enumerate(size)]
+    first = draws.select("nth", *places).groupBy(*(f"p{k}" for k in range(len(size)))).agg(F.min("nth").alias("nth"))
+    return _points(df, columns, first)

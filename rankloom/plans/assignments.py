@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import vectors as V
-from rankloom.operators import families, likeness, ranking, similarity
+from rankloom.operators import families, likeness, ranking, sampling, similarity
 
 from .catalogue import CATALOGUE, CRITERIA, SIGNALS, catalogue, table
 from .registry import query
@@ -164,12 +164,11 @@ def special_matches(spark, d):
     return table(spark, d, "part").select("p_partkey", (F.lower((F.col("p_size") > 25).cast("string")) == "true").alias("gated"), F.round(0.7 * (has("ring") + has("small")) + (F.col("p_type") == "PROMO").cast("int"), 6).alias("special"), F.arrays_overlap(F.split("p_name", " "), F.array(*map(F.lit, ("ring", "bolt", "red")))).alias("in_set"))
 
 
-@query("""SELECT DISTINCT ('0x' || substr(h, 1, 4))::INT % 4 AS a, ('0x' || substr(h, 5, 4))::INT % 3 AS b, ('0x' || substr(h, 9, 4))::INT % 5 AS c FROM (SELECT md5('7:' || range) AS h FROM range(40))""")
+@query("""WITH a AS (SELECT list_sort(list(DISTINCT p_type)) AS t, list_sort(list(DISTINCT p_brand)) AS b, list_sort(list(DISTINCT p_size)) AS s FROM part), h AS (SELECT range AS nth, md5('7:' || range) AS h FROM range(40))
+    SELECT min(nth) AS nth, p_type, p_brand, p_size FROM (SELECT nth, t[('0x' || substr(h, 1, 4))::INT % len(t) + 1] AS p_type, b[('0x' || substr(h, 5, 4))::INT % len(b) + 1] AS p_brand, s[('0x' || substr(h, 9, 4))::INT % len(s) + 1] AS p_size FROM h, a) GROUP BY ALL""")
 def random_configs(spark, d):
-    """40 configurations drawn by hash, each once: the number is the feature."""
-    h = F.md5(F.concat(F.lit("7:"), F.col("id").cast("string")))
-    pick = lambda at, size: (F.conv(F.substring(h, at, 4), 16, 10).cast("long") % size)
-    return spark.range(40).select(pick(1, 4).alias("a"), pick(5, 3).alias("b"), pick(9, 5).alias("c")).distinct()
+    """40 draws of a type, a brand and a size that records have, each combination once: the number is the feature."""
+    return sampling.random_points(table(spark, d, "part"), ["p_type", "p_brand", "p_size"], 40, 7)
 
 
 @query()

@@ -82,12 +82,14 @@ def review_filters(spark, d):
     return c.select("conv_id", "turn", "role", code.alias("code"), ((F.size("w") > 0) & (hold >= 0.9 * F.size("w"))).alias("placeholders"))
 
 
-@query("""WITH i AS (SELECT range AS nth, (5 + range * 49) % 120 AS i FROM range(24)) SELECT nth, i % 4 AS a, i // 4 % 3 AS b, i // 12 % 5 AS c, i // 60 % 2 AS d FROM i""")
+GRID = """WITH a AS (SELECT list_sort(list(DISTINCT p_type)) AS t, list_sort(list(DISTINCT p_brand)) AS b, list_sort(list(DISTINCT p_size)) AS s FROM part), n AS (SELECT *, len(t) * len(b) * len(s) AS total FROM a)"""
+
+
+@query(GRID + """, d AS (SELECT min(x) AS stride FROM n, range(1, 100000) r(x) WHERE x >= greatest(1, floor(0.618 * total)) AND gcd(x, total) = 1), i AS (SELECT range AS nth, (5 + range * stride) % total AS i, t, b, s FROM range(24), n, d)
+    SELECT nth, t[i % len(t) + 1] AS p_type, b[i // len(t) % len(b) + 1] AS p_brand, s[i // (len(t) * len(b)) % len(s) + 1] AS p_size FROM i""")
 def grid_stride_sample(spark, d):
-    """24 points of a 4 x 3 x 5 x 2 grid, a stride apart that has no divisor in common with its size."""
-    i = (F.lit(5) + F.col("id") * 49) % 120
-    digit = lambda below, size: F.floor(i / below) % size
-    return spark.range(24).select(F.col("id").alias("nth"), digit(1, 4).alias("a"), digit(4, 3).alias("b"), digit(12, 5).alias("c"), digit(60, 2).alias("d"))
+    """24 points of the grid of types, brands and sizes that records have, a stride apart that has no divisor in common with its size."""
+    return sampling.grid_points(table(spark, d, "part"), ["p_type", "p_brand", "p_size"], 24, 5)
 
 
 @query("""SELECT conv_id, turn, so_far FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING)::BIGINT AS so_far FROM conversations) WHERE so_far <= 600""")

@@ -60,3 +60,13 @@ def test_samples_of_many_classes(spark):
     assert len({r["id"] for r in got}) == len(got) == 3000
     assert have.keys() == n.keys() and all(have[c] <= n[c] for c in n)
     assert sampling.rebalanced_sample(df.limit(0), "c", "id", 10, 1, 2).collect() == []
+
+
+def test_points_of_a_grid(spark):
+    df = spark.createDataFrame([(a, b) for a in ("x", "y", "z", None) for b in (3, 1, 2, 7)], "a string, b int")
+    every = [(r["a"], r["b"]) for r in sampling.grid_points(df, ["a", "b"], 100, 5).orderBy("nth").collect()]
+    assert sorted(every) == sorted((a, b) for a in "xyz" for b in (1, 2, 3, 7))  # each once, however many are asked for
+    assert [(r["a"], r["b"]) for r in sampling.grid_points(df, ["a", "b"], 4, 5).orderBy("nth").collect()] == every[:4]
+    some = sampling.random_points(df, ["a", "b"], 30, 1).collect()
+    assert len({(r["a"], r["b"]) for r in some}) == len(some) <= 12 and {(r["a"], r["b"]) for r in some} <= set(every)
+    assert sampling.grid_points(df.limit(0), ["a", "b"], 3).collect() == [] == sampling.random_points(df.limit(0), ["a", "b"], 3).collect()
