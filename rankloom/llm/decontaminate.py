@@ -1,7 +1,8 @@
 """Operator 2, benchmark decontamination by q-gram lemma filtering.
 
-Every benchmark passage gives overlapping segments of SEGMENT characters (a shorter passage is one). A text region
-within k edits of a segment of m characters shares at least (m - q + 1) - k q of its q-grams, and they lie on
+Every benchmark passage gives overlapping segments on each of GRIDS: of 50 bytes, one every 10, so that any excerpt of 59
+bytes or more holds a whole one, and of 80, one every 40, which may hold more edits. A passage shorter than 50 bytes is one
+segment. A text region within k edits of a segment of m characters shares at least (m - q + 1) - k q of its q-grams, and they lie on
 diagonals (position in the text less position in the segment) no more than k apart. So shared q-grams are counted in
 bands of diagonals twice as wide as their distance, each overlapping the next by half: a region within the budget
 lies wholly in one of them. Bands that reach the bound are verified by alignment in a band of diagonals, and what lies
@@ -11,8 +12,9 @@ Texts and passages are compared lower-cased with white space as single spaces; w
 numpy buffer. The passages are a stated query set: they are read to the driver in blocks of at most BLOCK_BYTES, and
 all documents pass each block, so what a task holds is bounded however large the benchmark.
 
-Defined cases: null and empty texts match nothing, nor do null or empty passages. A passage of fewer than LEAST bytes is
-found where a text holds it without an edit; one of fewer than Q, which has no q-gram, where it is the whole text.
+Defined cases: null and empty texts match nothing, nor do null or empty passages. Edits are allowed in proportion to a
+segment's length, as far as an unbroken q-gram must be left: two from 27 bytes on, one from 16 on, none below. A passage of
+fewer than Q bytes, which has no q-gram, is found where it is the whole text.
 Repeated documents repeat their matches; rows without an id are searched as any other. Of one passage the best region
 (fewest edits, then leftmost) is given for each document. Other columns are not read.
 """
@@ -20,6 +22,7 @@ Repeated documents repeat their matches; rows without an id are searched as any
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,9 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, texts_of, unused
 
-Q, SEGMENT, STEP, EDITS, LEAST = 8, 80, 40, 0.075, 40
+Q, EDITS = 8, 0.075
+#: Bytes of a segment, and from one to the next.
+GRIDS = ((50, 10), (80, 40))
 #: Bytes of passages held by a task at a time, and shared q-grams counted at a time.
 BLOCK_BYTES, HITS = 4 << 20, 1 << 22
 BIT = 22
@@ -39,80 +44,109 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode().split())
 
 
+def grams_of(buf: np.ndarray) -> np.ndarray:
+    return np.ndarray((max(0, len(buf) - Q + 1),), "<u8", buffer=buf, strides=(1,)).copy() if len(buf) >= Q else np.zeros(0, np.uint64)
+
+
+def slot(gram: np.ndarray) -> np.ndarray:
+    return (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIT)
+
+
+class Index(NamedTuple):
+    """Owners and offsets of q-grams, those of one q-gram together: times of them from first on. No offset is above shift."""
+
+    owner: np.ndarray
+    off: np.ndarray
+    first: np.ndarray
+    times: np.ndarray
+    shift: int
+
+
+def indexed(strings: list[bytes], longest: int) -> tuple[np.ndarray, Index]:
+    """The distinct q-grams of some strings, in order, and where they occur."""
+    grams = [grams_of(np.frombuffer(s, np.uint8)) for s in strings]
+    gram, sizes = np.concatenate(grams), np.array([len(g) for g in grams])
+    order = np.argsort(gram, kind="stable")
+    owner, off = np.repeat(np.arange(len(grams)), sizes), np.concatenate([np.arange(n) for n in sizes])
+    distinct, first, times = np.unique(gram[order], return_index=True, return_counts=True)
+    return distinct, Index(owner[order], off[order].astype(np.int64), first, times, longest)
+
+
 class Patterns:
-    """Segments of passages (normalised, of Q bytes or more) and the index of their q-grams."""
+    """Segments of passages (normalised, of Q bytes or more) on one grid, and the index of their q-grams."""
 
-    def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        self.owner, segments = [], []
+    def __init__(self, items: list[tuple[int, bytes]], segment: int, step: int) -> None:
+        self.owner, self.segment, segments = [], segment, []
         for item, raw in items:
-            for at in dict.fromkeys([*range(0, max(1, len(raw) - SEGMENT + 1), STEP), max(0, len(raw) - SEGMENT)]):
+            for at in dict.fromkeys([*range(0, max(1, len(raw) - segment + 1), step), max(0, len(raw) - segment)]):
                 self.owner.append((item, at))
-                segments.append(raw[at : at + SEGMENT])
+                segments.append(raw[at : at + segment])
         self.sizes = np.array([len(s) for s in segments], np.int64)
-        self.edits = np.where(self.sizes < LEAST, 0, self.sizes * EDITS).astype(np.int64)
-        self.bound = np.maximum(self.sizes - Q + 1 - self.edits * Q, 1)
-        self.bytes = np.zeros((len(segments), SEGMENT), np.uint8)
+        self.edits = np.minimum((self.sizes * EDITS).astype(np.int64), (self.sizes - Q) // Q)
+        self.bound = self.sizes - Q + 1 - self.edits * Q
+        self.bytes = np.zeros((len(segments), segment), np.uint8)
         for i, s in enumerate(segments):
             self.bytes[i, : len(s)] = np.frombuffer(s, np.uint8)
-        grams = [self.grams(np.frombuffer(s, np.uint8)) for s in segments]
-        gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        seg, off = np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, int)
-        order = np.argsort(gram, kind="stable")
-        self.seg, self.off = seg[order], off[order].astype(np.int64)
-        self.gram, self.first, self.times = np.unique(gram[order], return_index=True, return_counts=True)
-        self.flags = np.zeros(1 << BIT, bool)
-        self.flags[self.slot(self.gram)] = True
+        self.gram, self.of_segments = indexed(segments, segment)
+        _, self.of_passages = indexed([raw for _, raw in items], max((len(raw) for _, raw in items), default=0))  # the same q-grams
         self.width = int(1 << max(1, int(2 * self.edits.max(initial=1)).bit_length()))  # of half a band
 
-    @staticmethod
-    def grams(buf: np.ndarray) -> np.ndarray:
-        return np.ndarray((max(0, len(buf) - Q + 1),), "<u8", buffer=buf, strides=(1,)).copy() if len(buf) >= Q else np.zeros(0, np.uint64)
-
-    @staticmethod
-    def slot(gram: np.ndarray) -> np.ndarray:
-        return (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIT)
-
-    def regions(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, lowest diagonal) of the bands that reach their segment's bound."""
-        gram = self.grams(buf)
+    def regions(self, pos: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(segment, lowest diagonal) of the bands that reach their segment's bound, from the q-grams that may be a passage's."""
         none = np.zeros(0, np.int64)
-        maybe = self.flags[self.slot(gram)]
         # a band's q-grams begin within a stretch of the text: where no stretch has enough of any passage, none has of one
-        reach, least = SEGMENT + 2 * self.width, int(self.bound.min(initial=1))
-        pos = np.flatnonzero(maybe)
+        reach, least = self.segment + 2 * self.width, int(self.bound.min(initial=1))
         i = np.searchsorted(pos, pos + reach)  # flagged positions up to reach on
         dense = i - np.arange(len(pos)) >= least
         if not dense.any():
             return none, none
-        keep = np.zeros(len(gram) + reach + 1, np.int32)
-        keep[pos[dense]] += 1
-        keep[pos[dense] + reach] -= 1
-        pos = pos[np.cumsum(keep)[pos] > 0]
-        at = np.searchsorted(self.gram, gram[pos])
+        j = np.maximum.accumulate(np.where(dense, i, 0))  # positions before it lie in a dense stretch
+        near = j > np.arange(len(pos))
+        pos, gram = pos[near], gram[near]
+        at = np.searchsorted(self.gram, gram)
         at[at == len(self.gram)] = 0
-        pos, at = pos[ok := self.gram[at] == gram[pos]], at[ok]
-        total = np.cumsum(self.times[at])
-        counted = [(none, none)]
-        i = 0
-        while i < len(pos):  # what repeats itself shares many q-grams at each place: they are counted in parts
+        pos, at = pos[ok := self.gram[at] == gram], at[ok]
+        # first by diagonals of whole passages, of which a segment's are a part, in counters that several may share; then of segments
+        size = 1 << max(10, int(self.of_passages.times[at].sum()).bit_length())
+        count = np.zeros(size, np.int64)
+        for *_, owner, band in self.shared(self.of_passages, pos, at):
+            count += np.bincount(owner * 0x9E3779B1 + band & size - 1, minlength=size)
+        enough = count + np.roll(count, -1) >= least
+        enough |= np.roll(enough, 1)
+        ok = np.zeros(len(pos), bool)
+        for place, owner, band in self.shared(self.of_passages, pos, at):
+            ok[place[enough[owner * 0x9E3779B1 + band & size - 1]]] = True
+        key = self.reached(self.of_segments, pos[ok], at[ok], self.bound)
+        return key >> 40, (key & (1 << 40) - 1) * self.width - self.of_segments.shift - self.width
+
+    def shared(self, index: Index, pos: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in pos, owner, band) of the hits: what repeats itself shares many q-grams at each place, so they come in parts."""
+        total, i = np.cumsum(index.times[at]), 0
+        while i < len(pos):
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + HITS, "right")))
-            n = self.times[at[i:j]]
-            hit = np.repeat(self.first[at[i:j]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            seg, diag = self.seg[hit], np.repeat(pos[i:j], n) - self.off[hit] + SEGMENT
-            band = diag // self.width
-            key = np.concatenate([seg * (1 << 40) + band, seg * (1 << 40) + np.maximum(band - 1, 0)])
-            counted.append(np.unique(key, return_counts=True))
+            n = index.times[at[i:j]]
+            hit = np.repeat(index.first[at[i:j]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place = np.repeat(np.arange(i, j), n)
+            yield place, index.owner[hit], (pos[place] - index.off[hit] + index.shift + self.width) // self.width
             i = j
-        key, part = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
-        count = np.bincount(part, np.concatenate([c for _, c in counted]), len(key))
-        seg = key >> 40
-        ok = count >= self.bound[seg]
-        return seg[ok], (key[ok] & (1 << 40) - 1) * self.width - SEGMENT
+
+    def reached(self, index: Index, pos: np.ndarray, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Owners and lower bands, in order, where two bands that adjoin have as many hits as the owner's bound."""
+        parts = [np.unique(owner * (1 << 40) + band, return_counts=True) for _, owner, band in self.shared(index, pos, at)]
+        if not parts:
+            return np.zeros(0, np.int64)
+        key, part = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        count = np.bincount(part, np.concatenate([c for _, c in parts]), len(key))
+        after = np.append(key[1:] == key[:-1] + 1, False)
+        both = count + np.where(after, np.append(count[1:], 0), 0)
+        alone = key[np.append(True, ~after[:-1])] - 1  # the lower band has none, the upper one all
+        few = count[np.append(True, ~after[:-1])]
+        return np.sort(np.concatenate([key[both >= bound[key >> 40]], alone[few >= bound[alone >> 40]]]))
 
     def verified(self, buf: np.ndarray, seg: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edits, end) of the best alignment of each segment along diagonals low .. low + 2 width, free at both ends of the text."""
         cols = 2 * self.width + 1
-        pad = 4 * self.width + 2 * SEGMENT
+        pad = 4 * self.width + 2 * self.segment
         text = np.concatenate([np.zeros(pad, np.uint8), buf, np.zeros(pad, np.uint8)])
         best, end = np.zeros(len(seg), np.int32), np.zeros(len(seg), np.int64)
         for i in range(0, len(seg), 4096):
@@ -130,17 +164,14 @@ class Patterns:
             end[i : i + 4096] = lo + k + self.sizes[s]
         return best, end
 
-    def find(self, raw: list[bytes]) -> dict[tuple[int, int], tuple[int, int, int]]:
+    def find(self, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pos: np.ndarray, gram: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text number, item) -> (edits, start, end) of the best region, offsets in the bytes of the normalised texts."""
-        sizes = np.array([len(r) + 1 for r in raw], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        buf = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)  # no segment has the byte 0 ...
-        seg, low = self.regions(buf)
+        seg, low = self.regions(pos, gram)
         edits, end = self.verified(buf, seg, low)
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         for k in np.flatnonzero(edits <= self.edits[seg]):
             doc = int(np.searchsorted(starts, end[k] - 1, "right") - 1)  # ... so an alignment within the budget lies in one text
-            stop = int(end[k] - starts[doc])
+            stop = int(min(end[k] - starts[doc], sizes[doc]))
             _better(out, (doc, self.owner[seg[k]][0]), (int(edits[k]), max(0, stop - int(self.sizes[seg[k]])), stop))
         return out
 
@@ -151,12 +182,17 @@ def _better(out: dict, key: tuple[int, int], got: tuple[int, int, int]) -> None:
 
 
 class Passages:
-    """All passages of a block: long ones by segments, short ones whole, those without a q-gram by equality."""
+    """All passages of a block: long ones by the segments of each grid, short ones whole, those without a q-gram by equality."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         raw = [(item, normal(text or "")) for item, text in items]
-        parts = [[x for x in raw if len(x[1]) >= LEAST], [x for x in raw if Q <= len(x[1]) < LEAST]]  # apart, as short ones prune little
-        self.patterns = [Patterns(x) for x in parts if x]
+        least = min(GRIDS)[0]
+        parts = [([x for x in raw if len(x[1]) >= size], size, step) for size, step in GRIDS]
+        parts.append(([x for x in raw if Q <= len(x[1]) < least], least, least))  # apart, as short ones prune little
+        self.patterns = [Patterns(*part) for part in parts if part[0]]
+        self.flags = np.zeros(1 << BIT, bool)
+        for patterns in self.patterns:
+            self.flags[slot(patterns.gram)] = True
         self.tiny: dict[bytes, list[int]] = {}
         for item, x in raw:
             if 0 < len(x) < Q:
@@ -166,8 +202,14 @@ class Passages:
         """See Patterns.find."""
         raw = [normal(t) for t in texts]
         out = {(k, item): (0, 0, len(r)) for k, r in enumerate(raw) for item in self.tiny.get(r, ())}
+        gap = bytes(int(max(GRIDS)[0] * EDITS) + 1)  # more bytes than edits, none of them a segment's ...
+        sizes = np.array([len(r) + len(gap) for r in raw], np.int64)
+        buf = np.frombuffer(gap.join(raw) + gap, np.uint8)
+        gram = grams_of(buf)
+        pos = np.flatnonzero(self.flags[slot(gram)])
+        gram = gram[pos]
         for patterns in self.patterns:
-            for key, got in patterns.find(raw).items():
+            for key, got in patterns.find(buf, np.cumsum(sizes) - sizes, sizes - len(gap), pos, gram).items():
                 _better(out, key, got)
         return out
 

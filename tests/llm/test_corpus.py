@@ -413,19 +413,63 @@ def test_decontamination(spark):
 
 
 def test_short_and_repetitive_passages(spark, monkeypatch):
-    """Short passages are found whole and without an edit, those without a q-gram as whole texts; counting in parts counts alike."""
+    """Short passages are found whole, with edits in proportion, those without a q-gram as whole texts; counting in parts counts alike."""
     items = [(1, "is it true"), (2, "yes"), (3, "a" * 300), (4, " "), (5, "12345678"), (6, "One  Quite ordinary short passage")]
     texts = ["well, Is  it TRUE or not", "is it trua", "yes", "yes sir", "b" + "a" * 500, "", "x12345678y", "say: one quite ordinary short passage.", "one quite ordinary shart passage"]
-    want = {(0, 1), (2, 2), (4, 3), (6, 5), (7, 6)}
+    want = {(0, 1), (2, 2), (4, 3), (6, 5), (7, 6), (8, 6)}
     for hits in (decontaminate.HITS, 50):
         monkeypatch.setattr(decontaminate, "HITS", hits)
         found = decontaminate.Passages(items).find(texts)
-        assert set(found) == want and found[7, 6] == (0, 5, 37) and all(x[0] == 0 for x in found.values())
+        assert set(found) == want and found[7, 6] == (0, 5, 37) and all(x[0] == (k == (8, 6)) for k, x in found.items())
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
 
 
+def fewest_edits(segment, text):
+    """Of an alignment of a segment with any part of a text, every cell of the table."""
+    cost = np.zeros(len(text) + 1, int)
+    ramp = np.arange(len(text) + 1)
+    chars = np.frombuffer(text, np.uint8)
+    for j, c in enumerate(segment, 1):
+        new = np.append(j, np.minimum(cost[1:] + 1, cost[:-1] + (chars != c)))
+        cost = np.minimum.accumulate(new - ramp) + ramp
+    return cost.min()
+
+
+def test_decontamination_against_all_alignments():
+    """Every (text, passage) where a segment lies within its edits, no other, and the fewest edits; excerpts of 59 bytes always."""
+    rng = random.Random(5)
+    letters = "abcdef gh"
+    line = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(k, "x" + line(n - 2) + "y") for k, n in enumerate((8, 15, 16, 26, 27, 38, 49, 50, 59, 60, 79, 80, 81, 119, 170, 300))]
+    texts = ["", items[-1][1][:150], items[-1][1][150:]]  # the parts of one passage in two texts that adjoin
+    for _, item in items * 6:
+        at = rng.randrange(max(1, len(item) - 50))
+        part = list(item[at : at + rng.choice((50, 59, 70, 100, 300))])
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 6, 9))):
+            k = rng.randrange(len(part))
+            part[k : k + 1] = rng.choice(([], [rng.choice(letters)], [part[k], "z"]))
+        texts.append(line(rng.randrange(30)) + "".join(part) + line(rng.randrange(30)))
+    want = {}
+    for number, text in enumerate(map(decontaminate.normal, texts)):
+        for k, item in items:
+            raw = decontaminate.normal(item)
+            for size, step in (*decontaminate.GRIDS, (len(raw), 1)):
+                if len(raw) < size or (size == len(raw) >= 50):
+                    continue
+                most = min(int(size * decontaminate.EDITS), (size - 8) // 8)
+                for at in {*range(0, len(raw) - size + 1, step), len(raw) - size}:
+                    if (edits := fewest_edits(raw[at : at + size], text)) <= most:
+                        want[number, k] = min(edits, want.get((number, k), edits))
+    got = decontaminate.Passages(items).find(texts)
+    assert {key: x[0] for key, x in got.items()} == want and 40 < len(want) < len(texts)
+    cut = decontaminate.normal(items[-1][1])
+    excerpts = [cut[at : at + 59].decode().strip() for at in range(len(cut) - 58)]
+    found = decontaminate.Passages(items[-1:]).find(excerpts)
+    assert len(found) >= len([x for x in excerpts if len(x) == 59])
+
+
 def test_rows_without_an_id(spark):
     """A null id is no exemption, and a contaminated row takes no other row of its id along."""
     item = "The quick brown fox jumps over the lazy dog while seven wizards mix dark jugs of lively phosphorescent quartz tonight."
