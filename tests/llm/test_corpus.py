@@ -455,9 +455,7 @@ def test_decontamination_against_all_alignments():
     for number, text in enumerate(map(decontaminate.normal, texts)):
         for k, item in items:
             raw = decontaminate.normal(item)
-            for size, step in (*decontaminate.GRIDS, (len(raw), 1)):
-                if len(raw) < size or (size == len(raw) >= 50):
-                    continue
+            for size, step in [grid for grid in decontaminate.GRIDS if grid[0] <= len(raw)] or [(len(raw), 1)]:
                 most = min(int(size * decontaminate.EDITS), (size - 8) // 8)
                 for at in {*range(0, len(raw) - size + 1, step), len(raw) - size}:
                     if (edits := fewest_edits(raw[at : at + size], text)) <= most:
