@@ -10,7 +10,7 @@ from rankloom.functions import vectors as V
 from rankloom.operators import dedupe, evaluation, quality, ranking
 from rankloom.streaming import events as stream
 
-from . import assessment, assigned, assignments, curation, discovery, intents, languages, measures, phrases, records, retrieval, rules, semantic, shaping, similar  # noqa: F401  (they enter their queries)
+from . import assessment, assigned, assignments, curation, discovery, intents, languages, measures, phrases, records, retrieval, rules, semantic, shaping, similar, technical  # noqa: F401  (they enter their queries)
 from .catalogue import CATALOGUE, CRITERIA, SIGNALS, catalogue, table
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
