@@ -26,12 +26,19 @@ def aligned(predicted: str, truth: str, cutoff: float = 0.5) -> Column:
     return F.aggregate(likely, F.array().cast("array<struct<i:int,j:int>>"), take)
 
 
-def one_edit_apart(left: DataFrame, right: DataFrame) -> DataFrame:
+def one_edit_apart(left: DataFrame, right: DataFrame, short: int = 40) -> DataFrame:
     """(a, b) of the distinct words in the only column of each frame whose edit distance is 1 or 0. Such words share a
-    form with one letter less, so the join is an equality; a form has few words (one letter in one place)."""
+    form with one letter less, so the join is an equality; a form has few words (one letter in one place). Words of ``short``
+    letters and more, whose forms would be as long as their square, share their first or their last half of that many letters
+    instead: the edit is not in both. Words of exactly that length go both ways."""
+    half = short // 2
     forms = "array_distinct(concat(array(w), transform(sequence(1, length(w)), i -> concat(substring(w, 1, i - 1), substring(w, i + 1)))))"
 
-    def spread(df: DataFrame, name: str) -> DataFrame:
-        return df.toDF("w").filter("length(w) > 0").select(F.col("w").alias(name), F.explode(F.expr(forms)).alias("form"))
+    def spread(df: DataFrame, name: str, lengths: str) -> DataFrame:
+        ends = f"flatten(transform(array({lengths}), n -> array(concat('<', length(w) + n, ' ', left(w, {half})), concat('>', length(w) + n, ' ', right(w, {half})))))"
+        none = "cast(array() AS array<string>)"
+        every = f"concat(CASE WHEN length(w) <= {short} THEN {forms} ELSE {none} END, CASE WHEN length(w) >= {short} THEN {ends} ELSE {none} END)"
+        return df.toDF("w").filter("length(w) > 0").select(F.col("w").alias(name), F.explode(F.expr(every)).alias("form"))
 
-    return spread(left, "a").join(spread(right, "b"), "form").filter(F.levenshtein("a", "b") <= 1).select("a", "b").distinct()
+    both = spread(left, "a", "0").join(spread(right, "b", "-1, 0, 1"), "form")
+    return both.filter(F.levenshtein("a", "b", 1) >= 0).select("a", "b").distinct()

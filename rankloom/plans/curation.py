@@ -11,12 +11,12 @@ from .catalogue import table
 from .registry import query
 
 
-@query("""WITH v AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM documents) WHERE length(w) <= 40 GROUP BY w),
+@query("""WITH v AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM documents) GROUP BY w),
     m AS (SELECT r.w, arg_min(a.w, (-a.n, a.w)) AS anchor FROM v r JOIN v a ON a.n >= 20 AND r.n < 20 AND abs(length(a.w) - length(r.w)) <= 1 AND levenshtein(a.w, r.w) <= 1 GROUP BY r.w)
     SELECT coalesce(anchor, w) AS phrase, count(*) AS n_forms, sum(n)::BIGINT AS n FROM v LEFT JOIN m USING (w) GROUP BY 1""")
 def phrase_fuzzy_merge(spark, d):
-    """Rare words join the most frequent common word one edit away; words of 5 to 40 letters."""
-    v = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("w")).filter("length(w) <= 40").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    """Rare words join the most frequent common word one edit away; words of 5 letters and more."""
+    v = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     near = alignment.one_edit_apart(v.filter("n < 20").select("w"), v.filter("n >= 20").select("w"))
     best = near.join(v.select(F.col("w").alias("b"), F.col("n").alias("n_b")), "b").groupBy(F.col("a").alias("w")).agg(F.min_by("b", F.struct(-F.col("n_b"), F.col("b"))).alias("anchor"))
     return v.join(best, "w", "left").groupBy(F.coalesce("anchor", "w").alias("phrase")).agg(F.count(F.lit(1)).alias("n_forms"), F.sum("n").alias("n"))

@@ -66,12 +66,12 @@ def acronym_expansion(spark, d):
     return c.select("conv_id", "turn", "acronym", phrases.expansion(F.col("w"), F.col("acronym")).alias("expansion")).filter("expansion IS NOT NULL")
 
 
-@query(r"""WITH t AS (SELECT item_id, regexp_replace('The ' || substr(text, 1, 60), ' ', '_', 'g') AS p FROM benchmark), w AS (SELECT item_id, list_filter(string_split(regexp_replace(p, '[-_\s]+', ' ', 'g'), ' '), lambda x: length(x) > 0) AS w FROM t),
+@query(r"""WITH t AS (SELECT item_id, regexp_replace('The ' || text, ' ', '_', 'g') AS p FROM benchmark), w AS (SELECT item_id, list_filter(string_split(regexp_replace(p, '[-_\s]+', ' ', 'g'), ' '), lambda x: length(x) > 0) AS w FROM t),
     l AS (SELECT item_id, list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '[A-Z][A-Z0-9]+') THEN x ELSE lower(x) END) AS w FROM w)
     SELECT item_id, regexp_replace(array_to_string(list_filter(w, lambda x, i: i > 1 OR x NOT IN ('the', 'a', 'an', 'this', 'that', 'these', 'those', 'some', 'any')), ' '), '([a-z]{2,}[^s])s$', '\1') AS phrase FROM l""")
 def phrase_canonical(spark, d):
     """Phrases with underscores and a determiner in their canonical form."""
-    p = F.regexp_replace(F.concat(F.lit("The "), F.substring("text", 1, 60)), " ", "_")
+    p = F.regexp_replace(F.concat(F.lit("The "), "text"), " ", "_")
     return table(spark, d, "benchmark").select("item_id", phrases.canonical_phrase(p).alias("phrase"))
 
 

@@ -143,6 +143,24 @@ def test_one_to_one_alignment_against_loop(spark):
         assert [tuple(x) for x in r.got] == loop(*cases[r.k])
 
 
+def test_one_edit_apart_of_long_words(spark):
+    """Words about and above the length from which ends stand for forms, each with every kind of edit at every place."""
+    from rankloom.operators.alignment import one_edit_apart
+
+    word = "".join(chr(97 + i * i % 23) for i in range(43))
+    a = {word[:n] for n in (38, 39, 40, 41, 42, 43)} | {"a" * 5000, "a" * 5002}
+    b = {x for w in a if len(w) < 50 for i in range(len(w)) for x in (w[:i] + w[i + 1 :], w[:i] + "z" + w[i + 1 :], w[:i] + "z" + w[i:])} | {"a" * 4999, "a" * 5001, word[1:] + "b", word[::-1]}
+
+    def near(x, y):  # what is between the common start and the common end
+        i = next((k for k, (c, e) in enumerate(zip(x, y)) if c != e), min(len(x), len(y)))
+        j = next((k for k, (c, e) in enumerate(zip(x[i:][::-1], y[i:][::-1])) if c != e), min(len(x), len(y)) - i)
+        return max(len(x), len(y)) - i - j <= 1
+
+    frame = lambda x: spark.createDataFrame([(w,) for w in sorted(x)], "v string")
+    want = {(x, y) for x in a for y in b if near(x, y)}
+    assert {tuple(r) for r in one_edit_apart(frame(a), frame(b)).collect()} == want and len(want) > 700
+
+
 def test_one_edit_apart_against_loop(spark):
     from rankloom.operators.alignment import one_edit_apart
 
