@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ranking import PRIORITY
+from .rounds import kept
 
 #: The clause of each priority.
 CLAUSE = {"must": "filter", "strong_prefer": "relaxable", "prefer": "should", "avoid": "must_not"}
 
+#: Criteria that go to all tasks at once, and pairs of an intent and a row that a task holds.
+BLOCK, PAIRS = 1 << 16, 1 << 18
+
 
 class Feature(NamedTuple):
     """Where a bundle holds a preference, the field that its values are looked for in, its weight and default priority."""
@@ -56,8 +60,8 @@ def _has(schema: T.StructType, path: str) -> bool:
 
 def _rows(values: Column, feature: Column | None, field: str, clause: Column, weight: Column) -> Column:
     """A struct for each distinct value of a list; without a feature each value is its own."""
-    kept = F.filter(F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))), lambda v: F.length(F.trim(v)) > 0)
-    return F.transform(kept, lambda v: F.struct((F.concat(F.lit("functional:"), v) if feature is None else feature).alias("feature"), F.lit(field).alias("field"), v.alias("value"), clause.alias("clause"), F.round(weight, 4).alias("weight")))
+    own = F.filter(F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))), lambda v: F.length(F.trim(v)) > 0)
+    return F.transform(own, lambda v: F.struct((F.concat(F.lit("functional:"), v) if feature is None else feature).alias("feature"), F.lit(field).alias("field"), v.alias("value"), clause.alias("clause"), F.round(weight, 4).alias("weight")))
 
 
 def criteria(bundles: DataFrame, id_col: str, features: tuple[Feature, ...] = FEATURES, functional: tuple[str, str, float] = ("functional.items", "features", 1.0), quality: dict[str, float] | None = None) -> DataFrame:
@@ -101,25 +105,60 @@ def matches(values: DataFrame, wanted: DataFrame, id_col: str, row_col: str, rel
 
     values: (row, field, value), a line for each value that a row holds. A row needs a hit of some kind, so values meet criteria
     by equality alone; relaxed takes the relaxable filters as preferences, least is how many preferences must be met. A
-    feature's best value counts. What is excluded by a value that many rows hold is as much as those rows.
+    feature's best value counts. What is excluded by a value that many rows hold is as much as those rows. The values of a row stay
+    in one task and blocks of criteria, all of an intent in one, go to them, so hits are counted where they arise.
     """
     strict = ["filter"] if relaxed else ["filter", "relaxable"]
     filters = F.col("clause").isin(*strict)
-    wanted = wanted.filter(F.col(id_col).isNotNull())
-    needed = wanted.filter(filters).groupBy(id_col).agg(F.countDistinct("feature").alias("needed"))
-    hits = values.select(row_col, "field", "value").distinct().join(wanted, ["field", "value"]).repartition(id_col, row_col)
-    best = hits.groupBy(id_col, row_col, "feature", "clause").agg(F.max("weight").alias("weight"))  # both by id and row: no second shuffle
-    met = best.groupBy(id_col, row_col).agg(
-        F.count_if(filters).alias("passed"),
-        F.count_if(F.col("clause") == "must_not").alias("barred"),
-        F.count_if(~filters & (F.col("clause") != "must_not")).alias("n_should"),
-        F.round(F.sum(F.when(F.col("clause") != "must_not", F.col("weight"))), 4).alias("score"),
-    )
-    met = met.join(needed, id_col, "left")
-    return met.filter((F.col("barred") == 0) & (F.col("passed") == F.coalesce("needed", F.lit(0))) & (F.col("n_should") >= least)).select(id_col, row_col, "score", "n_should")
+    wanted = kept(wanted.filter(F.col(id_col).isNotNull()), "wanted")
+    n, ids = wanted.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
+    blocks = max(1, -(-n // BLOCK))
+    lines = kept(values.select(row_col, "field", "value").distinct(), "values")
+    pairs = lines.select(row_col).distinct().count() * -(-ids // blocks)
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS))
+    lines = lines.repartition(tasks, row_col)
+    out = []
+    for k in range(blocks):
+        own = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k)
+        needed = own.filter(filters).groupBy(id_col).agg(F.countDistinct("feature").alias("needed"))
+        hits = lines.join(F.broadcast(own), ["field", "value"])
+        best = hits.groupBy(id_col, row_col, "feature", "clause").agg(F.max("weight").alias("weight"))  # rows are together: no shuffle
+        met = best.groupBy(id_col, row_col).agg(
+            F.count_if(filters).alias("passed"),
+            F.count_if(F.col("clause") == "must_not").alias("barred"),
+            F.count_if(~filters & (F.col("clause") != "must_not")).alias("n_should"),
+            F.round(F.sum(F.when(F.col("clause") != "must_not", F.col("weight"))), 4).alias("score"),
+        )
+        met = met.join(F.broadcast(needed), id_col, "left")
+        out.append(met.filter((F.col("barred") == 0) & (F.col("passed") == F.coalesce("needed", F.lit(0))) & (F.col("n_should") >= least)).select(id_col, row_col, "score", "n_should"))
+    return reduce(DataFrame.union, out)
 
 
 def best(found: DataFrame, id_col: str, row_col: str, k: int) -> DataFrame:
     """The k best rows of each intent with their place; only k rows of an intent leave a task."""
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), row_col)).cast("long")
     return found.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def profiles(values: DataFrame, row_col: str) -> DataFrame:
+    """(row, profile): rows that hold the same values share the smallest of their ids."""
+    same = values.groupBy(row_col).agg(F.sort_array(F.collect_set(F.struct("field", "value"))).alias("all"))
+    key = same.select(row_col, F.sha2(F.to_json("all"), 256).alias("key"))
+    return key.join(key.groupBy("key").agg(F.min(row_col).alias("profile")), "key").select(row_col, "profile")
+
+
+def ranked(values: DataFrame, wanted: DataFrame, id_col: str, row_col: str, k: int, relaxed: bool = False, least: int = 0) -> DataFrame:
+    """best of matches, exactly, but each class of intents meets each profile of wanted values once.
+
+    Rows of one profile have one score, so k profiles, in the order of their first rows, hold the k best rows, and of each no
+    more than its k first rows are among them."""
+    class_of = kept(classes(wanted.filter(F.col(id_col).isNotNull()), id_col), "classes")
+    of_class = wanted.join(class_of.filter(F.col(id_col) == F.col("class")).select(id_col), id_col, "left_semi")
+    asked = kept(values.select(row_col, "field", "value").join(wanted.select("field", "value").distinct(), ["field", "value"], "left_semi").distinct(), "asked")
+    profile_of = kept(profiles(asked, row_col), "profiles")
+    of_profile = asked.join(profile_of.filter(F.col(row_col) == F.col("profile")).select(row_col), row_col, "left_semi")
+    found = best(matches(of_profile, of_class, id_col, row_col, relaxed, least), id_col, row_col, k).drop("place").withColumnRenamed(row_col, "profile")
+    place = F.row_number().over(Window.partitionBy("profile").orderBy(row_col))
+    firsts = profile_of.withColumn("_at", place).filter(F.col("_at") <= k).drop("_at")
+    top = best(found.join(firsts, "profile").select(F.col(id_col).alias("class"), row_col, "score", "n_should"), "class", row_col, k)
+    return class_of.join(top, "class").select(id_col, row_col, "score", "n_should", "place")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators import intents
+from rankloom.operators.rounds import kept
 
 from .catalogue import table
 from .registry import query
@@ -67,13 +68,13 @@ RANKED = """, n AS (SELECT intent, count(DISTINCT feature) FILTER (clause IN ({s
 @query(CRITERIA + VALUES + RANKED.format(strict="'filter', 'relaxable'", least=0))
 def intent_bundle_ranking(spark, d):
     """The ten best parts of each bundle (a top-k report) under all its filters."""
-    return intents.best(intents.matches(values(spark, d), wanted(spark, d), "intent", "p_partkey"), "intent", "p_partkey", 10)
+    return intents.ranked(values(spark, d), kept(wanted(spark, d), "criteria"), "intent", "p_partkey", 10)
 
 
 @query(CRITERIA + VALUES + RANKED.format(strict="'filter'", least=2))
 def intent_bundle_relaxed(spark, d):
     """The same where strong preferences only add to the score and two preferences at least are met."""
-    return intents.best(intents.matches(values(spark, d), wanted(spark, d), "intent", "p_partkey", True, 2), "intent", "p_partkey", 10)
+    return intents.ranked(values(spark, d), kept(wanted(spark, d), "criteria"), "intent", "p_partkey", 10, True, 2)
 
 
 @query(CRITERIA + ", k AS (SELECT intent, md5(string_agg(concat_ws('|', feature, field, value, clause, weight), ';' ORDER BY feature, field, value, clause)) AS k FROM c GROUP BY 1) SELECT intent, min(intent) OVER (PARTITION BY k) AS \"class\" FROM k")

@@ -63,3 +63,23 @@ def test_matches_and_classes(spark):
     same = {r["intent"]: r["class"] for r in intents.classes(wanted, "intent").collect()}
     assert same[31] == same[30] == 30 and same[32] == 32
     assert intents.matches(values.limit(0), wanted, "intent", "row").count() == 0
+
+
+def test_ranked_meets_each_class_and_profile_once(spark, monkeypatch):
+    """The k best as by all pairs, copies of intents and rows and several blocks included; copies are matched once."""
+    rng = random.Random(5)
+    held = [(row, "f", str(v)) for row in range(12) for v in rng.sample(range(6), 3)] + [(row, "g", f"alone{row}") for row in range(12)]
+    held += [(row + 12 * c, f, v) for row, f, v in held for c in range(1, 5)]
+    asked = [(i, f"x{j}", "f", str(rng.randrange(6)), rng.choice(("filter", "should", "should", "must_not", "relaxable")), float(rng.randrange(4))) for i in range(9) for j in range(3)]
+    asked += [(i + 9 * c, *x) for i, *x in asked for c in range(1, 4)]
+    values = spark.createDataFrame(held, "row long, field string, value string")
+    wanted = spark.createDataFrame(asked + [(None, "x0", "f", "1", "should", 1.0)], "intent long, feature string, field string, value string, clause string, weight double")
+    monkeypatch.setattr(intents, "BLOCK", 10)
+    whole, seen = intents.matches, []
+    for relaxed, least, k in ((False, 0, 3), (True, 1, 7)):
+        want = intents.best(whole(values, wanted, "intent", "row", relaxed, least), "intent", "row", k).collect()
+        monkeypatch.setattr(intents, "matches", lambda v, w, *more: (seen.append((v.select("row").distinct().count(), w.select("intent").distinct().count())), whole(v, w, *more))[1])
+        got = intents.ranked(values, wanted, "intent", "row", k, relaxed, least).collect()
+        monkeypatch.setattr(intents, "matches", whole)
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+    assert all(rows <= 12 and ids <= 9 for rows, ids in seen) and seen
