@@ -126,3 +126,16 @@ def balanced_sample(df: DataFrame, key: str, number: str, size: int) -> DataFram
     every = first.withColumn("filler", F.lit(False)).unionByName(rest.withColumn("filler", F.lit(True)))
     nth = F.row_number().over(Window.orderBy("filler", "_h"))  # 4 * size rows at most
     return every.withColumn("_n", nth).filter(F.col("_n") <= 2 * size).select(key, "popular", "filler")
+
+
+def fanned(rows: DataFrame, names: DataFrame, name: str, id_col: str, bundle: int = 1000) -> DataFrame:
+    """rows with every id that bears their name; null where none does. names (name, id).
+
+    Names that no row has go first. Of the others ids are taken in bundles of about ``bundle``, which are unfolded where the result is
+    written: what is shuffled is rows by bundles, not rows by ids, and no task holds all the ids of a name."""
+    asked = names.join(rows.select(name).distinct(), name, "left_semi")
+    sizes = asked.groupBy(name).agg(F.ceil(F.count(F.lit(1)) / bundle).cast("int").alias("_n"))
+    dealt = asked.join(sizes, name).withColumn("_at", F.pmod(F.xxhash64(id_col), F.col("_n")))
+    bundles = dealt.groupBy(name, "_at").agg(F.collect_list(F.struct(id_col)).alias("_ids")).drop("_at")
+    met = rows.join(bundles, name, "left")
+    return met.select(*rows.columns, F.explode_outer("_ids").alias("_x")).select(*rows.columns, F.col(f"_x.{id_col}").alias(id_col))
