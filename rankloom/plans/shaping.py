@@ -168,7 +168,9 @@ def list_cells(spark, d):
 def inverted_index_text(spark, d):
     """Texts put together again from an index of word to places."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    index = table(spark, d, "documents").select("doc_id", F.posexplode(words).alias("at", "word")).groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
+    # rows of a document are brought together once, as texts; its index is made and read where they are
+    docs = table(spark, d, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0).select("doc_id", F.array_join("w", " ").alias("w")).repartition("doc_id")
+    index = docs.select("doc_id", F.posexplode(F.split("w", " ")).alias("at", "word")).groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
     placed = index.select("doc_id", F.explode("places").alias("at"), "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
     return placed.select("doc_id", F.array_join(F.col("w.word"), " ").alias("words"))
 
