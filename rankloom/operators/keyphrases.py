@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import kept
+
 #: A letter run, or a mark that ends a phrase.
 PIECES = r"\p{L}+(?:'\p{L}+)*|[^\p{L}\s]"
 
@@ -26,39 +28,52 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, stop: tuple[str, ...
     return docs.select(F.col(id_col).alias("id"), F.explode(runs).alias("phrase"))
 
 
-def word_scores(runs: DataFrame) -> DataFrame:
-    """(word, freq, degree, ends): how often a word is in a run, the words of those runs, how often it ends one. Runs are counted
-    first, so a phrase is taken apart once however often it occurs."""
-    counted = runs.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+def _numbered(phrases: DataFrame) -> DataFrame:
+    """Distinct phrases as a table with a number each, by which their words are followed: the text itself is shuffled no more."""
+    return kept(phrases.withColumn("_no", F.monotonically_increasing_id()), "phrases")
+
+
+def counted(runs: DataFrame) -> DataFrame:
+    """(phrase, n), numbered."""
+    return _numbered(runs.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")))
+
+
+def word_scores(phrases: DataFrame) -> DataFrame:
+    """(word, freq, degree, ends): how often a word is in a run, the words of those runs, how often it ends one. Takes phrases with
+    their counts n, so a phrase is taken apart once however often it occurs."""
     words = F.split("phrase", " ")
-    each = counted.select("n", F.size(words).alias("size"), F.posexplode(words).alias("i", "word"))
+    each = phrases.select("n", F.size(words).alias("size"), F.posexplode(words).alias("i", "word"))
     return each.groupBy("word").agg(F.sum("n").alias("freq"), F.sum(F.col("n") * F.col("size")).alias("degree"), F.sum(F.when(F.col("i") == F.col("size") - 1, F.col("n")).otherwise(0)).alias("ends"))
 
 
-def _with_words(phrases: DataFrame, words: DataFrame) -> DataFrame:
-    return phrases.select("*", F.posexplode(F.split("phrase", " ")).alias("i", "word")).join(words, "word")
+def _with_words(phrases: DataFrame) -> DataFrame:
+    """(_no, i, freq, degree, ends) of each word of numbered phrases."""
+    return phrases.select("_no", F.posexplode(F.split("phrase", " ")).alias("i", "word")).join(word_scores(phrases), "word").drop("word")
 
 
 def scored(runs: DataFrame) -> DataFrame:
     """(phrase, n, n_docs, score)."""
     by_doc = runs.groupBy("phrase", "id").agg(F.count(F.lit(1)).alias("k"))
-    phrases = by_doc.groupBy("phrase").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_docs"))
-    return _with_words(phrases, word_scores(runs)).groupBy("phrase", "n", "n_docs").agg(F.sum(F.col("degree") / F.col("freq")).alias("score"))
+    phrases = _numbered(by_doc.groupBy("phrase").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_docs")))
+    score = _with_words(phrases).groupBy("_no").agg(F.sum(F.col("degree") / F.col("freq")).alias("score"))
+    return phrases.join(score, "_no").select("phrase", "n", "n_docs", "score")
 
 
 def heads(runs: DataFrame) -> DataFrame:
     """(phrase, head, modifiers)."""
-    each = _with_words(runs.select("phrase").distinct(), word_scores(runs))
-    best = each.groupBy("phrase").agg(F.max(F.struct((F.col("ends") / F.col("freq")).alias("share"), "i", "word")).alias("h"))
-    before = F.array_join(F.slice(F.split("phrase", " "), F.lit(1), F.col("h.i")), " ")
-    return best.select("phrase", F.col("h.word").alias("head"), before.alias("modifiers"))
+    phrases = counted(runs)
+    best = _with_words(phrases).groupBy("_no").agg(F.max(F.struct((F.col("ends") / F.col("freq")).alias("share"), "i")).alias("h"))
+    words = F.split("phrase", " ")
+    before = F.array_join(F.slice(words, F.lit(1), F.col("h.i")), " ")
+    return phrases.join(best, "_no").select("phrase", F.get(words, F.col("h.i")).alias("head"), before.alias("modifiers"))
 
 
 def parents(runs: DataFrame) -> DataFrame:
     """(phrase, parent, modifier), for phrases that have one."""
-    phrases = runs.select("phrase").distinct()
+    phrases = _numbered(runs.select("phrase").distinct())
     words = F.split("phrase", " ")
-    tails = phrases.select("phrase", words.alias("w")).filter(F.size("w") > 1).select("phrase", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i + 1, F.size("w")), " "))).alias("left", "parent"))
-    met = tails.join(phrases.select(F.col("phrase").alias("parent")), "parent")
-    best = met.groupBy("phrase").agg(F.min(F.struct("left", "parent")).alias("x"))
-    return best.select("phrase", "x.parent", F.array_join(F.slice(F.split("phrase", " "), F.lit(1), F.col("x.left") + 1), " ").alias("modifier"))
+    tails = phrases.select("_no", words.alias("w")).filter(F.size("w") > 1).select("_no", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i + 1, F.size("w")), " "))).alias("left", "parent"))
+    met = tails.join(phrases.select(F.col("phrase").alias("parent")), "parent", "left_semi")
+    best = met.groupBy("_no").agg((F.min("left") + 1).alias("k"))  # words left out; the fewest leave the longest
+    part = lambda start, n: F.array_join(F.slice(words, start, n), " ")
+    return phrases.join(best, "_no").select("phrase", part(F.col("k") + 1, F.size(words)).alias("parent"), part(F.lit(1), F.col("k")).alias("modifier"))

@@ -61,3 +61,11 @@ def test_key_phrases(spark):
     heads = {r["phrase"]: (r["head"], r["modifiers"]) for r in keyphrases.heads(runs).collect()}
     assert heads["deep neural network"] == ("network", "deep neural") and heads["small"] == ("small", "")
     assert {(r["phrase"], r["parent"], r["modifier"]) for r in keyphrases.parents(runs).collect()} == {("deep neural network", "network", "deep neural"), ("small deep network", "network", "small deep")}
+
+
+def test_phrases_follow_numbers(spark):
+    """What is shuffled for words and tails holds a phrase's number, not its text."""
+    runs = spark.createDataFrame([(1, "deep red net"), (2, "net"), (2, "red net"), (3, "red net")], "id long, phrase string")
+    assert sorted((*x[:3], round(x[3], 9)) for x in keyphrases.scored(runs).collect()) == [("deep red net", 1, 1, round(3 + 7 / 3 + 8 / 4, 9)), ("net", 1, 1, 2.0), ("red net", 2, 2, round(7 / 3 + 2, 9))]
+    assert keyphrases._with_words(keyphrases.counted(runs)).columns == ["_no", "i", "freq", "degree", "ends"]
+    assert {(r["phrase"], r["parent"]) for r in keyphrases.parents(runs).collect()} == {("deep red net", "red net"), ("red net", "net")}
