@@ -46,6 +46,9 @@ def membership(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def casefold_merged(df: DataFrame, phrase: str, id_col: str) -> DataFrame:
     """(key, display, n_rows, n_ids): phrases equal but for case; shown in mixed case if there is one, then longest, then first."""
     p = F.col(phrase)
-    mixed = ((p != F.lower(p)) & (p != F.upper(p))).cast("int")
-    by_form = df.groupBy(F.lower(p).alias("key"), p.alias("form"), F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.max(mixed).alias("mixed"))
-    return by_form.groupBy("key").agg(F.min_by("form", F.struct(-F.col("mixed"), -F.length("form"), F.col("form"))).alias("display"), F.sum("n").alias("n_rows"), F.count_distinct("_id").alias("n_ids"))
+    mixed = ((F.col("form") != F.lower("form")) & (F.col("form") != F.upper("form"))).cast("int")
+    # forms and ids are counted apart: forms are few and combined before the shuffle, and no row holds a form, its key and an id
+    forms = df.groupBy(p.alias("form")).agg(F.count(F.lit(1)).alias("n"))
+    shown = forms.groupBy(F.lower("form").alias("key")).agg(F.min_by("form", F.struct(-mixed, -F.length("form"), F.col("form"))).alias("display"), F.sum("n").alias("n_rows"))
+    ids = df.select(F.lower(p).alias("key"), F.col(id_col).alias("_id")).distinct().groupBy("key").agg(F.count("_id").alias("n_ids"))
+    return shown.join(ids, F.equal_null(shown["key"], ids["key"])).select(shown["key"], "display", "n_rows", "n_ids")

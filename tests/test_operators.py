@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
-from rankloom.operators import dedupe, evaluation, quality, ranking
+from rankloom.operators import dedupe, evaluation, quality, ranking, records
 from rankloom.sources import files
 from rankloom.streaming import events
 
@@ -168,3 +168,25 @@ def test_one_edit_apart_against_loop(spark):
     frame = lambda x: spark.createDataFrame([(w,) for w in x], "v string")
     got = {tuple(r) for r in one_edit_apart(frame(a), frame(b)).collect()}
     assert got == {("abc", "abd"), ("abc", "abc"), ("abc", "ab"), ("abcd", "abd"), ("abcd", "abc"), ("abcd", "bcd"), ("xyz", "yz"), ("aab", "ab"), ("aab", "aaab")}
+
+
+def test_names_fan_out_by_bundles(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "none"), (4, None), (5, "a")], "row int, name string")
+    names = spark.createDataFrame([("a", i) for i in range(7)] + [("a", None), ("b", 3), ("other", 9), (None, 8)], "name string, id int")
+    out = records.fanned(rows, names, "name", "id", 2)
+    want = [(r, "a", i) for r in (1, 5) for i in (*range(7), None)] + [(2, "b", 3), (3, "none", None), (4, None, None)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_casefold_counts_ids_once(spark):
+    """Ids that repeat, in several forms, count once; rows without an id count as rows only."""
+    rows = spark.createDataFrame([("Abc", 1), ("ABC", 1), ("abc", 1), ("abc", 2), ("abc", None), (None, 3), ("x", None)], "p string, id int")
+    got = {r["key"]: tuple(r)[1:] for r in dedupe.casefold_merged(rows, "p", "id").collect()}
+    assert got == {"abc": ("Abc", 5, 2), None: (None, 1, 1), "x": ("x", 1, 0)}
+
+
+def test_an_index_of_words_is_shuffled_once(spark):
+    from rankloom.plans.queries import QUERIES
+
+    plan = QUERIES["inverted_index_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
