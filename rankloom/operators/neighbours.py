@@ -215,3 +215,45 @@ def within(found: Index, queries: DataFrame, id_col: str, vector: str, least: fl
         return (n > 0) & (np.cos(np.clip(np.arccos(np.clip(product, -1, 1)) - wide, 0, np.pi)) + 10.0**-DIGITS >= least)
 
     return _met(_chosen(own, found, near), found, None, least)
+
+
+def nearest_rounded(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, digits: int) -> DataFrame:
+    """(query_id, id, cosine, rank): of every query against every row the k best by the cosine as rounded to ``digits``, ties to the
+    smaller id. All pairs are held against each other, in matrix products of SLOT rows by QUERIES queries, of which only the k best of
+    each query go on; a zero vector's cosine is 0. Ids are numbers; rows without one, or whose vector is null or holds
+    a null, take no part, and only vectors of one length meet."""
+    sound = lambda df: df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    own = sound(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = sound(queries).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
+    slots, qslots = -(-own.count() // SLOT) or 1, -(-asked.count() // QUERIES) or 1
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.size("q").alias("dims"), every(slots).alias("slot"), deal("query_id", qslots).alias("qslot"), "query_id", "q")
+    right = own.select(F.size("v").alias("dims"), deal("id", slots).alias("slot"), every(qslots).alias("qslot"), "id", "v")
+
+    def unit(column: pa.ChunkedArray, n: int) -> np.ndarray:
+        flat = column.combine_chunks()
+        m = flat.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        norm = np.sqrt((m * m).sum(1, keepdims=True))
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [], [], []
+        if a.num_rows and b.num_rows and len(a.column("q")[0]):
+            ids, q_ids = b.column("id").to_numpy(), a.column("query_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            score = np.round(unit(a.column("q"), a.num_rows) @ unit(b.column("v"), b.num_rows)[order].T, digits) + 0.0
+            for q, s in zip(q_ids, score):
+                s = np.where(ids == q, -np.inf, s)
+                near = np.flatnonzero(s >= np.partition(s, max(len(s) - k, 0))[max(len(s) - k, 0)])
+                near = near[np.argsort(-s[near], kind="stable")][:k]
+                near = near[np.isfinite(s[near])]
+                for part, x in zip(out, (np.full(len(near), q), ids[near], s[near])):
+                    part.append(x)
+        whole = [np.concatenate(x) if x else [] for x in out]
+        return pa.Table.from_arrays([pa.array(whole[0], pa.int64()), pa.array(whole[1], pa.int64()), pa.array(whole[2], pa.float64())], names=["query_id", "id", "cosine"])
+
+    found = left.groupBy("dims", "slot", "qslot").cogroup(right.groupBy("dims", "slot", "qslot")).applyInArrow(meet, "query_id long, id long, cosine double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

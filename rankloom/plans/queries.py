@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
 from rankloom.functions import vectors as V
-from rankloom.operators import dedupe, evaluation, quality, ranking
+from rankloom.operators import dedupe, evaluation, neighbours, quality, ranking
 from rankloom.streaming import events as stream
 
 from . import assessment, assigned, assignments, curation, discovery, intents, languages, measures, phrases, records, retrieval, rules, semantic, shaping, similar, technical  # noqa: F401  (they enter their queries)
@@ -88,9 +88,7 @@ def rank_bm25_must_not(spark, d):
 def rank_knn_cosine(spark, d):
     """Nearest neighbours of a stated query set against all rows."""
     v = table(spark, d, "embeddings")
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    s = v.crossJoin(q).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(V.cosine(F.col("e"), F.col("embedding")), 4).alias("cosine"))
-    return dedupe.top_per_group(s, ["query_id"], [F.desc("cosine"), F.col("vec_id")], 10)
+    return neighbours.nearest_rounded(v, v.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10, 4).withColumnRenamed("id", "vec_id")
 
 
 @query(f"""WITH {CATALOGUE}, c AS (SELECT unnest([0, 1, 2, 3]) AS stage, unnest([

@@ -79,3 +79,17 @@ def test_nothing(spark):
     assert len(centres) == 0
     found = neighbours.index(df, np.zeros((0, 3)), "id", "v")
     assert neighbours.search(found, df, "id", "v").collect() == []
+
+
+def test_nearest_rounded_is_exact_over_slots(spark, monkeypatch):
+    """Ties by the rounded cosine go to the smaller id, copies and zero vectors included; no row is compared in an expression a pair."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(90)] + [(90, [0.0] * 4), (91, None), (92, [1.0, None, 0.0, 0.0]), (93, [1.0, 0.0])]
+    monkeypatch.setattr(neighbours, "SLOT", 17)
+    monkeypatch.setattr(neighbours, "QUERIES", 4)
+    df = spark.createDataFrame(rows, "vec int, e array<float>")
+    got = sorted(map(tuple, neighbours.nearest_rounded(df, df.filter("vec % 10 = 0"), "vec", "e", 7, 2).collect()))
+    whole = {i: np.array(e) for i, e in rows[:91]}
+    cos = lambda a, b: round(float(a @ b) / max(float(np.linalg.norm(a) * np.linalg.norm(b)), 1e-30), 2) + 0.0
+    want = [(q, *x) for q in range(0, 91, 10) for x in [(i, -c, n + 1) for n, (c, i) in enumerate(sorted((-cos(whole[q], e), i) for i, e in whole.items() if i != q)[:7])]]
+    assert got == sorted((q, i, c + 0.0, n) for q, i, c, n in want)
