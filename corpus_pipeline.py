@@ -18,8 +18,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of similar texts (five-word shingles, 0.8 or more)."""
-    return simhash.representatives(docs)
+    """One document, that with the smallest id, of each group that operator 9's links join (SimHash within 3 bits) or those of
+    similar texts beyond them (five-word shingles, 0.8 or more)."""
+    return simhash.representatives(docs, radius=simhash.RADIUS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ Equal fingerprints are one node from the start. A bucket is never expanded into
 forest of the links it finds. Buckets above BUCKET_ROWS are dealt anew by finer masks (the free bits in r + 1 blocks,
 of which one must agree), so that what meets in one task is bounded by the bits left free, not by the data.
 
-similar_components is the pipeline's way to texts of a similarity of 0.8 or more, beyond the reach of any radius: MinHash
-proposes, whole texts confirm.
+The pipeline's stage takes these links, of any size of text, and adds those of similar_components to texts of a similarity of
+0.8 or more, beyond the reach of any radius: MinHash proposes, whole texts confirm.
 
 Defined cases: null or wordless text has fingerprint 0 and links like any other; fewer than three words are one
 shingle; repeated rows and ties share a component. A row without an id links like any other, also between rows that have
@@ -31,6 +31,8 @@ from .common import arrow_map, bounded_batches, texts_of, unused, written
 from .components import components
 
 RADIUS, BITS = 3, 64
+#: Words of a shingle of operator 9's fingerprints.
+NEAR_SHINGLE = 3
 #: For texts of this similarity or more. SimHash does not bring them together: at 0.8, 64-bit fingerprints differ in about 10
 #: bits, beyond any radius that masks can cover. MinHash proposes the pairs: BANDS keys of BAND_ROWS minima each, of which a
 #: pair at 0.8 shares one with a chance of 0.99993.
@@ -65,7 +67,7 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint of every whole text as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -163,7 +165,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET
     return found
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, shingle: int = 3) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """(id, fingerprint, component_id) for every row of docs."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
@@ -199,14 +201,15 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(m.tobytes(), band) for band, m in enumerate(least.reshape(BANDS, -1))], np.uint64).view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, th, fp, content, size, keys) of every whole text: th is the text's hash, content a hash of its set of shingles, of
-    which there are size, keys are its bands."""
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, linked: int | None = None) -> DataFrame:
+    """(id, th, fp, content, size, keys, near) of every whole text: th is the text's hash, content a hash of its set of shingles, of
+    which there are size, keys are its bands, near is the fingerprint by shingles of ``linked`` words, if any."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, content, size, keys = [], [], [], []
+        fps, content, size, keys, near = [], [], [], [], []
         for text in texts_of(batch):
+            near.append(None if linked is None else int(np.uint64(fingerprint(shingle_hashes(text, linked))).view(np.int64)))
             h = shingle_hashes(text, shingle)
             own = np.unique(np.array(h, np.uint64))
             fps.append(fingerprint(h))
@@ -214,10 +217,20 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             size.append(len(own))
             keys.append(band_keys(own))
         longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, content)]
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *longs, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "fp", "content", "size", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *longs, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(near, pa.int64())], names=["id", "th", "fp", "content", "size", "keys", "near"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return arrow_map(rows, make, f"id {kind}, th bigint, fp bigint, content bigint, size bigint, keys array<bigint>")
+    return arrow_map(rows, make, f"id {kind}, th bigint, fp bigint, content bigint, size bigint, keys array<bigint>, near bigint")
+
+
+def fingerprint_links(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (content, near) -> links (a, b) of contents that connect what has equal fingerprints or some within the radius."""
+    rows = written(rows.distinct(), "prints")
+    nodes = written(rows.groupBy(F.col("near").alias("fp")).agg(F.min("content").alias("node")), "nodes")
+    named = lambda c: nodes.select(F.col("fp").alias(c), F.col("node").alias(f"of_{c}"))
+    equal = rows.join(named("near"), "near").select(F.col("of_near").alias("a"), F.col("content").alias("b"))
+    close = near_links(nodes.select("fp"), radius).join(named("a"), "a").join(named("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return equal.union(close).filter("a <> b").distinct()
 
 
 def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> Iterator[np.ndarray]:
@@ -329,14 +342,17 @@ def similar_links(met: DataFrame, texts: DataFrame, same: DataFrame, similarity:
     return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
 
-def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = 5, slot_texts: int = SLOT_TEXTS) -> DataFrame:
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = 5, slot_texts: int = SLOT_TEXTS, radius: int | None = None) -> DataFrame:
     """(id, th, fp, component) of every row, as a table: th is the text's hash, component one number for the rows whose texts a
-    chain of pairs of this similarity or more connects. Equal fingerprints are linked, unverified."""
-    rows = written(sketches(docs, id_col, text_col, shingle), "sketches")
+    chain of pairs of this similarity or more connects. Equal fingerprints are linked, unverified; with a radius also those of
+    near_components within it."""
+    rows = written(sketches(docs, id_col, text_col, shingle, None if radius is None else NEAR_SHINGLE), "sketches")
     of_content = rows.groupBy("content").agg(F.min(F.struct("id", "th")).alias("row"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     contents = written(of_content, "contents")
     nodes = contents.groupBy("fp").agg(F.min("content").alias("a"))
     same = contents.join(nodes, "fp").select("a", F.col("content").alias("b")).filter("a <> b")
+    if radius is not None:
+        same = same.union(fingerprint_links(rows.select("content", "near"), radius))
     met = written(buckets(contents), "buckets")
     wanted = contents.join(met.select("content").distinct(), "content", "left_semi").select("row", "content")
     texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("row"), F.col(text_col).alias("text"))
@@ -352,11 +368,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(names, "component").select(F.col("id").alias(id_col), _hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = 5, radius: int | None = None) -> DataFrame:
     """One row of docs for each component of similar_rows: that with the smallest id (of several with it, one), or without an
     id where none has one. All columns stay."""
     row = unused(docs, "row")
-    rows = similar_rows(docs, id_col, text_col, similarity, shingle).select("component", F.struct(F.col("id").isNull().alias("none"), "id", "th").alias("row"))
+    rows = similar_rows(docs, id_col, text_col, similarity, shingle, radius=radius).select("component", F.struct(F.col("id").isNull().alias("none"), "id", "th").alias("row"))
     best = written(rows.groupBy("component").agg(F.min("row").alias("best")), "best")  # a table, so that a large component's rows can be split
     lost = rows.join(best, "component").filter("row <> best").select(F.col("row").alias(row)).distinct()
     twice = written(rows.groupBy(F.col("row").alias(row)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(row), "repeated")

@@ -235,6 +235,18 @@ def test_similar_components(spark, slot_texts):
     assert sorted((r["doc_id"] or 0) for r in left.collect()) == sorted(i for _, i, _ in first.values())
 
 
+def test_pipeline_links_fingerprints(spark):
+    """The pipeline's near-duplicates are joined by all of operator 9's links, also where the similarity is below 0.8."""
+    long = " ".join(f"w{i}" for _ in range(4) for i in range(12))
+    rows = [(k, f"{long} {' '.join(f'{c}{i}' for i in range(12))}") for k, c in ((1, "a"), (2, "b"))] + [(3, " ".join(f"z{i}" for i in range(300))), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t in rows[:2]]
+    assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    op9 = {r["doc_id"]: r["component_id"] for r in simhash.near_components(docs).collect()}
+    assert op9 == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(set(op9.values()))
+
+
 def test_similar_pairs_are_found(spark):
     """Every pair at 0.8 or more of documents is in one group, however many bits their fingerprints differ in."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
