@@ -9,9 +9,10 @@ corpus (base spans). A term (a word of letters) reveals an entity e to the degre
 little). All shares are of distinct texts of the whole corpus, and a text is no evidence about itself: what a term reveals in one text is what the other texts say, so each
 count is less by one (leave-one-out), the number of texts too. Words that share one text with an entity and no other
 reveal nothing, however rare; copies of a text are one text. Nor do near copies bear witness for each other: where the
-disclosing terms of an entity come to more than MOST_TERMS and MOST_SHARE of the terms that its texts have on average, those are versions of
-one text, and the entity has none. Words of the entity itself aren't counted. Disclosing terms are taken in every document that holds
-their entity, wherever they stand in it.
+disclosing terms of an entity come to more than MOST_TERMS and MOST_SHARE of the terms that its texts have on average, some of those are
+versions of one text, and all its terms are counted anew by weights: a text that has most of its telling terms in common with
+k texts of the entity counts as one k-th, so that versions come to one witness and other texts to one each (see _weighed). Words
+of the entity itself aren't counted. Disclosing terms are taken in every document that holds their entity, wherever they stand in it.
 
 Redaction replaces base values by their kind. A disclosing term whose PMI stays below IC is generalised (to [TERM]);
 one that gives the entity away entirely (PMI >= IC) is removed.
@@ -48,7 +49,7 @@ HINTS = {
 WORD = r"\p{L}++"
 #: Alpha; the quantile of the lower bound; letters of a term at least.
 ALPHA, Z, LEAST_LETTERS = 1.5, 1.645, 3
-#: Terms that may disclose one entity: so many, or such a share of its texts' terms.
+#: Beyond so many disclosing terms, and such a share of its texts' terms, an entity's texts are counted by weights.
 MOST_TERMS, MOST_SHARE = 3, 0.05
 
 
@@ -118,6 +119,40 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _term), lambda w: F.length(w) >= LEAST_LETTERS))
 
 
+def _most(n_e: Column, n: Column, alpha: float) -> Column:
+    """The n_t - 1 beyond which no term discloses an entity of n_e texts: PMI - IC = log((n_et - 1) / (n_t - 1)) and n_et <= n_e."""
+    return F.pow(n_e - 1, F.lit(1 / alpha)) * F.pow(n - 1, F.lit(1 - 1 / alpha)) * (1 + 1e-9)
+
+
+def _told(joint: DataFrame, alpha: float) -> DataFrame:
+    """(entity, term, pmi, ic) of the rows (entity, term, n_e, n_t, n, n_et) that disclose."""
+    less = lambda c: F.col(c) - 1.0
+    share, z = less("n_et") / less("n_t"), Z / F.sqrt(less("n_t"))
+    sure = (share + z * z / 2 - z * F.sqrt(share * (1 - share) + z * z / 4)) / (1 + z * z)  # Wilson's lower bound
+    ic = F.log(less("n") / less("n_e"))
+    return joint.select("entity", "term", (ic + F.log(share)).alias("pmi"), ic.alias("ic"), sure.alias("sure")).filter((F.col("ic") + F.log("sure")) * alpha >= F.col("ic")).drop("sure")
+
+
+def _weighed(each: DataFrame, of_entity: DataFrame, of_term: DataFrame, total: DataFrame, alpha: float) -> DataFrame:
+    """each (entity, k, term): all terms of all texts of some entities -> (entity, term, n_e, n_t, n, n_et), each text counted by its weight.
+
+    Telling terms are those rare enough to disclose the entity at all. Each is in so many of its texts, less those that chance
+    puts there; a text's weight is one by the median of these numbers over its telling terms. In n_t and n the entity's texts
+    count by weight too. A term whose texts weigh less than two has no witness. Since a weight is at most 1, what is beyond the
+    bound by plain counts is beyond it by weight (Hoelder's inequality)."""
+    counts = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_et")).join(of_term, "term", "left").join(of_entity, "entity").withColumn("n", total.scalar())
+    n_t = F.coalesce("n_t", F.lit(1)).cast("double")
+    telling = counts.select("entity", "term", "c_et", F.col("n_e").alias("c_e"), n_t.alias("c_t"), F.col("n").alias("c")).filter(F.col("c_t") - 1 <= _most(F.col("c_e"), F.col("c"), alpha))
+    rows = written(each.join(telling, ["entity", "term"]), "telling")
+    common = F.greatest(F.lit(1.0), F.col("c_et") - (F.col("c_e") - 1) * (F.col("c_t") - 1) / (F.col("c") - 1))
+    weights = written(rows.groupBy("entity", "k").agg((1 / F.percentile(common, 0.5)).alias("w")), "weights")
+    # texts without a telling term count whole
+    weight_of = weights.groupBy("entity").agg(F.sum("w").alias("w_e"), F.count(F.lit(1)).alias("texts"))
+    by_term = rows.join(weights, ["entity", "k"]).groupBy("entity", "term", "c_et", "c_e", "c_t", "c").agg(F.sum("w").alias("n_et")).filter(F.col("n_et") >= 2 - 1e-9).join(weight_of, "entity")
+    lost = F.col("texts") - F.col("w_e")
+    return by_term.select("entity", "term", (F.col("c_e") - lost).alias("n_e"), (F.col("c_t") - F.col("c_et") + F.col("n_et")).alias("n_t"), (F.col("c") - lost).alias("n"), "n_et")
+
+
 def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
     """(entity, term, pmi, ic) of the terms that disclose an entity. found: rows of find_base that hold spans."""
     once = lambda df, text: df.withColumn("_th", F.xxhash64(text)).dropDuplicates(["_th"])
@@ -126,25 +161,23 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", alpha
     # what one text alone holds has no other text to say anything of it, so it is left out before entities meet terms
     of_entity = written(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter("n_e > 1"), "entities")
     texts = once(docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")), "text")
-    of_term = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter("n_t > 1")
+    of_term = written(texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter("n_t > 1"), "terms")
     total = docs.filter(F.col(text_col).isNotNull()).agg(F.count_distinct(F.xxhash64(text_col)).alias("n"))
     top = of_entity.agg(F.coalesce(F.max("n_e"), F.lit(2)).alias("n_e"))
-    # PMI - IC = log((n_et - 1) / (n_t - 1)) and n_et <= n_e, so a term beyond this bound discloses no entity
-    most = F.pow(F.col("top") - 1, F.lit(1 / alpha)) * F.pow(F.col("n") - 1, F.lit(1 - 1 / alpha)) * (1 + 1e-9)
-    rare = of_term.withColumn("n", total.scalar()).withColumn("top", top.scalar()).filter(F.col("n_t") - 1 <= most).select("term", "n_t", "n")
+    rare = of_term.withColumn("n", total.scalar()).withColumn("top", top.scalar()).filter(F.col("n_t") - 1 <= _most(F.col("top"), F.col("n"), alpha)).select("term", "n_t", "n")
     shared = held.select("k", "m", F.explode("entities").alias("entity")).join(of_entity, "entity")
     terms = held.join(shared.select("k").distinct(), "k", "left_semi").select("k", F.explode(_terms(F.col("text"))).alias("term")).join(rare, "term")
     joint = terms.join(shared.drop("m"), "k").filter(~F.contains(F.lower("entity"), F.col("term"))).groupBy("entity", "term", "n_e", "n_t", "n").agg(F.count(F.lit(1)).alias("n_et")).filter("n_et > 1")
-    less = lambda c: F.col(c) - 1.0
-    share, z = less("n_et") / less("n_t"), Z / F.sqrt(less("n_t"))
-    sure = (share + z * z / 2 - z * F.sqrt(share * (1 - share) + z * z / 4)) / (1 + z * z)  # Wilson's lower bound
-    ic = F.log(less("n") / less("n_e"))
-    told = joint.select("entity", "term", (ic + F.log(share)).alias("pmi"), ic.alias("ic"), sure.alias("sure")).filter((F.col("ic") + F.log("sure")) * alpha >= F.col("ic")).drop("sure")
-    told = written(told, "told")
+    told = written(_told(joint, alpha), "told")
     # texts that have most of their words in common are versions of one text, not witnesses
     usual = shared.groupBy("entity").agg(F.avg("m").alias("m"))
-    versions = told.groupBy("entity").agg(F.count(F.lit(1)).alias("d")).join(usual, "entity").filter(F.col("d") > F.greatest(F.lit(MOST_TERMS), MOST_SHARE * F.col("m"))).select("entity")
-    return told.join(versions, "entity", "left_anti")
+    versions = written(told.groupBy("entity").agg(F.count(F.lit(1)).alias("d")).join(usual, "entity").filter(F.col("d") > F.greatest(F.lit(MOST_TERMS), MOST_SHARE * F.col("m"))).select("entity"), "versions")
+    if versions.isEmpty():
+        return told
+    own = shared.select("k", "entity").join(versions, "entity")
+    each = held.join(own, "k").select("entity", "k", F.explode(_terms(F.col("text"))).alias("term")).filter(~F.contains(F.lower("entity"), F.col("term")))
+    again = _told(_weighed(written(each, "again"), of_entity, of_term, total, alpha), alpha)
+    return told.join(versions, "entity", "left_anti").unionByName(again)
 
 
 def _placed(texts: DataFrame) -> DataFrame:

@@ -354,6 +354,21 @@ def test_pii_counts_of_copies(spark):
         assert sorted(set(out)) == sorted(f" writes [EMAIL] {r}" for r in rest) and len(out) == len(own)
 
 
+def test_pii_versions_count_as_one_text(spark):
+    """Where versions of a text hold an entity, a name beside it in other texts still goes, and the versions' words stay."""
+    rows = [(i, f"filler words of page number {i % 7} and {i}") for i in range(2000)]
+    for versions in (3, 40):
+        rng = random.Random(versions)
+        word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+        base = [word() for _ in range(30)]
+        edited = [" ".join(word() if rng.random() < 0.1 else w for w in base) for _ in range(versions)]
+        other = [" ".join(word() for _ in range(20)) for _ in range(4)]
+        own = [f"{t} Zorblatt boss@acme.example" for t in [*edited, *other]]
+        docs = spark.createDataFrame(rows + [(10_000 + i, t) for i, t in enumerate(own)], "doc_id long, text string")
+        out = {r["doc_id"] - 10_000: r["text"] for r in pii.sanitised(docs).collect() if r["doc_id"] >= 10_000}
+        assert out == {i: f"{t}  [EMAIL]" for i, t in enumerate([*edited, *other])}
+
+
 def test_language_gradients_and_accuracy(spark):
     m, rng = language_id.ByteBiGRU(3, 4), np.random.default_rng(1)
     x, y = rng.integers(0, 256, (5, 7)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
