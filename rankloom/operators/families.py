@@ -100,7 +100,9 @@ def by_tables(models: DataFrame, hints: DataFrame, patterns: DataFrame, aliases:
 
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}0-9]+"), lambda w: w != ""))
     plain = F.array_join(F.filter(F.split(F.lower(F.coalesce("name", F.lit(""))), r"[^\p{L}0-9]+"), lambda w: w != ""), " ")
-    own = models.select("id", F.lower("kind").alias("kind"), plain.alias("t"), words(F.coalesce("name", F.lit(""))).alias("n"), words(F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")).alias("g"), words(F.coalesce("kind", F.lit(""))).alias("k"))
+    # records of one kind, name and tags are one class, and one row a class goes through the joins
+    all_ = models.select("id", F.sha2(F.to_json(F.struct("kind", "name", "tags")), 256).alias("key"), "kind", "name", "tags")
+    own = all_.drop("id").distinct().select(F.col("key").alias("id"), F.lower("kind").alias("kind"), plain.alias("t"), words(F.coalesce("name", F.lit(""))).alias("n"), words(F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")).alias("g"), words(F.coalesce("kind", F.lit(""))).alias("k"))
     best_hint = hints.groupBy(F.lower("kind").alias("kind")).agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "family", "child")).alias("h"))
     hit = F.struct("family", "child", "confidence")
     seen = mentions(own.select("t").filter("t <> ''").distinct(), patterns.select(F.lower("phrase").alias("said"), hit.alias("hit"))).withColumnRenamed("mention", "p")
@@ -117,7 +119,8 @@ def by_tables(models: DataFrame, hints: DataFrame, patterns: DataFrame, aliases:
         F.when(F.col("alias").isNotNull(), pick(F.col("alias"), F.lit(None), F.lit(alias_confidence), "alias")),
         pick(F.lit(unclear), F.lit(None), F.lit(0.0), "none"),
     )
-    return rows.select("id", found.alias("x")).select("id", "x.*")
+    classes = rows.select(F.col("id").alias("key"), found.alias("x"))
+    return all_.select("id", "key").join(classes, "key").select("id", "x.*")
 
 
 def routed(texts: DataFrame, words: DataFrame, several: str = "multimodal", other: str = "other") -> DataFrame:
