@@ -6,8 +6,9 @@ most, ties to "add" before "remove" and then to the lesser name, until none does
 
 One rule changes a row in four ways only: the feature is predicted or not, and true or not. So a step scores all rules
 there are, over all rows, with one aggregate by feature over the features that rows have; adding a feature to the rows that lack it
-is a sum over all rows, corrected for those that don't. There is no shortlist of candidates and no sample of rows. A
-hot feature is combined before the shuffle.
+is a sum over all rows, corrected for those that don't. A row's lists are split once as sets; of each part all features bring the
+same, so that its cells carry numbers only. There is no shortlist of candidates and no sample of rows. A hot feature is combined
+before the shuffle.
 
 Rows with null lists have empty ones; repeated features count once, null features don't. No rows: no rules.
 """
@@ -49,56 +50,61 @@ def objective(means: list[Column], balance: float) -> Column:
     return mean - balance * spread
 
 
+def _cleaned(rows: DataFrame, predicted: str, truths: list[str]) -> DataFrame:
+    return rows.select(_clean(predicted).alias("_p"), *(_clean(t).alias(f"_t{k}") for k, t in enumerate(truths)))
+
+
+def _split(cleaned: DataFrame, truths: int) -> DataFrame:
+    """Each truth as what is predicted too and what is in it alone."""
+    return cleaned.select("_p", *(x for k in range(truths) for x in (F.array_intersect("_p", f"_t{k}").alias(f"_both{k}"), F.array_except(f"_t{k}", "_p").alias(f"_only{k}"))))
+
+
+def _sizes(k: int) -> tuple[Column, Column]:
+    return F.size(f"_both{k}"), F.size("_p") + F.size(f"_only{k}")
+
+
 def scores(rows: DataFrame, predicted: str, truths: list[str], balance: float = 0.1, removed: list[str] = (), added: list[str] = ()) -> DataFrame:
     """(kind, feature, objective, one mean overlap a truth) of every rule that may come next: to remove a feature that some row
     predicts and no rule has added, to add one that some truth has, some row lacks and no rule has removed."""
-    p = with_rules(_clean(predicted), list(removed), list(added))
-    ts = [f"_t{k}" for k in range(len(truths))]
-    own = rows.select(p.alias("_p"), *(_clean(t).alias(c) for t, c in zip(truths, ts)))
-    inter, union = lambda c: F.size(F.array_intersect("_p", c)), lambda c: F.size(F.array_union("_p", c))
-    own = own.select("*", *(inter(c).alias(f"_i{k}") for k, c in enumerate(ts)), *(union(c).alias(f"_u{k}") for k, c in enumerate(ts)))
-    now, bare, gain_in, gain_out, loss_in, loss_out = [], [], [], [], [], []
-    for k, c in enumerate(ts):
-        i, u = F.col(f"_i{k}"), F.col(f"_u{k}")
-        base = _overlap(i, u)
-        now.append(base)
-        bare.append(i / (u + 1) - base)
-        gain_in.append((i + 1) / F.greatest(u, F.lit(1)) - base)
-        gain_out.append(i / (u + 1) - base)
-        loss_in.append((i - 1) / u - base)
-        loss_out.append(_overlap(i, u - 1) - base)
-    whole = own.agg(F.count(F.lit(1)).alias("_n"), *(F.sum(x).alias(f"_now{k}") for k, x in enumerate(now)), *(F.sum(x).alias(f"_bare{k}") for k, x in enumerate(bare)))
-    every = F.array_union("_p", F.array_distinct(F.flatten(F.array(*ts))))
-    # a feature that a row predicts or a truth has: u > 0, and what adding it to all rows has to be corrected by
-    flags = lambda f: F.struct(f.alias("feature"), F.array_contains("_p", f).alias("p"), *(F.array_contains(c, f).alias(c) for c in ts))
-    each = own.select("*", F.explode(F.transform(every, flags)).alias("f"))
-    has = F.col("f.p")
-    terms = [F.count_if(has).alias("_n_p"), F.max(F.greatest(*(F.col(f"f.{c}") for c in ts), F.lit(False))).alias("_true")]
-    for k, c in enumerate(ts):
-        true = F.col(f"f.{c}")
-        terms.append(F.sum(F.when(has, F.when(true, loss_in[k]).otherwise(loss_out[k])).otherwise(0.0)).alias(f"_rem{k}"))
-        terms.append(F.sum(F.when(has, -gain_out[k]).when(true, gain_in[k] - gain_out[k]).otherwise(0.0)).alias(f"_add{k}"))
-    of = each.groupBy("f.feature").agg(*terms).crossJoin(F.broadcast(whole))  # one row
-    means = lambda kind: [(F.col(f"_now{k}") + (F.col(f"_bare{k}") + F.col(f"_add{k}") if kind == "add" else F.col(f"_rem{k}"))) / F.col("_n") for k in range(len(ts))]
-
-    def rule(kind: str, may: Column) -> DataFrame:
-        return of.filter(may).select(F.lit(kind).alias("kind"), "feature", objective(means(kind), balance).alias("objective"), *(m.alias(t) for m, t in zip(means(kind), truths)))
-
+    return _scores(_cleaned(rows, predicted, truths), truths, balance, removed, added)
+
+
+def _scores(cleaned: DataFrame, truths: list[str], balance: float, removed: list[str], added: list[str]) -> DataFrame:
+    each = range(len(truths))
+    own = _split(cleaned.withColumn("_p", with_rules(F.col("_p"), list(removed), list(added))), len(truths))
+    # by row: what a feature of each list brings, whichever it is
+    whole, parts, lists = [F.count(F.lit(1)).alias("_n")], [], [F.col("_p")]
+    for k in each:
+        i, u = _sizes(k)
+        base, out, loss = _overlap(i, u), i / (u + 1), _overlap(i, u - 1)
+        whole += [F.sum(base).alias(f"_now{k}"), F.sum(out - base).alias(f"_bare{k}")]
+        parts += [(loss - base).alias(f"_loss{k}"), (base - out).alias(f"_kept{k}"), ((i - 1) / F.greatest(u, F.lit(1)) - loss).alias(f"_less{k}"), ((i + 1) / F.greatest(u, F.lit(1)) - out).alias(f"_gain{k}")]
+        lists += [F.col(f"_both{k}"), F.col(f"_only{k}")]
+    # list 0: predicted, as if no truth had it; 2k + 1: predicted and in truth k, what differs then; 2k + 2: in truth k alone
+    cells = own.select(*parts, F.posexplode(F.array(*lists)).alias("_list", "_features"))
+    cells = cells.select("_list", *(f"_{x}{k}" for k in each for x in ("loss", "kept", "less", "gain")), F.explode("_features").alias("feature"))
+    terms = [F.count_if(F.col("_list") == 0).alias("_n_p"), F.count_if(F.col("_list") > 0).alias("_n_true")]
+    for k in each:
+        pick = lambda first, n, second: F.sum(F.when(F.col("_list") == 0, F.col(first)).when(F.col("_list") == n, F.col(second)).otherwise(0.0))
+        terms += [pick(f"_loss{k}", 2 * k + 1, f"_less{k}").alias(f"_rem{k}"), pick(f"_kept{k}", 2 * k + 2, f"_gain{k}").alias(f"_add{k}")]
+    of = cells.groupBy("feature").agg(*terms).crossJoin(F.broadcast(own.agg(*whole)))  # one row
+    means = lambda kind: [(F.col(f"_now{k}") + (F.col(f"_bare{k}") + F.col(f"_add{k}") if kind == "add" else F.col(f"_rem{k}"))) / F.col("_n") for k in each]
     remove = (F.col("_n_p") > 0) & ~F.array_contains(_list(list(added)), F.col("feature"))
-    add = F.col("_true") & (F.col("_n_p") < F.col("_n")) & ~F.array_contains(_list(list(removed)), F.col("feature"))
-    return rule("remove", remove).unionByName(rule("add", add))
+    add = (F.col("_n_true") > 0) & (F.col("_n_p") < F.col("_n")) & ~F.array_contains(_list(list(removed)), F.col("feature"))
+    rule = lambda kind, may: F.struct(may.alias("may"), F.lit(kind).alias("kind"), "feature", objective(means(kind), balance).alias("objective"), *(m.alias(t) for m, t in zip(means(kind), truths)))
+    return of.select(F.inline(F.array(rule("remove", remove), rule("add", add)))).filter("may").drop("may")
 
 
 def search(rows: DataFrame, predicted: str, truths: list[str], balance: float = 0.1, steps: int = 50, digits: int = 12) -> list[dict]:
     """The steps taken: kind, feature, objective and the means, the first without a rule. Objectives are compared to ``digits`` digits."""
-    held = kept(rows.select(predicted, *truths), "lists")
-    start = overlaps(held, predicted, truths).select(objective([F.col(t) for t in truths], balance).alias("objective"), *truths).first()
+    held = kept(_cleaned(rows, predicted, truths), "lists")
+    start = _split(held, len(truths)).agg(*(F.avg(_overlap(*_sizes(k))).alias(t) for k, t in enumerate(truths))).select(objective([F.col(t) for t in truths], balance).alias("objective"), *truths).first()
     if start["objective"] is None:
         return []
     out = [{"step": 0, "kind": None, "feature": None, **start.asDict()}]
     removed, added = [], []
     for step in range(1, steps + 1):
-        best = scores(held, predicted, truths, balance, removed, added).withColumn("objective", F.round("objective", digits)).orderBy(F.desc("objective"), "kind", "feature").limit(1).collect()
+        best = _scores(held, truths, balance, removed, added).withColumn("objective", F.round("objective", digits)).orderBy(F.desc("objective"), "kind", "feature").limit(1).collect()
         if not best or best[0]["objective"] <= round(out[-1]["objective"], digits):
             break
         (removed if best[0]["kind"] == "remove" else added).append(best[0]["feature"])

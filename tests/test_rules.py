@@ -68,6 +68,21 @@ def test_search(spark, seed, n, balance):
     assert rule_search.search(df.limit(0), "p", ["t1", "t2"], balance) == []
 
 
+def test_scores_walk_the_cells_once(spark):
+    """Rules to add and to remove come from one pass over the rows' features, for any number of truths."""
+    rows = [(0, ["a", "b", "b"], ["b", None], ["c"], 1), (1, [], None, [], 1), (2, ["c"], ["c"], ["a", "c"], 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for truths in (["t1"], ["t1", "t2"], ["t2", "t1", "t1"]):
+        got = rule_search.scores(df, "p", truths, 0.5, ["a"], ["d"])
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode") == 1  # it was two, one for each kind of rule
+        assert {(r["kind"], r["feature"]) for r in got.collect()} == {("remove", "b"), ("remove", "c"), ("add", "b"), ("add", "c")} - (set() if "t1" in truths else {("add", "b")})
+        for r in got.collect():
+            now = [((clean(x[1]) - {"a"}) | {"d"}) - ({r["feature"]} if r["kind"] == "remove" else set()) | ({r["feature"]} if r["kind"] == "add" else set()) for x in rows]
+            want = [statistics.mean(len(p & t) / len(p | t) if p | t else 1.0 for p, t in ((p, clean(x[SCHEMA.split(", ").index(f"{name} array<string>")])) for p, x in zip(now, rows))) for name in truths]
+            assert r["objective"] == pytest.approx(goal(want, 0.5))
+
+
 def test_packed(spark):
     rows = fixture(4, 20)
     df = spark.createDataFrame(rows, SCHEMA)
