@@ -112,26 +112,47 @@ def search(rows: DataFrame, predicted: str, truths: list[str], balance: float =
     return out
 
 
-def packed(rows: DataFrame, key: str, lists: dict[str, str], places: DataFrame) -> DataFrame:
-    """(key, word, a column of 64 bits for each list) of the words that have any bit. places: (feature, place), from 0. lists: name -> column."""
-    named = lambda n: lambda x: F.struct(x.alias("feature"), F.lit(n).alias("list"))
-    cells = F.flatten(F.array(*(F.transform(_clean(c), named(n)) for n, c in lists.items())))
-    placed = rows.select(key, F.explode(cells).alias("x")).select(key, "x.*").join(places, "feature")
-    bit = lambda n: F.bit_or(F.when(F.col("list") == n, F.expr("shiftleft(1L, cast(place % 64 as int))")).otherwise(F.lit(0).cast("long"))).alias(n)
-    return placed.groupBy(key, F.floor(F.col("place") / 64).alias("word")).agg(*(bit(n) for n in lists))
+#: Cells that a task packs, and the part of all cells from which a feature's place goes to all tasks (so that few can).
+CELLS, HOT = 1 << 17, 1 / 4096
 
 
-def packed_overlaps(bits: DataFrame, key: str, predicted: str, truths: list[str], removed: DataFrame | None = None, added: DataFrame | None = None) -> DataFrame:
+def _names(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def packed(rows: DataFrame, key: str | list[str], lists: dict[str, str], places: DataFrame, within: str | None = None) -> DataFrame:
+    """(key, word, a column of 64 bits for each list) of the words that have any bit. places: (feature, place), from 0. lists: name -> column.
+
+    Tasks are dealt ``CELLS`` cells each, however many there are: by feature to meet the places, then by the key, or by ``within``, a column of the
+    key whose rows shall stay together. Places of features that many rows have go to all tasks. places may hold n, how often each feature
+    occurs; it deals rows out, results don't depend on it."""
+    keys = _names(key)
+    cells = rows.select(*keys, F.posexplode(F.array(*(_clean(c) for c in lists.values()))).alias("_list", "_features")).select(*keys, "_list", F.explode("_features").alias("feature"))
+    if "n" not in places.columns:
+        places = places.join(cells.groupBy("feature").agg(F.count(F.lit(1)).alias("n")), "feature")
+    total = places.agg(F.sum("n")).first()[0] or 0
+    parts = total // CELLS + 1
+    hot, rest = (places.filter(c).select("feature", "place") for c in (F.col("n") > total * HOT, F.col("n") <= total * HOT))
+    met = cells.join(F.broadcast(hot.select("feature")), "feature", "left_anti").repartition(parts, "feature").join(rest.hint("shuffle_hash"), "feature")
+    placed = cells.join(F.broadcast(hot), "feature").unionByName(met).select(*keys, "_list", F.floor(F.col("place") / 64).alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("_bit"))
+    bit = lambda k, n: F.bit_or(F.when(F.col("_list") == k, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(n)
+    return placed.repartition(parts, *([within] if within else keys)).groupBy(*keys, "word").agg(*(bit(k, n) for k, n in enumerate(lists)))
+
+
+def packed_overlaps(bits: DataFrame, key: str | list[str], predicted: str, truths: list[str], removed: DataFrame | None = None, added: DataFrame | None = None) -> DataFrame:
     """(key, one overlap a truth) from packed words: bits in both by bits in either. removed, added: (word, mask) to take out or put in;
     words that a row lacks are taken from added too."""
-    words = bits
+    none = F.lit(0).cast("long")
+    words, more = bits.withColumn("_on", none), bits.sparkSession.range(1).select(none.alias("_more"))
+    masks = lambda rules, name: rules.groupBy("word").agg(F.bit_or("mask").alias(name))
     if removed is not None:
-        words = words.join(F.broadcast(removed.withColumnRenamed("mask", "_off")), "word", "left").withColumn(predicted, F.col(predicted).bitwiseAND(F.bitwise_not(F.coalesce("_off", F.lit(0).cast("long"))))).drop("_off")
+        words = words.join(F.broadcast(masks(removed, "_off")), "word", "left").withColumn(predicted, F.col(predicted).bitwiseAND(F.bitwise_not(F.coalesce("_off", none)))).drop("_off")
     if added is not None:
-        none = [F.lit(0).cast("long").alias(c) for c in (predicted, *truths)]
-        extra = bits.select(key).distinct().crossJoin(F.broadcast(added)).select(key, "word", F.col("mask").alias("_on"), *none)  # as many words as rules have
-        words = words.withColumn("_on", F.lit(0).cast("long")).unionByName(extra).groupBy(key, "word").agg(*(F.bit_or(c).alias(c) for c in (predicted, *truths, "_on")))
-        words = words.withColumn(predicted, F.col(predicted).bitwiseOR(F.col("_on"))).drop("_on")
-    both = lambda t: F.sum(F.bit_count(F.col(predicted).bitwiseAND(F.col(t))))
-    either = lambda t: F.sum(F.bit_count(F.col(predicted).bitwiseOR(F.col(t))))
-    return words.groupBy(key).agg(*(_overlap(both(t), either(t)).alias(t) for t in truths))
+        on = masks(added, "_on")
+        words = words.drop("_on").join(F.broadcast(on), "word", "left").withColumn("_on", F.coalesce("_on", none)).withColumn(predicted, F.col(predicted).bitwiseOR(F.col("_on")))
+        more = on.agg(F.coalesce(F.sum(F.bit_count("_on")), none).alias("_more"))
+    both = [F.sum(F.bit_count(F.col(predicted).bitwiseAND(F.col(t)))).alias(f"_both{k}") for k, t in enumerate(truths)]
+    either = [F.sum(F.bit_count(F.col(predicted).bitwiseOR(F.col(t)))).alias(f"_either{k}") for k, t in enumerate(truths)]
+    # of the added bits, those in words that the row lacks are in the union alone
+    sums = words.groupBy(*_names(key)).agg(*both, *either, F.sum(F.bit_count("_on")).alias("_met")).crossJoin(F.broadcast(more))  # one row
+    return sums.select(*_names(key), *(_overlap(F.col(f"_both{k}"), F.col(f"_either{k}") + F.col("_more") - F.col("_met")).alias(t) for k, t in enumerate(truths)))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import rule_search
+from rankloom.plans import queries as catalogue
 
 SCHEMA = "id int, p array<string>, t1 array<string>, t2 array<string>, extra int"
 
@@ -94,3 +95,34 @@ def test_packed(spark):
         p = (clean(row[1]) - {"a"}) | {"b"}
         want = tuple(len(p & clean(t)) / len(p | clean(t)) for t in row[2:4])
         assert got.get(row[0], (0.0, 0.0)) == pytest.approx(want)
+
+
+def test_packed_in_bounded_tasks(spark, monkeypatch):
+    """Tasks get so many cells however many rows there are; rules that share a word count once; a feature of every row meets its place without a shuffle."""
+    monkeypatch.setattr(rule_search, "CELLS", 64)
+    monkeypatch.setattr(rule_search, "HOT", 0.2)
+    r = random.Random(5)
+    rows = [(i // 4, i % 4, ["hot", *r.sample("abcdefgh", 4)], r.sample("abcdefgh", 3), ["hot", "hot", None] if i % 5 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "conv int, pos int, p array<string>, t1 array<string>, t2 array<string>")
+    places = spark.createDataFrame([(c, i * 30) for i, c in enumerate(["hot", *"abcdefgh"])], "feature string, place long")
+    cells = 200 * 8 + 160
+    for within in ("conv", None):
+        bits = rule_search.packed(df, ["conv", "pos"], {"p": "p", "t1": "t1", "t2": "t2"}, places, within)
+        sizes = [n for n in bits.rdd.glom().map(len).collect()]
+        assert len(sizes) == cells // 64 + 1 and max(sizes) < 8 * 64
+        of = lambda *f: places.filter(F.col("feature").isin(*f)).select(F.floor(F.col("place") / 64).alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("mask"))
+        got = {(x["conv"], x["pos"]): (x["t1"], x["t2"]) for x in rule_search.packed_overlaps(bits, ["conv", "pos"], "p", ["t1", "t2"], of("hot", "a", "c"), of("b", "g", "h")).collect()}
+        assert len(got) == 200
+        for row in rows:
+            p = (clean(row[2]) - {"hot", "a", "c"}) | {"b", "g", "h"}
+            assert got[row[:2]] == pytest.approx(tuple(len(p & clean(t)) / len(p | clean(t)) for t in row[3:5]))
+
+
+def test_overlaps_of_turns_that_share_a_number(spark, tmp_path):
+    """Two rows of one turn stay two rows, a turn without words has overlaps too, a neighbour is the next row and not the next number."""
+    text = [(1, 1, "that avec apple"), (1, 5, "apple that berry"), (1, 9, None), (2, 3, "avec"), (2, 3, "avec"), (None, 1, "berry"), (None, 2, "berry that")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in text], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((tuple(r) for r in catalogue.QUERIES["rule_overlaps_packed"](spark, str(tmp_path)).collect()), key=str)
+    third = round(1 / 3, 9)
+    want = [(1, 1, 0.0, round(2 / 3, 9)), (1, 5, 0.5, 0.0), (1, 9, third, 0.0), (2, 3, 0.0, 0.0), (2, 3, 0.0, 0.0), (None, 1, 0.0, 1.0), (None, 2, 0.5, 0.0)]
+    assert got == sorted(want, key=str)
