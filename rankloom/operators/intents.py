@@ -12,9 +12,13 @@ without an id finds none. Rows tie by their id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +29,8 @@ from .rounds import kept
 #: The clause of each priority.
 CLAUSE = {"must": "filter", "strong_prefer": "relaxable", "prefer": "should", "avoid": "must_not"}
 
-#: Criteria that go to all tasks at once, and pairs of an intent and a row that a task holds.
-BLOCK, PAIRS = 1 << 16, 1 << 18
+#: Most intents and rows of a slot; of either, where all that match are returned. Scores that a task has before it at once.
+BLOCK, ROWS, PAIRS, CELLS = 4096, 8192, 512, 1 << 18
 
 
 class Feature(NamedTuple):
@@ -100,38 +104,172 @@ def classes(wanted: DataFrame, id_col: str) -> DataFrame:
     return key.join(key.groupBy("key").agg(F.min(id_col).alias("class")), "key").select(id_col, "class")
 
 
-def matches(values: DataFrame, wanted: DataFrame, id_col: str, row_col: str, relaxed: bool = False, least: int = 0) -> DataFrame:
+def _codes(wanted: DataFrame) -> DataFrame:
+    """(field, value, code, part): a number for each wanted value, and one for its field. Fields that share a number are taken together, no more."""
+    distinct = wanted.select("field", "value").filter("value is not null").distinct()
+    return kept(distinct.select("field", "value", F.monotonically_increasing_id().alias("code"), F.pmod(F.xxhash64("field"), F.lit(1 << 20)).cast("int").alias("part")), "codes")
+
+
+def _sets(values: DataFrame, codes: DataFrame, row_col: str) -> DataFrame:
+    """(row, items): the wanted values that a row holds, sorted; rows without any are left out."""
+    held = values.select(row_col, "field", "value").join(codes, ["field", "value"])
+    return held.groupBy(row_col).agg(F.sort_array(F.collect_set(F.struct("part", "code"))).alias("items"))
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.StructArray]:
+    """The structs of a column of lists, and the row of each."""
+    lists = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), lengths), lists.flatten()
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Equal values have equal numbers, null -1."""
+    return pc.fill_null(column.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class _Part(NamedTuple):
+    """Fields that no feature links with others: each row's set of values there, and by value the sets that hold it."""
+
+    set_of_row: np.ndarray
+    sets: int
+    start: np.ndarray
+    count: np.ndarray
+    held_by: np.ndarray
+
+
+def _part_of(rows: int, row: np.ndarray, code: np.ndarray, codes: int) -> _Part:
+    """row, code: what rows hold in the part, sorted by both; codes up to ``codes``."""
+    ends = np.searchsorted(row, np.arange(rows + 1))
+    known: dict[bytes, int] = {}
+    of = np.array([known.setdefault(code[i:j].tobytes(), len(known)) for i, j in zip(ends[:-1], ends[1:])], np.int64)
+    members = [np.frombuffer(x, np.int64) for x in known]
+    sets, held = np.repeat(np.arange(len(members)), [len(m) for m in members]), np.concatenate([np.zeros(0, np.int64), *members])
+    order = np.argsort(held, kind="stable")
+    count = np.bincount(held, minlength=codes)
+    return _Part(of, len(members), np.cumsum(count) - count, count, sets[order])
+
+
+def _linked(group: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    """By part the smallest of those that a group of criteria links it with."""
+    root = np.arange(parts)
+    pairs = np.unique(np.stack([group, part], 1), axis=0)
+    same = pairs[1:][pairs[1:, 0] == pairs[:-1, 0]], pairs[:-1][pairs[1:, 0] == pairs[:-1, 0]]
+    links = np.unique(np.stack([same[0][:, 1], same[1][:, 1]], 1), axis=0)
+    while len(links):
+        low = np.minimum(root[links[:, 0]], root[links[:, 1]])
+        before = root.copy()
+        np.minimum.at(root, links[:, 0], low)
+        np.minimum.at(root, links[:, 1], low)
+        if (before == root).all():
+            break
+    return root
+
+
+def _cell(asked: pa.ChunkedArray, items: pa.ChunkedArray, strict: list[str], least: int, k: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(intent, row, score, n_should) by places in asked (criteria of each intent) and items (of each row, in order of their ids).
+
+    An intent's score, filters and exclusions are worked out for each set of values that a part's rows hold, of which there are few;
+    a row's are the sum of its sets'."""
+    intent, c = _flat(asked)
+    row, v = _flat(items)
+    intents, rows = len(asked), len(items)
+    clause, feature = c.field("clause"), _numbers(c.field("feature"))
+    binding = pc.is_in(clause, pa.array(strict)).to_numpy(zero_copy_only=False)
+    barring = pc.equal(clause, "must_not").to_numpy(zero_copy_only=False)
+    weight = c.field("weight").to_numpy(zero_copy_only=False)
+    width = int(feature.max(initial=0)) + 2
+    needed = np.bincount(np.unique((intent * width + feature + 1)[binding & (feature >= 0)]) // width, minlength=intents)
+    codes, code = np.unique(v.field("code").to_numpy(zero_copy_only=False), return_inverse=True)
+    if not len(codes):
+        return
+    want = pc.fill_null(c.field("code"), -1).to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
+    met = codes[at] == want
+    if not met.any():
+        return
+    group = ((intent * width + feature + 1) * 2**20 + _numbers(clause))[met]
+    groups, group = np.unique(group, return_inverse=True)
+    at, weight, intent, binding, barring = at[met], weight[met], intent[met], binding[met], barring[met]
+    own = np.zeros((3, len(groups)), np.int64)
+    own[0][group], own[1][group] = intent, np.where(barring, 1 << 40, np.where(binding, 1, 1 << 20))
+    own[2][group] = ~barring
+    names, part = np.unique(v.field("part").to_numpy(zero_copy_only=False), return_inverse=True)
+    part_of_code = np.zeros(len(codes), np.int64)
+    part_of_code[code] = part
+    part_of_code = _linked(group, part_of_code[at], len(names))[part_of_code]
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    parts = {p: _part_of(rows, row[m], code[m], len(codes)) for p in np.unique(part_of_code) for m in [part_of_code[code] == p]}
+    some = max(1, CELLS // max(1, rows))
+    ends = np.searchsorted(intent, np.arange(0, intents + some, some))  # criteria come in order of their intents
+    for first, i, j in zip(range(0, intents, some), ends[:-1], ends[1:]):
+        n = min(some, intents - first)
+        score, state = np.zeros((n, rows)), np.zeros((n, rows), np.int64)
+        for p, has in parts.items():
+            mine = np.flatnonzero(part_of_code[at[i:j]] == p) + i
+            times = has.count[at[mine]]
+            which = np.repeat(mine, times)
+            if not len(which):
+                continue
+            sets = has.held_by[np.repeat(has.start[at[mine]] - (np.cumsum(times) - times), times) + np.arange(len(which))]
+            key = group[which] * has.sets + sets
+            by_key = np.argsort(key, kind="stable")
+            begins = np.flatnonzero(np.diff(key[by_key], prepend=-1))
+            best_weight = np.maximum.reduceat(weight[which][by_key], begins)
+            key = key[by_key][begins]
+            g = key // has.sets
+            cell = (own[0][g] - first) * has.sets + key % has.sets
+            gain = np.bincount(cell, np.where(own[2][g] == 1, best_weight, 0.0), n * has.sets).reshape(n, -1)
+            step = np.bincount(cell, own[1][g].astype(float), n * has.sets).astype(np.int64).reshape(n, -1)
+            score += np.take(gain, has.set_of_row, axis=1)
+            state += np.take(step, has.set_of_row, axis=1)
+        n_should = (state >> 20) & 0xFFFFF
+        good = (state > 0) & (state - (n_should << 20) == needed[first : first + n, None]) & (n_should >= least)
+        points = np.copysign(np.floor(np.abs(score) * 1e4 + 0.5), score) + 0.0
+        if k is not None and rows > k:
+            place = np.where(good, points.astype(np.int64) * rows + np.arange(rows - 1, -1, -1), np.iinfo(np.int64).min)
+            good &= place >= np.partition(place, rows - k, axis=1)[:, rows - k, None]
+        x, y = np.nonzero(good)
+        yield x + first, y, points[x, y] / 1e4, n_should[x, y]
+
+
+def matches(values: DataFrame, wanted: DataFrame, id_col: str, row_col: str, relaxed: bool = False, least: int = 0, k: int | None = None) -> DataFrame:
     """(id, row, score, n_should) of the rows that every filter of an intent lets pass and that none of its exclusions meets.
 
     values: (row, field, value), a line for each value that a row holds. A row needs a hit of some kind, so values meet criteria
     by equality alone; relaxed takes the relaxable filters as preferences, least is how many preferences must be met. A
-    feature's best value counts. What is excluded by a value that many rows hold is as much as those rows. The values of a row stay
-    in one task and blocks of criteria, all of an intent in one, go to them, so hits are counted where they arise.
+    feature's best value counts; a null weight is 0, a criterion without a clause is none. With k only rows are
+    returned that can be among an intent's k best, k of each slot. Intents and rows are dealt into slots, each pair of slots is a group
+    that a task counts out by itself.
     """
     strict = ["filter"] if relaxed else ["filter", "relaxable"]
-    filters = F.col("clause").isin(*strict)
-    wanted = kept(wanted.filter(F.col(id_col).isNotNull()), "wanted")
-    n, ids = wanted.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
-    blocks = max(1, -(-n // BLOCK))
-    lines = kept(values.select(row_col, "field", "value").distinct(), "values")
-    pairs = lines.select(row_col).distinct().count() * -(-ids // blocks)
-    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS))
-    lines = lines.repartition(tasks, row_col)
-    out = []
-    for k in range(blocks):
-        own = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k)
-        needed = own.filter(filters).groupBy(id_col).agg(F.countDistinct("feature").alias("needed"))
-        hits = lines.join(F.broadcast(own), ["field", "value"])
-        best = hits.groupBy(id_col, row_col, "feature", "clause").agg(F.max("weight").alias("weight"))  # rows are together: no shuffle
-        met = best.groupBy(id_col, row_col).agg(
-            F.count_if(filters).alias("passed"),
-            F.count_if(F.col("clause") == "must_not").alias("barred"),
-            F.count_if(~filters & (F.col("clause") != "must_not")).alias("n_should"),
-            F.round(F.sum(F.when(F.col("clause") != "must_not", F.col("weight"))), 4).alias("score"),
-        )
-        met = met.join(F.broadcast(needed), id_col, "left")
-        out.append(met.filter((F.col("barred") == 0) & (F.col("passed") == F.coalesce("needed", F.lit(0))) & (F.col("n_should") >= least)).select(id_col, row_col, "score", "n_should"))
-    return reduce(DataFrame.union, out)
+    spark = values.sparkSession
+    codes = _codes(wanted)
+    criterion = F.struct("feature", "clause", F.coalesce("weight", F.lit(0.0)).alias("weight"), "code")
+    asked = wanted.filter(F.col(id_col).isNotNull() & F.col("clause").isNotNull()).join(codes, ["field", "value"], "left")
+    asked = kept(asked.groupBy(id_col).agg(F.collect_list(criterion).alias("asked")), "asked")
+    rows = kept(_sets(values, codes, row_col), "rows")
+    ids, n = asked.count(), rows.count()
+    slots = -(-n // (ROWS if k is not None else PAIRS)) or 1
+    of_slot = min(BLOCK if k is not None else PAIRS, -(-ids * slots // (4 * spark.sparkContext.defaultParallelism)) or 1)
+    id_slots = -(-ids // of_slot) or 1
+    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    keys, tasks = ["id_slot", "slot"], min(slots * id_slots, 32 * spark.sparkContext.defaultParallelism)
+    left = asked.select(deal(id_col, id_slots).alias("id_slot"), every(slots).alias("slot"), id_col, "asked").repartition(tasks, *keys)
+    right = rows.select(deal(row_col, slots).alias("slot"), every(id_slots).alias("id_slot"), row_col, "items").repartition(tasks, *keys)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if a.num_rows and b.num_rows:
+            b = b.take(pc.sort_indices(b.column(row_col), null_placement="at_start"))
+            found = list(_cell(a.column("asked"), b.column("items"), strict, least, k))
+        x, y, score, n_should = (np.concatenate(part) for part in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+        return pa.Table.from_arrays([a.column(id_col).take(pa.array(x)), b.column(row_col).take(pa.array(y)), pa.array(score, pa.float64()), pa.array(n_should, pa.int64())], names=[id_col, row_col, "score", "n_should"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"`{id_col}` {kind(asked, id_col)}, `{row_col}` {kind(rows, row_col)}, score double, n_should long")
 
 
 def best(found: DataFrame, id_col: str, row_col: str, k: int) -> DataFrame:
@@ -140,25 +278,19 @@ def best(found: DataFrame, id_col: str, row_col: str, k: int) -> DataFrame:
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def profiles(values: DataFrame, row_col: str) -> DataFrame:
-    """(row, profile): rows that hold the same values share the smallest of their ids."""
-    same = values.groupBy(row_col).agg(F.sort_array(F.collect_set(F.struct("field", "value"))).alias("all"))
-    key = same.select(row_col, F.sha2(F.to_json("all"), 256).alias("key"))
-    return key.join(key.groupBy("key").agg(F.min(row_col).alias("profile")), "key").select(row_col, "profile")
-
-
 def ranked(values: DataFrame, wanted: DataFrame, id_col: str, row_col: str, k: int, relaxed: bool = False, least: int = 0) -> DataFrame:
     """best of matches, exactly, but each class of intents meets each profile of wanted values once.
 
-    Rows of one profile have one score, so k profiles, in the order of their first rows, hold the k best rows, and of each no
-    more than its k first rows are among them."""
+    Rows that hold the same wanted values share the smallest of their ids as profile and have one score, so k profiles, in the order of
+    their first rows, hold the k best rows, and of each no more than its k first rows are among them."""
     class_of = kept(classes(wanted.filter(F.col(id_col).isNotNull()), id_col), "classes")
     of_class = wanted.join(class_of.filter(F.col(id_col) == F.col("class")).select(id_col), id_col, "left_semi")
-    asked = kept(values.select(row_col, "field", "value").join(wanted.select("field", "value").distinct(), ["field", "value"], "left_semi").distinct(), "asked")
-    profile_of = kept(profiles(asked, row_col), "profiles")
-    of_profile = asked.join(profile_of.filter(F.col(row_col) == F.col("profile")).select(row_col), row_col, "left_semi")
-    found = best(matches(of_profile, of_class, id_col, row_col, relaxed, least), id_col, row_col, k).drop("place").withColumnRenamed(row_col, "profile")
+    codes = _codes(wanted)
+    sets = kept(_sets(values, codes, row_col), "sets")
+    of_set = kept(sets.groupBy("items").agg(F.min(row_col).alias("profile")), "profiles")
+    of_profile = of_set.select(F.col("profile").alias(row_col), F.explode("items.code").alias("code")).join(codes, "code").select(row_col, "field", "value")
+    found = best(matches(of_profile, of_class, id_col, row_col, relaxed, least, k), id_col, row_col, k).drop("place").withColumnRenamed(row_col, "profile")
     place = F.row_number().over(Window.partitionBy("profile").orderBy(row_col))
-    firsts = profile_of.withColumn("_at", place).filter(F.col("_at") <= k).drop("_at")
+    firsts = sets.join(of_set, "items").select(row_col, "profile").withColumn("_at", place).filter(F.col("_at") <= k).drop("_at")
     top = best(found.join(firsts, "profile").select(F.col(id_col).alias("class"), row_col, "score", "n_should"), "class", row_col, k)
     return class_of.join(top, "class").select(id_col, row_col, "score", "n_should", "place")

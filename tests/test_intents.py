@@ -83,3 +83,33 @@ def test_ranked_meets_each_class_and_profile_once(spark, monkeypatch):
         monkeypatch.setattr(intents, "matches", whole)
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
     assert all(rows <= 12 and ids <= 9 for rows, ids in seen) and seen
+
+
+def test_only_the_best_leave_a_slot(spark, monkeypatch):
+    """Features that look into several fields, rows that hold several values of one, and ties, in slots of any size: of each slot at
+    most k rows of an intent go on, and the k best of all are the loop's."""
+    rng = random.Random(8)
+    held = {(row, f, str(rng.randrange(5))) for row in range(60) for f in "fgh" for _ in range(rng.randrange(1, 4))}
+    asked = sorted({(i, f"x{rng.randrange(3)}", rng.choice("fgh"), str(rng.randrange(6)), rng.choice(("filter", "should", "should", "relaxable")), rng.randrange(1, 40) / 10) for i in range(30) for _ in range(6)})
+    asked += sorted({(i, "no", "f", str(rng.randrange(5)), "must_not", 0.0) for i in range(0, 30, 3)})
+    values = spark.createDataFrame(sorted(held), "row long, field string, value string")
+    wanted = spark.createDataFrame(asked, "intent long, feature string, field string, value string, clause string, weight double")
+    want = {}
+    for i, row in product(range(30), range(60)):
+        mine, hit = [x for x in asked if x[0] == i], {}
+        for _, feature, field, value, clause, weight in mine:
+            if (row, field, value) in held:
+                hit[feature, clause] = max(weight, hit.get((feature, clause), 0))
+        n_should = sum(c in ("should", "relaxable") for _, c in hit)
+        if hit and ("no", "must_not") not in hit and sum(c == "filter" for _, c in hit) == len({x[1] for x in mine if x[4] == "filter"}) and n_should >= 1:
+            want.setdefault(i, []).append((-round(sum(hit.values()), 4), row, n_should))
+    assert sum(len(x) > 12 for x in want.values()) > 5
+    for block, rows in ((4, 7), (1000, 1000)):
+        monkeypatch.setattr(intents, "BLOCK", block)
+        monkeypatch.setattr(intents, "ROWS", rows)
+        found = [tuple(r) for r in intents.matches(values, wanted, "intent", "row", True, 1, 3).collect()]
+        assert len(found) <= 3 * len(want) * -(-60 // rows)
+        for i, of_i in want.items():
+            best = sorted((-score, row, n) for x, row, score, n in found if x == i)[:3]
+            assert best == sorted(of_i)[:3]
+    assert len(intents.matches(values, wanted, "intent", "row", True, 1).collect()) == sum(map(len, want.values()))
