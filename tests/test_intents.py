@@ -113,3 +113,13 @@ def test_only_the_best_leave_a_slot(spark, monkeypatch):
             best = sorted((-score, row, n) for x, row, score, n in found if x == i)[:3]
             assert best == sorted(of_i)[:3]
     assert len(intents.matches(values, wanted, "intent", "row", True, 1).collect()) == sum(map(len, want.values()))
+
+
+def test_more_intents_are_no_more_tables_to_hold(spark, monkeypatch):
+    """What tasks are given doesn't grow with the number of slots: no plan has a broadcast for each."""
+    values = spark.createDataFrame([(row, "f", str(row % 5)) for row in range(20)], "row long, field string, value string")
+    wanted = spark.createDataFrame([(i, "x", "f", str(i % 7), "should", 1.0) for i in range(60)], "intent long, feature string, field string, value string, clause string, weight double")
+    monkeypatch.setattr(intents, "BLOCK", 6)
+    found = intents.matches(values, wanted, "intent", "row")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Broadcast") < 4
+    assert found.count() == sum(i % 7 == row % 5 for i in range(60) for row in range(20))
