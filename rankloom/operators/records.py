@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import kept
+
+#: Rows or ids of a bundle, ids of a run, pairs of bundles of a task and most tasks of a fan-out.
+BUNDLE, RUN, PAIRS, MOST_TASKS = 4096, 256, 16, 1 << 14
 PLACEHOLDERS = "(?i)lorem ipsum|todo|coming soon|more information needed"
 
 
@@ -128,14 +132,31 @@ def balanced_sample(df: DataFrame, key: str, number: str, size: int) -> DataFram
     return every.withColumn("_n", nth).filter(F.col("_n") <= 2 * size).select(key, "popular", "filler")
 
 
-def fanned(rows: DataFrame, names: DataFrame, name: str, id_col: str, bundle: int = 1000) -> DataFrame:
+def fanned(rows: DataFrame, names: DataFrame, name: str, id_col: str, bundle: int = BUNDLE) -> DataFrame:
     """rows with every id that bears their name; null where none does. names (name, id).
 
-    Names that no row has go first. Of the others ids are taken in bundles of about ``bundle``, which are unfolded where the result is
-    written: what is shuffled is rows by bundles, not rows by ids, and no task holds all the ids of a name."""
-    asked = names.join(rows.select(name).distinct(), name, "left_semi")
-    sizes = asked.groupBy(name).agg(F.ceil(F.count(F.lit(1)) / bundle).cast("int").alias("_n"))
-    dealt = asked.join(sizes, name).withColumn("_at", F.pmod(F.xxhash64(id_col), F.col("_n")))
-    bundles = dealt.groupBy(name, "_at").agg(F.collect_list(F.struct(id_col)).alias("_ids")).drop("_at")
-    met = rows.join(bundles, name, "left")
-    return met.select(*rows.columns, F.explode_outer("_ids").alias("_x")).select(*rows.columns, F.col(f"_x.{id_col}").alias(id_col))
+    The rows and the ids of a name are dealt into bundles of about ``bundle``, equal ones into the same, and each pair of bundles is unfolded by
+    itself where the result is written: what is shuffled is bundles by bundles, not rows by ids, and a name that many bear is
+    many tasks' work. A row meets RUN ids in a run before the next row does, so that a columnar file of the result repeats itself within
+    a page, and a task has few enough pairs for its dictionaries."""
+    spark = rows.sparkSession
+    asked, borne = rows.groupBy(name).agg(F.count(F.lit(1)).alias("_n")), names.groupBy(name).agg(F.count(F.lit(1)).alias("_m"))
+    bundles = lambda c: F.ceil(F.col(c) / bundle).cast("int")
+    deal = kept(asked.join(borne, name, "left").select(F.col(name).alias("_name"), bundles("_n").alias("_rows"), bundles("_m").alias("_ids")), "deal")
+    pairs = deal.agg(F.sum(F.col("_rows").cast("long") * F.coalesce("_ids", F.lit(1)))).first()[0] or 0
+    tasks = min(MOST_TASKS, max(4 * spark.sparkContext.defaultParallelism, -(-pairs // PAIRS)))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+    of_name = rows.join(deal, F.col(name).eqNullSafe(F.col("_name"))).withColumn("_r", F.pmod(F.xxhash64(*rows.columns), F.col("_rows")).cast("int"))
+    left = of_name.groupBy("_name", "_r", "_ids").agg(F.collect_list(F.struct(*rows.columns)).alias("_row")).select("_name", "_r", every("_ids").alias("_i"), "_row")
+    code = F.xxhash64(id_col)
+    run = F.pmod(F.shiftright(code, 32), F.lit(-(-bundle // RUN))).cast("int")
+    of_id = names.join(deal, F.col(name) == F.col("_name")).select("_name", "_rows", F.pmod(code, F.col("_ids")).cast("int").alias("_i"), run.alias("_run"), id_col)
+    runs = of_id.groupBy("_name", "_rows", "_i", "_run").agg(F.collect_list(F.struct(id_col)).alias("_x")).withColumn("_x", F.col(f"_x.{id_col}"))
+    right = runs.groupBy("_name", "_rows", "_i").agg(F.collect_list("_x").alias("_runs")).select("_name", every("_rows").alias("_r"), "_i", "_runs")
+    keys = ["_name", "_r", "_i"]
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys, "left")
+    none = F.array(F.array(F.lit(None).cast(names.schema[id_col].dataType)))
+    # generated code hands on all rows that come of one row at once; coalesce, which merges nothing here, ends its reach
+    by_run = met.select("_row", F.explode(F.coalesce("_runs", none)).alias("_run")).coalesce(tasks)
+    by_row = by_run.select(F.explode("_row").alias("_row"), "_run").select("_row.*", "_run").coalesce(tasks)
+    return by_row.select(*rows.columns, F.explode("_run").alias(id_col))

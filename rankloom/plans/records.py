@@ -52,10 +52,10 @@ def phrase_validity(spark, d):
     SELECT o_orderkey, coalesce(id::VARCHAR, topic) AS model FROM t LEFT JOIN m ON name = topic""")
 def name_fanout(spark, d):
     """A name meets all ids that bear it; a name that none bears stands for itself."""
-    m = table(spark, d, "part").select(F.col("p_name").alias("topic"), F.col("p_partkey").alias("id"))
+    m = table(spark, d, "part").select(F.col("p_name").alias("topic"), F.col("p_partkey").cast("string").alias("id"))
     first = m.agg(F.min("topic").alias("t"))
     t = table(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, first.scalar()).otherwise("no such model").alias("topic"))
-    return records.fanned(t, m, "topic", "id").select("o_orderkey", F.coalesce(F.col("id").cast("string"), "topic").alias("model"))
+    return records.fanned(t, m, "topic", "id").select("o_orderkey", F.coalesce("id", "topic").alias("model"))
 
 
 @query("""WITH a AS (SELECT item_id, array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 3), ' ') AS alias FROM benchmark), t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS t FROM documents)

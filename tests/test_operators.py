@@ -178,6 +178,20 @@ def test_names_fan_out_by_bundles(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
 
 
+def test_a_fan_out_of_one_name_is_small_and_shared_out(spark, tmp_path):
+    """Every row meets every id of a name; files hold a small part of a byte for each, and more than one task writes them."""
+    rows = spark.range(3000).select(F.col("id").alias("row"), F.lit("a").alias("name")).union(spark.createDataFrame([(-1, "none"), (-2, None)], "row long, name string"))
+    names = spark.range(3000).select(F.lit("a").alias("name"), F.format_string("id %d of a", "id").alias("id"))
+    out = records.fanned(rows.coalesce(1), names, "name", "id", 1000)
+    out.write.parquet(f"{tmp_path}/out")
+    files = [p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")]
+    assert sum(files) < 3000 * 3000 * 0.4 and sum(n > 10_000 for n in files) > 2
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.filter("row >= 0").agg(F.count("id"), F.sum("row"), F.count_distinct("id")).first() == (9_000_000, 3000 * 4_498_500, 3000)
+    assert got.filter("row >= 0").groupBy("row").agg(F.count_distinct("id").alias("n")).filter("n <> 3000").count() == 0
+    assert sorted(map(tuple, got.filter("row < 0").collect())) == [(-2, None, None), (-1, "none", None)]
+
+
 def test_casefold_counts_ids_once(spark):
     """Ids that repeat, in several forms, count once; rows without an id count as rows only."""
     rows = spark.createDataFrame([("Abc", 1), ("ABC", 1), ("abc", 1), ("abc", 2), ("abc", None), (None, 3), ("x", None)], "p string, id int")
